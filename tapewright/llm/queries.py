@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm import language_id, line_dedup, packing, sharding, url_filter
+from tapewright.llm import (
+    decontaminate,
+    fingerprints,
+    language_id,
+    line_dedup,
+    minhash,
+    packing,
+    pii,
+    repeats,
+    sharding,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +50,37 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.op9_url_filter(_table(spark, sf_dir, "pages"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.op2_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op5_personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.op6_near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.op8_repeated_strings(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op10_decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_fingerprints": op2_fingerprints,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_personal_data": op5_personal_data,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_line_dedup": op7_line_dedup,
+    "op8_repeated_strings": op8_repeated_strings,
     "op9_url_filter": op9_url_filter,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.OP7_SQL}
