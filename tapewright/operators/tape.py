@@ -272,16 +272,27 @@ def new_large_prints(prints: DataFrame, recorded: DataFrame) -> DataFrame:
     return prints.join(recorded.select("symbol", "venue", "trade_id").distinct(), ["symbol", "venue", "trade_id"], "left_anti")
 
 
-def flow_persistence(trades: DataFrame, keys: Sequence[str] = KEYS, trend: float = 0.05) -> DataFrame:
-    """Buy share of the newer half against the older half of a key's trades, by order of time."""
-    order = Window.partitionBy(*keys).orderBy("ts_ms", "trade_id", "price", "qty", "is_buyer_maker")
-    halves = trades.select(*keys, "qty", "is_buyer_maker", F.row_number().over(order).alias("rn"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    older = F.col("rn") <= F.floor(F.col("n") / 2)
-    share = lambda half: ratio(F.sum(F.when(half & is_buy(), F.col("qty")).otherwise(0.0)), F.sum(F.when(half, F.col("qty")).otherwise(0.0)))
-    out = halves.groupBy(*keys).agg(F.count("*").alias("trades"), share(older).alias("older_share"), share(~older).alias("recent_share"))
+def flow_persistence(trades: DataFrame, keys: Sequence[str] = KEYS, moved_by: float = 0.05, least: int = 20) -> DataFrame:
+    """Notional buy share of the newer half of a key's trades against the older half; the older half has the odd one."""
+    order = Window.partitionBy(*keys).orderBy(F.col("ts_ms").desc(), F.col("trade_id").desc(), "price", "qty", "is_buyer_maker")
+    n = F.count("*").over(Window.partitionBy(*keys))
+    halves = trades.select(*keys, (F.col("price") * F.col("qty")).alias("v"), "is_buyer_maker", F.row_number().over(order).alias("rn"), n.alias("n"))
+    recent = F.col("rn") <= F.floor(F.col("n") / 2)
+
+    def share(half: Column) -> Column:
+        return ratio(sum_if(half & is_buy(), "v"), sum_if(half, "v"))
+
+    def cvd(half: Column) -> Column:
+        return sum_if(half & is_buy(), "v") - sum_if(half & ~is_buy(), "v")
+
+    out = halves.groupBy(*keys).agg(
+        F.count("*").alias("trades"), share(recent).alias("recent_share"), share(~recent).alias("older_share"),
+        cvd(recent).alias("recent_cvd_notional"), cvd(~recent).alias("older_cvd_notional"),
+    )
     moved = F.col("recent_share") - F.col("older_share")
     return out.withColumn(
-        "trend", labelled((moved.isNull(), "UNKNOWN"), (moved > trend, "STRENGTHENING"), (moved < -trend, "WEAKENING"), default="STABLE")
+        "trend",
+        labelled((F.col("trades") < least, "insufficient-data"), (moved > moved_by, "accelerating-buy"), (moved < -moved_by, "accelerating-sell"), default="balanced"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapewright.plans import book, tape  # noqa: F401
+from tapewright.plans import bars, book, tape  # noqa: F401
 from tapewright.plans.registry import QUERIES, Query
 
 

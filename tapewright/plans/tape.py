@@ -222,15 +222,15 @@ def _(m: Market):
     return tape.new_large_prints(prints, prints.where("ts_ms < 1704100000000"))
 
 
-@query(
-    "w20_flow_persistence",
-    f"""WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol, venue ORDER BY ts_ms, trade_id, price, qty, is_buyer_maker) AS rn, count(*) OVER (PARTITION BY symbol, venue) AS n FROM {{trades}}),
-      halves AS (SELECT symbol, venue, count(*) AS trades, sum({BUY}) FILTER (rn <= n // 2) / sum(qty) FILTER (rn <= n // 2) AS older_share,
-        sum({BUY}) FILTER (rn > n // 2) / sum(qty) FILTER (rn > n // 2) AS recent_share FROM ranked GROUP BY ALL)
-      SELECT *, CASE WHEN recent_share - older_share IS NULL THEN 'UNKNOWN' WHEN recent_share - older_share > 0.05 THEN 'STRENGTHENING'
-        WHEN recent_share - older_share < -0.05 THEN 'WEAKENING' ELSE 'STABLE' END AS trend FROM halves""",
-    "older_share recent_share",
-)
+PERSISTENCE = f"""(WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol, venue ORDER BY ts_ms DESC, trade_id DESC, price, qty, is_buyer_maker) AS rn, count(*) OVER (PARTITION BY symbol, venue) AS n FROM {{trades}}),
+      halves AS (SELECT symbol, venue, count(*) AS trades, sum({BUY_USD}) FILTER (rn <= n // 2) / sum(price * qty) FILTER (rn <= n // 2) AS recent_share,
+        sum({BUY_USD}) FILTER (rn > n // 2) / sum(price * qty) FILTER (rn > n // 2) AS older_share,
+        sum({BUY_USD} - {SELL_USD}) FILTER (rn <= n // 2) AS recent_cvd_notional, sum({BUY_USD} - {SELL_USD}) FILTER (rn > n // 2) AS older_cvd_notional FROM ranked GROUP BY ALL)
+      SELECT *, CASE WHEN trades < 20 THEN 'insufficient-data' WHEN recent_share - older_share > 0.05 THEN 'accelerating-buy'
+        WHEN recent_share - older_share < -0.05 THEN 'accelerating-sell' ELSE 'balanced' END AS trend FROM halves)"""
+
+
+@query("w20_flow_persistence", f"SELECT * FROM {PERSISTENCE} p", "recent_share older_share recent_cvd_notional older_cvd_notional")
 def _(m: Market):
     return tape.flow_persistence(m.trades)
 
