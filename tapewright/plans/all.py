@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapewright.plans import bars, book, micro, rules, tape  # noqa: F401
+from tapewright.plans import bars, book, micro, models, rules, tape  # noqa: F401
 from tapewright.plans.registry import QUERIES, Query
 
 
