@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.operators.tape import guarded_corr
 from tapewright.functions.columns import labelled, ratio, sum_if
 
 BAR_MS = 300_000
@@ -227,7 +228,7 @@ def macro_returns(klines: DataFrame, benchmark: str) -> DataFrame:
     bench = r.where(F.col("symbol") == benchmark).select("bucket_ms", F.col("r").alias("b"))
     whole = r.groupBy("symbol").agg(((F.exp(F.sum(F.log1p("r"))) - 1) * 100).alias("return_pct"))
     pair = r.join(bench, "bucket_ms").groupBy("symbol").agg(
-        F.count("*").alias("bars"), F.when((F.count("*") > 1) & (F.var_pop("r") > 0) & (F.var_pop("b") > 0), F.corr("r", "b")).alias("corr"),
+        F.count("*").alias("bars"), guarded_corr("r", "b").alias("corr"),
         F.when((F.count("*") > 1) & (F.var_pop("b") > 0), F.covar_pop("r", "b") / F.var_pop("b")).alias("beta"),
     )
     bench_return = whole.where(F.col("symbol") == benchmark).select(F.col("return_pct").alias("bench_pct"))

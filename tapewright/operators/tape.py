@@ -112,7 +112,8 @@ def bucketed_cvd(trades: DataFrame, window_s: int = 60, keys: Sequence[str] = KE
 
 def guarded_corr(x: Column | str, y: Column | str) -> Column:
     """Pearson's r; null below two pairs or where either side doesn't vary."""
-    return F.when((F.count("*") > 1) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.corr(x, y))
+    spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
+    return F.when((F.count("*") > 1) & (spread > 0), F.covar_pop(x, y) / spread)
 
 
 def cvd_series_corr(buckets: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapewright.plans import bars, book, micro, models, reports, rules, store, tape  # noqa: F401
+from tapewright.plans import bars, book, micro, models, reports, rules, store, streams, tape  # noqa: F401
 from tapewright.plans.registry import QUERIES, Query
 
 
