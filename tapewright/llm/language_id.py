@@ -14,33 +14,44 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.llm.shingles import hash_spans, slices, spans_of_words, text_bytes
+
 UNKNOWN = "und"
 #: Letters of any script, in runs; for Java's and Python's patterns alike.
 JAVA_WORD = r"\p{L}+"
 ORDERS = (4, 3, 2, 1)
+ASCII_LETTERS = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+NO_LETTERS = ~(ASCII_LETTERS | (np.arange(256) >= 128))
 #: What a whole text's evidence counts for at most, in words: keeps the posterior short of certainty.
 EVIDENCE_WORDS = 20
+#: Languages that a model tells apart at most: the most frequent ones.
+MAX_LANGUAGES = 1000
+#: Words whose scores a Python task remembers.
+REMEMBERED_WORDS = 300_000
 
 
 @dataclass
 class LanguageModel:
+    """``table`` holds log frequencies, a row a piece and a column a language; the dictionaries give a piece's row."""
+
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
+    words: dict[str, int]
+    grams: list[dict[str, int]]
+    table: np.ndarray
 
 
 def training_sample(docs: DataFrame, max_docs: int) -> DataFrame:
     """``lang, text`` of at most about ``max_docs`` rows a language, chosen by the hash of the id."""
     labelled = docs.where("lang is not null and text is not null")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES)
     share = F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    # One row a language; a join that Spark may broadcast by its own size check.
-    return labelled.join(counts, "lang").where(place < share).select("lang", "text")
+    return labelled.join(F.broadcast(counts), "lang").where(place < share).select("lang", "text")
 
 
 def _grams(word: Column, size: int) -> Column:
@@ -90,41 +101,67 @@ def _model(rows: list) -> LanguageModel:
     found: dict[int, dict[str, Counter]] = {size: {} for size in (0, *ORDERS)}
     for r in rows:
         found[r["size"]].setdefault(r["piece"], Counter())[r["lang"]] += r["n"]
-    scored = {}
+    table: list[np.ndarray] = []
+    rows_of: dict[int, dict[str, int]] = {}
     for size, pieces in found.items():
         floor = np.array([math.log(0.5 / (1 + totals.get((size, lang), 0))) for lang in languages])
-        scored[size] = {}
+        rows_of[size] = {}
         for piece, by_lang in pieces.items():
             v = floor.copy()
             for lang, n in by_lang.items():
                 v[place[lang]] = math.log(n / totals[size, lang])
-            scored[size][piece] = v
-    return LanguageModel(languages, scored[0], [scored[size] for size in ORDERS])
+            rows_of[size][piece] = len(table)
+            table.append(v)
+    return LanguageModel(languages, rows_of[0], [rows_of[size] for size in ORDERS], np.array(table, np.float32).reshape(len(table), len(languages)))
 
 
-class WordScores(dict):
-    """A word's score by language; remembers the words it has seen, up to a bound."""
+class WordScores:
+    """Scores of words by language; remembers what it has worked out, up to a bound."""
 
-    def __init__(self, model: LanguageModel, bound: int = 200_000):
-        super().__init__()
-        self.model, self.bound = model, bound
-        self.nothing = np.zeros(len(model.languages))
-
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= self.bound:
-            self.clear()
-        self[word] = score = self.fresh(word)
-        return score
+    def __init__(self, model: LanguageModel):
+        import regex
 
-    def fresh(self, word: str) -> np.ndarray:
-        if (known := self.model.words.get(word)) is not None:
-            return known
+        self.model, self.pieces_of = model, regex.compile(r"\p{L}+").findall
+        self.known: dict[int, int] = {}
+        self.table = np.zeros((0, len(model.languages)), np.float32)
+
+    def rows(self, hashes: np.ndarray, word_at) -> np.ndarray:
+        """Rows of ``table`` for distinct word hashes; ``word_at(i)`` gives the i-th word."""
+        if len(self.known) > REMEMBERED_WORDS:
+            self.known, self.table = {}, self.table[:0]
+        rows = np.array([self.known.get(h, -1) for h in hashes.tolist()], np.int64)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            rows[new] = len(self.known) + np.arange(len(new))
+            self.table = np.concatenate([self.table, self.fresh([word_at(i) for i in new])])
+            self.known.update(zip(hashes[new].tolist(), rows[new].tolist(), strict=True))
+        return rows
+
+    def fresh(self, words: list[str]) -> np.ndarray:
+        """Known words as they are; the others by their n-grams of the longest order of which any is known."""
+        flat: list[int] = []
+        counts = []
+        for word in words:
+            hits: list[int] = []
+            for piece in [word] if word.isalpha() else self.pieces_of(word):
+                hits += self.hits(piece)
+            counts.append(len(hits))
+            flat += hits
+        sums = np.zeros((len(words), self.table.shape[1]), np.float32)
+        counted = np.array(counts)
+        full = np.flatnonzero(counted)
+        if len(full):
+            sums[full] = np.add.reduceat(self.model.table[flat], (np.cumsum(counted) - counted)[full], axis=0) / counted[full, None]
+        return sums
+
+    def hits(self, word: str) -> list[int]:
+        if (row := self.model.words.get(word)) is not None:
+            return [row]
         for size, grams in zip(ORDERS, self.model.grams, strict=True):
             padded = f" {word} " if size > 1 else word
-            hits = [g for i in range(len(padded) - size + 1) if (g := grams.get(padded[i : i + size])) is not None]
-            if hits:
-                return np.mean(hits, axis=0)
-        return self.nothing
+            if hits := [g for i in range(len(padded) - size + 1) if (g := grams.get(padded[i : i + size])) is not None]:
+                return hits
+        return []
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,28 +173,40 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of train()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        model, words_of = shared.value, regex.compile(r"\p{L}+").findall
-        scores = WordScores(model)
+        scores, letter = WordScores(shared.value), regex.compile(r"\p{L}").search
+        languages = [*shared.value.languages, UNKNOWN]
         for batch in batches:
-            preds, sure = [], []
-            for text in batch["text"]:
-                words = words_of(text.lower()) if text else []
-                if not words or not model.languages:
-                    preds.append(UNKNOWN)
-                    sure.append(0.0)
-                    continue
-                total = np.mean(np.array(list(map(scores.__getitem__, words))), axis=0)
-                best = int(np.argmax(total))
-                weight = min(len(words), EVIDENCE_WORDS)
-                preds.append(model.languages[best])
-                sure.append(float(1 / np.exp((total - total[best]) * weight).sum()))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": preds, "score": sure})
+            for part in slices(batch, "text"):
+                data, offsets = text_bytes(pc.utf8_lower(part.column("text")))
+                starts, ends = spans_of_words(data, offsets, NO_LETTERS)
+                n, k = part.num_rows, len(languages) - 1
+                best, sure = np.full(n, k), np.zeros(n)
+                if len(starts) and k:
+                    rows = np.searchsorted(offsets, starts, "right") - 1
+                    distinct, first, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+                    at = scores.rows(distinct, lambda i, f=first, s=starts, e=ends, d=data: d[s[f[i]] : e[f[i]]].tobytes().decode())
+                    by_word = scores.table[at[inverse]]
+                    words = np.bincount(rows, minlength=n)
+                    mean = np.stack([np.bincount(rows, by_word[:, j], n) for j in range(k)], axis=1) / np.maximum(words, 1)[:, None]
+                    top = mean.argmax(axis=1)
+                    weight = np.minimum(words, EVIDENCE_WORDS)
+                    odds = 1 / np.exp((mean - mean.max(axis=1, keepdims=True)) * weight[:, None]).sum(axis=1)
+                    # Bytes of other scripts needn't be letters: rows without an ASCII letter are looked at.
+                    plain = np.zeros(n, bool)
+                    plain[np.searchsorted(offsets, np.flatnonzero(ASCII_LETTERS[data]), "right") - 1] = True
+                    for i in np.flatnonzero((words > 0) & ~plain):
+                        words[i] *= letter(part.column("text")[i].as_py()) is not None
+                    best, sure = np.where(words > 0, top, k), np.where(words > 0, odds, 0.0)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([languages[i] for i in best], pa.string()), pa.array(sure, pa.float64())],
+                    names=["doc_id", "lang_pred", "score"],
+                )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"doc_id {id_type}, lang_pred string, score double"
     )
 
