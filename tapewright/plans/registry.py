@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -36,6 +37,11 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
+def folder(market: Market) -> str:
+    """The shared folder that the cluster names; a local one only where none is named, as in tests."""
+    return market.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-query-")
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six places, without negative zeros: sums may come in any order."""
     return df.select(*[(F.round(c, PLACES) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tapewright.operators import book, recall
 from tapewright.plans import bars as pb
 from tapewright.plans import tape as ptape
 from tapewright.plans.book import RANKED
-from tapewright.plans.registry import query
+from tapewright.plans.registry import folder, query
 from tapewright.sources import records, store
 from tapewright.sources.views import Market
 
@@ -69,6 +71,17 @@ def _(m: Market):
     return slim.select("symbol", "observed_at_ms", *[F.size(f"{v}.trades_normalized").cast("long").alias(f"{v}_trades") for v in ("spot", "futures")])
 
 
+@query("s7_read_quote_tape", "SELECT ts_ms, bid_ticks / 100E0 AS bid, bid_qty, ask_ticks / 100E0 AS ask, ask_qty FROM {quotes}", "bid bid_qty ask ask_qty")
+def _(m: Market):
+    text = lambda c: (F.col(c) / 100).cast("decimal(18,2)").cast("string")
+    rows = m.quotes.select(F.col("ts_ms").alias("ts"), text("bid_ticks").alias("bid"), F.col("bid_qty").cast("string").alias("bidQty"), text("ask_ticks").alias("ask"), F.col("ask_qty").cast("string").alias("askQty"))
+    path = f"{folder(m)}/tapewright-tape-{uuid.uuid4().hex}"
+    rows.write.json(path)
+    tape = records.read_quote_tape(m.spark, path)
+    number = lambda c, name: F.col(c).cast("double").alias(name)
+    return tape.select("ts_ms", number("bid_price", "bid"), number("bid_qty", "bid_qty"), number("ask_price", "ask"), number("ask_qty", "ask_qty"))
+
+
 @query("s8_read_tape_range", "SELECT * FROM {quotes} WHERE symbol = 'S1' AND venue = 'spot' AND ts_ms >= 1704067210000 AND ts_ms < 1704067300000 ORDER BY ts_ms, update_id LIMIT 50", "bid_qty ask_qty")
 def _(m: Market):
     return store.read_tape_range(m.quotes, "S1", "spot", 1704067210000, 1704067300000, 50)
@@ -225,3 +238,15 @@ def _(m: Market):
     cvd = tape.bucketed_cvd(m.trades).select(F.lit("tape").alias("substrate"), "symbol", "venue", F.col("t").alias("calculated_at"), F.col("delta").alias("value"))
     oi = m.oi_history_5m.select(F.lit("oi").alias("substrate"), "symbol", F.lit(None).cast("string").alias("venue"), F.floor(F.col("bucket_ms") / 1000).alias("calculated_at"), F.col("sum_open_interest").alias("value"))
     return cvd.unionByName(oi)
+
+
+@query("f1_f2_pluggable_flow_and_tiers", """SELECT b.symbol, t.share, b.total_qty, b.mega_count FROM (SELECT symbol, snapshot_id, sum(qty) AS total_qty, count(*) FILTER (price * qty >= 9000) AS mega_count FROM {book_levels} WHERE side = 'bid' AND snapshot_id = 19 GROUP BY ALL) b
+  JOIN (SELECT symbol, sum(CASE WHEN is_buyer_maker THEN 0E0 ELSE price * qty END) / sum(price * qty) AS share FROM {trades} GROUP BY ALL) t ON b.symbol = t.symbol""", "share total_qty")
+def _(m: Market):
+    """A report with the caller's own flow function and tier limits."""
+    from tapewright.operators import tape
+
+    def report(flow, tiers):
+        return book.bid_tiers(m.book_levels.where("snapshot_id = 19"), tiers).select("symbol", "total_qty", "mega_count").join(flow(m.trades), "symbol")
+
+    return report(lambda t: tape.initiated_flow(t, ("symbol",)).select("symbol", F.col("buy_share").alias("share")), book.Tiers(9_000.0, 5_000.0, 1_000.0))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,16 +9,11 @@ from pyspark.sql import functions as F
 
 from tapewright.plans import micro as pm
 from tapewright.plans import tape as ptape
-from tapewright.plans.registry import QUERIES, query
+from tapewright.plans.registry import QUERIES, folder, query
 from tapewright.sources.views import VIEWS, Market
 from tapewright.streaming import twins
 
 
-def folder(m: Market) -> str:
-    """The cluster's shared folder; a local one only where none is named, as in tests."""
-    return m.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-
-
 def stream(m: Market, view: str, table: str) -> DataFrame:
     """A market view over the table's files as they arrive."""
     schema = m.spark.read.parquet(f"{m.sf_dir}/{table}.parquet").schema
@@ -52,13 +46,37 @@ def _(m: Market):
     return twins.drain(twins.deduplicated(rows, ["symbol", "venue", "trade_id"], within="2 days"), folder(m), "append").select("symbol", "venue", "trade_id")
 
 
-@query("x2_stream_horizon_fold")
+FOLD = """WITH a AS (SELECT *, max(trade_id) OVER (PARTITION BY symbol, venue ORDER BY ts_ms, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high, ts_ms // 900000 * 900000 AS segment_ms FROM {trades}),
+  d AS (SELECT symbol, count(*) FILTER (high IS NOT NULL AND trade_id <= high) AS duplicates FROM a GROUP BY ALL),
+  f AS (SELECT *, max(segment_ms) OVER (PARTITION BY symbol ORDER BY ts_ms, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS front FROM a WHERE high IS NULL OR trade_id > high),
+  l AS (SELECT symbol, max(ts_ms) AS last_ts, count(*) FILTER (front IS NOT NULL AND segment_ms < front) AS late FROM f GROUP BY ALL)
+  SELECT f.symbol, 14400000 AS horizon_ms, segment_ms, venue, count(*) AS trades, sum(CASE WHEN is_buyer_maker THEN 0E0 ELSE price * qty END) AS buy_notional, sum(CASE WHEN is_buyer_maker THEN price * qty ELSE 0E0 END) AS sell_notional, any_value(duplicates) AS duplicates, any_value(late) AS late
+  FROM f JOIN l ON f.symbol = l.symbol JOIN d ON f.symbol = d.symbol WHERE (front IS NULL OR segment_ms >= front) AND segment_ms >= last_ts - 14400000 GROUP BY f.symbol, segment_ms, venue"""
+
+
+@query("x2_stream_horizon_fold", FOLD, "buy_notional sell_notional")
 def _(m: Market):
     twins.use_rocksdb(m.spark)
     trades = stream(m, "trades", "lineitem").withColumn("arrival", F.col("ts_ms"))
     return twins.drain(twins.horizon_fold(trades, 14_400_000, 900_000), folder(m), "update")
 
 
+@query("x7_stream_warm_start", f"SELECT symbol, segment_ms, venue, trades, buy_notional, sell_notional FROM ({FOLD}) f", "buy_notional sell_notional")
+def _(m: Market):
+    """The fold seeded from the tape up to a time, then streamed over the whole tape again: the overlap changes nothing."""
+    twins.use_rocksdb(m.spark)
+    trades = stream(m, "trades", "lineitem").withColumn("arrival", F.col("ts_ms"))
+    history = m.trades.where("ts_ms < 1704110000000").withColumn("arrival", F.col("ts_ms"))
+    return twins.drain(twins.horizon_fold(trades, 14_400_000, 900_000, history), folder(m), "update").drop("horizon_ms", "duplicates", "late")
+
+
+@query("x8_alert_dedupe", "SELECT DISTINCT symbol, venue, ts_ms, CASE WHEN bid_qty > ask_qty THEN 'bid_heavy' ELSE 'ask_heavy' END AS trigger FROM {quotes}")
+def _(m: Market):
+    quotes = stream(m, "quotes", "events").select("symbol", "venue", "ts_ms", F.when(F.col("bid_qty") > F.col("ask_qty"), "bid_heavy").otherwise("ask_heavy").alias("trigger"))
+    again = quotes.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return twins.drain(twins.alert_dedupe(again, "2 days"), folder(m), "append")
+
+
 @query("x4_stream_book_reconstruct", QUERIES["x4_book_replay"].sql, "bid_qty ask_qty")
 def _(m: Market):
     twins.use_rocksdb(m.spark)

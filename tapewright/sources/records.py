@@ -73,9 +73,9 @@ def normalize_identity(rows: DataFrame) -> DataFrame:
 
 
 def read_quote_tape(spark: SparkSession, path: str) -> DataFrame:
-    """Best-quote rows of a JSON tape, prices and quantities as exact decimals."""
+    """Best-quote rows of a JSON tape (objects or arrays of them, each on a line), prices and quantities as exact decimals."""
     number = lambda c: F.col(c).try_cast("decimal(18,8)")
-    return spark.read.schema(QUOTE_DDL).option("multiLine", "true").json(path).select(F.col("ts").alias("ts_ms"), number("bid").alias("bid_price"), number("bidQty").alias("bid_qty"), number("ask").alias("ask_price"), number("askQty").alias("ask_qty"))
+    return spark.read.schema(QUOTE_DDL).json(path).select(F.col("ts").alias("ts_ms"), number("bid").alias("bid_price"), number("bidQty").alias("bid_qty"), number("ask").alias("ask_price"), number("askQty").alias("ask_qty"))
 
 
 def headline(doc: DataFrame, names: dict[str, Sequence[str]], keys: Sequence[str]) -> DataFrame:

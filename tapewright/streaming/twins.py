@@ -82,11 +82,17 @@ class HorizonFold(StatefulProcessor):
         self.segments = handle.getMapState("segments", "segment long, venue string", "trades long, buy double, sell double")
         self.counts = handle.getValueState("counts", "newest long, duplicates long, late long")
 
+    def handleInitialState(self, key, initial: pd.DataFrame, timer_values) -> None:  # noqa: N802
+        self.fold(key, initial)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        yield self.fold(key, pd.concat(list(rows)))
+
+    def fold(self, key, batch: pd.DataFrame) -> pd.DataFrame:
         newest, duplicates, late = self.counts.get() if self.counts.exists() else (-1, 0, 0)
         high = {k[0]: v[0] for k, v in self.high.iterator()}
         held = {tuple(k): list(v) for k, v in self.segments.iterator()}
-        batch = pd.concat(list(rows)).sort_values(["arrival", "trade_id", "ts_ms"], kind="stable")
+        batch = batch.sort_values(["arrival", "trade_id", "ts_ms"], kind="stable")
         last_ts = None
         for tid, ts, venue, price, qty, maker in batch[["trade_id", "ts_ms", "venue", "price", "qty", "is_buyer_maker"]].itertuples(index=False):
             if tid <= high.get(venue, -1):
@@ -111,17 +117,17 @@ class HorizonFold(StatefulProcessor):
         for (segment, venue), (n, b, s) in held.items():
             self.segments.updateValue((segment, venue), (int(n), float(b), float(s)))
         out = [(key[0], self.horizon_ms, seg, venue, n, b, s, int(duplicates), int(late)) for (seg, venue), (n, b, s) in sorted(held.items())]
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FOLD.split(", ")])
+        return pd.DataFrame(out, columns=[c.split()[0] for c in FOLD.split(", ")])
 
     def close(self) -> None:
         pass
 
 
 def horizon_fold(trades: DataFrame, horizon_ms: int, segment_ms: int, warm_start: DataFrame | None = None) -> DataFrame:
-    """The ring of each symbol after every batch; ``arrival`` orders the trades. ``warm_start`` rows go first: the fold's
-    own dedupe absorbs what the stream repeats of them."""
-    rows = trades if warm_start is None else warm_start.unionByName(trades)
-    return rows.groupBy("symbol").transformWithStateInPandas(HorizonFold(horizon_ms, segment_ms), FOLD, "Update", "None")
+    """The ring of each symbol after every batch; ``arrival`` orders the trades. ``warm_start`` rows (a table) make the
+    first state; the fold's own dedupe absorbs what the stream repeats of them."""
+    first = None if warm_start is None else warm_start.groupBy("symbol")
+    return trades.groupBy("symbol").transformWithStateInPandas(HorizonFold(horizon_ms, segment_ms), FOLD, "Update", "None", first)
 
 
 def horizon_fold_batch(trades: DataFrame, horizon_ms: int, segment_ms: int) -> DataFrame:
