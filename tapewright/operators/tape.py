@@ -231,7 +231,7 @@ def tiered_large_flow(
     each = minutes.join(now, list(keys)).withColumn("window_min", F.explode(held))
     names = [f"{n}_{s}_{x}" for n, _ in tiers for s in ("buy", "sell") for x in ("usd", "n")]
     return each.groupBy(*keys, "window_min").agg(
-        *[F.round(F.sum(n), 0).alias(n) if n.endswith("usd") else F.sum(n).cast("long").alias(n) for n in names],
+        *[F.round(F.round(F.sum(n), 4), 0).alias(n) if n.endswith("usd") else F.sum(n).cast("long").alias(n) for n in names],
         F.round(F.sum("s") / F.greatest(F.sum("b"), F.lit(1.0)), 3).alias("sell_to_buy_ratio"),
     )
 

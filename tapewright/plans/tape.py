@@ -170,7 +170,7 @@ def _(m: Market):
 
 _TIERS = (("large", 20.0), ("huge", 35.0), ("whale", 45.0))
 _tier_sql = ", ".join(
-    f"round(sum(CASE WHEN {'NOT ' if s == 'buy' else ''}is_buyer_maker AND qty >= {q} THEN price * qty ELSE 0E0 END), 0) AS {n}_{s}_usd, "
+    f"round(round(sum(CASE WHEN {'NOT ' if s == 'buy' else ''}is_buyer_maker AND qty >= {q} THEN price * qty ELSE 0E0 END), 4), 0) AS {n}_{s}_usd, "
     f"count(*) FILTER ({'NOT ' if s == 'buy' else ''}is_buyer_maker AND qty >= {q}) AS {n}_{s}_n"
     for n, q in _TIERS for s in ("buy", "sell")
 )
