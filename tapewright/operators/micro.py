@@ -112,8 +112,9 @@ def forward_labels(vectors: DataFrame, events: DataFrame, horizons_ms: Sequence[
     both = probes.select(*KEYS, "t", F.lit(0).alias("kind"), "update_id", "base_ms", "horizon_ms", F.lit(None).cast("double").alias("mid")).unionByName(
         mids.select(*KEYS, "t", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("update_id"), F.lit(None).cast("long").alias("base_ms"), F.lit(None).cast("int").alias("horizon_ms"), "mid")
     )
-    later = Window.partitionBy(*KEYS).orderBy("t", "kind").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("next_mid", F.first("mid", ignorenulls=True).over(later)).where("kind = 0")
+    # Backwards in time, so that the frame grows row by row: a frame that shrinks is summed anew at each row.
+    later = Window.partitionBy(*KEYS).orderBy(F.col("t").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("next_mid", F.last("mid", ignorenulls=True).over(later)).where("kind = 0")
     base = F.max(F.when(F.col("horizon_ms") == 0, F.col("next_mid"))).over(Window.partitionBy(*KEYS, "update_id", "base_ms"))
     labelled_rows = found.withColumn("base_mid", base).where("horizon_ms > 0")
     return labelled_rows.select(
