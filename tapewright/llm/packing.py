@@ -10,36 +10,40 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.llm.shingles import hash_spans, slices, spans_of_words, text_bytes
 from tapewright.llm.storage import materialize
 
-#: Words whose ids a Python worker remembers, at about 200 bytes each.
-REMEMBERED_WORDS = 1_000_000
+#: Space-separated chunks of text whose ids a Python worker remembers, at about 40 bytes each.
+REMEMBERED_CHUNKS = 1_200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+BREAKS = np.isin(np.arange(256), list(b" \n"))
 
 
-class WordIds(dict):
-    """Remembers the little-endian 32-bit ids of space-separated chunks of text.
+class WordIds:
+    """Token ids of whole texts, a slice of rows at a time.
 
     The vocabulary's tokens never span white space, so a text's ids are the
-    joined ids of its chunks. A chunk is lowered and split by the tokenizer's
-    own pattern, and its words go to the tokenizer's BPE model. Texts for which
-    chunks alone don't decide (not in NFC, context-dependent lower case, special
-    token strings, rare control characters) go whole through the tokenizer.
+    joined ids of its chunks between spaces and newlines. The distinct chunks
+    of a slice are looked up by hash in sorted arrays; a new one is lowered and
+    split by the tokenizer's own pattern, and its words go to the tokenizer's
+    BPE model. Texts for which chunks alone don't decide (not in NFC,
+    context-dependent lower case, special token strings, rare control
+    characters) go whole through the tokenizer.
     """
 
     def __init__(self, tokenizer_path: str):
         import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model = self.tokenizer.model
         # Fixed values of the vocabulary file: its word pattern and its printable names of bytes.
@@ -48,28 +52,65 @@ class WordIds(dict):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.names = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.word_ids: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = b"".join(map(self.of_word, self.words(chunk.lower())))
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        self[chunk] = ids
-        return ids
-
-    def of_word(self, word: str) -> bytes:
-        if (ids := self.word_ids.get(word)) is None:
-            named = word if word.isascii() else "".join(self.names[b] for b in word.encode())
-            ids = np.array([t.id for t in self.model.tokenize(named)], dtype="<u4").tobytes()
-            if len(self.word_ids) >= REMEMBERED_WORDS // 2:
-                self.word_ids.clear()
-            self.word_ids[word] = ids
-        return ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.marks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool = array("I")
+
+    def of_word(self, word: str) -> list[int]:
+        named = word if word.isascii() else "".join(self.names[b] for b in word.encode())
+        return [t.id for t in self.model.tokenize(named)]
+
+    def of_chunk(self, chunk: str) -> list[int]:
+        if chunk.isascii() and chunk.isalpha():
+            return self.of_word(chunk.lower())
+        return [i for word in self.words(chunk.lower()) for i in self.of_word(word)]
+
+    def known(self, keys: np.ndarray, marks: np.ndarray, chunk_at) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size in the pool of distinct chunks, given their sorted hashes and marks; ``chunk_at(i)`` is the i-th."""
+        if len(self.keys) > REMEMBERED_CHUNKS:
+            self.forget()
+        at = np.searchsorted(self.keys, keys)
+        inside = np.minimum(at, max(len(self.keys) - 1, 0))
+        there = (self.keys[inside] == keys) & (self.marks[inside] == marks) if len(self.keys) else np.zeros(len(keys), bool)
+        starts, sizes = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
+        starts[there], sizes[there] = self.starts[inside[there]], self.sizes[inside[there]]
+        new = np.flatnonzero(~there)
+        for i in new.tolist():
+            ids = self.of_chunk(chunk_at(i))
+            starts[i], sizes[i] = len(self.pool), len(ids)
+            self.pool.extend(ids)
+        if len(new):
+            self.keys, self.marks = np.insert(self.keys, at[new], keys[new]), np.insert(self.marks, at[new], marks[new])
+            self.starts, self.sizes = np.insert(self.starts, at[new], starts[new]), np.insert(self.sizes, at[new], sizes[new])
+        return starts, sizes
+
+    def of_rows(self, column: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each row's text; null texts have none."""
+        data, offsets = text_bytes(column)
+        begin, end = spans_of_words(data, offsets, BREAKS)
+        ids, cuts = np.zeros(0, "<u4"), np.zeros(len(column) + 1, np.int64)
+        if len(begin):
+            keys, first, inverse = np.unique(hash_spans(data, begin, end), return_index=True, return_inverse=True)
+            b, e = begin[first], end[first]
+            marks = ((e - b).astype(np.uint32) << np.uint32(16)) | (data[b].astype(np.uint32) << np.uint32(8)) | data[e - 1]
+            starts, sizes = self.known(keys, marks, lambda i: data[b[i] : e[i]].tobytes().decode())
+            counts = sizes[inverse].astype(np.int64)
+            before = np.cumsum(counts) - counts
+            places = np.repeat(starts[inverse] - before, counts) + np.arange(counts.sum())
+            ids = np.frombuffer(self.pool, np.uint32)[places].astype("<u4") if len(places) else ids
+            rows = np.searchsorted(offsets, begin, "right") - 1
+            cuts[1:] = np.cumsum(np.bincount(rows, counts, len(column))).astype(np.int64)
+        out = [ids[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i, text in enumerate(column.to_pylist()):
+            if text and not text.isascii() and not unicodedata.is_normalized("NFC", text) or text and self.unsure(text):
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return out
 
     def of_text(self, text: str) -> bytes:
-        if self.unsure(text) or not unicodedata.is_normalized("NFC", text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.of_rows(pa.array([text], pa.large_string()))[0]
 
 
 @lru_cache(maxsize=2)
@@ -94,19 +135,25 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int
         raise ValueError("the longest sequence must be a power of two")
     end = int(end_id).to_bytes(4, "little")
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = _word_ids(tokenizer_path).of_text
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_rows = _word_ids(tokenizer_path).of_rows
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = ids_of(text or "") + end
-                start, total = 0, len(ids) // 4
-                for length in binary_lengths(total, longest):
-                    rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), total))
-                    start += length
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return docs.select("doc_id", "text").mapInPandas(pieces, PIECES)
+            for part in slices(batch, "text"):
+                owner, starts, lengths, sums, totals = [], [], [], [], []
+                for row, own in enumerate(of_rows(part.column("text"))):
+                    ids = own + end
+                    start, total = 0, len(ids) // 4
+                    for length in binary_lengths(total, longest):
+                        owner.append(row)
+                        starts.append(start)
+                        lengths.append(length)
+                        sums.append(zlib.crc32(ids[4 * start : 4 * (start + length)]))
+                        totals.append(total)
+                        start += length
+                numbers = [pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), *numbers], names=[c.split()[0] for c in PIECES.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)
 
 
 def bucketed_sequences(pieces: DataFrame) -> DataFrame:

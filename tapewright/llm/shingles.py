@@ -6,6 +6,7 @@ Words are maximal runs of bytes that aren't separators; a shingle is a run of
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,14 +59,23 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about so many bytes of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes of text, one row at least; work on a part takes up to fifty times its size."""
     _, offsets = text_bytes(batch.column(column))
     start = 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + max_bytes, "right")) - 1)
         yield batch.slice(start, min(stop, batch.num_rows) - start)
         start = stop
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker lives on beside its executor's JVM after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
 
 
 def spans_of_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
