@@ -22,12 +22,8 @@ LEAST_LANGUAGE_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a known language; ``lang`` stays as given."""
     model = language_id.trained_on_rest(docs)
-    known = (
-        language_id.predict(docs, model)
-        .where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-        .select("doc_id")
-    )
-    return docs.join(known, "doc_id", "left_semi")
+    found = language_id.predict(docs, model, keep=docs.columns)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapewright.llm.shingles import hash_spans, slices, spans_of_words, text_bytes
 
@@ -164,8 +165,8 @@ class WordScores:
         return []
 
 
-def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score`` of every row, from the whole text alone.
+def predict(docs: DataFrame, model: LanguageModel, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` of every row with ``lang_pred`` and ``score``, from the whole text alone.
 
     ``und`` with score 0: a null text, one without a letter, or a model without
     languages. Ties go to the language first in the alphabet. Rows that repeat
@@ -179,8 +180,9 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         scores, letter = WordScores(shared.value), regex.compile(r"\p{L}").search
         languages = [*shared.value.languages, UNKNOWN]
         for batch in batches:
-            for part in slices(batch, "text"):
-                data, offsets = text_bytes(pc.utf8_lower(part.column("text")))
+            for part in slices(batch, "_text"):
+                texts = part.column("_text")
+                data, offsets = text_bytes(pc.utf8_lower(texts))
                 starts, ends = spans_of_words(data, offsets, NO_LETTERS)
                 n, k = part.num_rows, len(languages) - 1
                 best, sure = np.full(n, k), np.zeros(n)
@@ -198,17 +200,16 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                     plain = np.zeros(n, bool)
                     plain[np.searchsorted(offsets, np.flatnonzero(ASCII_LETTERS[data]), "right") - 1] = True
                     for i in np.flatnonzero((words > 0) & ~plain):
-                        words[i] *= letter(part.column("text")[i].as_py()) is not None
+                        words[i] *= letter(texts[i].as_py()) is not None
                     best, sure = np.where(words > 0, top, k), np.where(words > 0, odds, 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([languages[i] for i in best], pa.string()), pa.array(sure, pa.float64())],
-                    names=["doc_id", "lang_pred", "score"],
+                    [*[part.column(c) for c in kept], pa.array([languages[i] for i in best], pa.string()), pa.array(sure, pa.float64())],
+                    names=[*kept, "lang_pred", "score"],
                 )
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {id_type}, lang_pred string, score double"
-    )
+    kept = list(keep)
+    out = T.StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")
+    return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(run, out)
 
 
 def held_out(id_col: str = "doc_id"):
