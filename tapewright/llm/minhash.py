@@ -9,10 +9,11 @@ dart of each coordinate is the signature. Two documents agree in a coordinate
 with the probability of their weighted Jaccard likeness.
 
 Documents that agree in all coordinates of a band meet in a bucket. In a bucket
-each document is compared with the bucket's first and with the one before it,
-ordered by the coordinates that follow the band, so candidates grow with the
-documents and not with the square of a group. Where the signatures leave a
-doubt about the threshold, the shingles themselves decide.
+each document is compared with the bucket's first and last by a hash, in two
+rounds, so groups of copies cost pairs by their documents and not by their
+square. In buckets that hold several classes after that, all signatures of
+different classes are compared, in blocks. Where the signatures leave a doubt
+about the threshold, the shingles themselves decide.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from tapewright.llm.storage import materialize
 BANDS, ROWS = 24, 5
 #: Estimates nearer to the threshold than this are settled by the shingles: over three standard errors of 120 coordinates.
 DOUBT = 0.12
+#: Documents of an open bucket that are compared with as many others at once.
+BLOCK = 1024
 TURN, PLACE = U64(0xA24BAED4963EE407), U64(0x5851F42D4C957F2D)
 
 
@@ -147,6 +150,38 @@ def star_pairs(buckets: DataFrame, key: str, seed: int) -> DataFrame:
     return met.select("node", pair.alias("other")).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
+def block_pairs(open_nodes: DataFrame, signatures: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """``a, b``: the pairs of a bucket that differ in class and agree in ``least`` of their coordinates.
+
+    ``open_nodes``: node, bucket, component. A bucket's nodes are dealt by hash
+    to blocks of about ``block``, and every two blocks meet in a group of their
+    own, so no task holds a large bucket.
+    """
+    sizes = open_nodes.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = open_nodes.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
+    met = dealt.select("node", "bucket", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    grouped = met.select("node", "bucket", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def run(table: pa.Table) -> pa.Table:
+        node, component, own = (table.column(c).to_numpy() for c in ("node", "component", "own"))
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(len(node), -1)
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        columns = np.ascontiguousarray(signature[right].T)
+        for i in left:
+            agreed = np.zeros(len(right), np.int16)
+            for value, column in zip(signature[i], columns, strict=True):
+                agreed += column == value
+            hit = right[(agreed >= least * len(columns)) & (component[right] != component[i])]
+            hit = hit[node[hit] > node[i]] if x == y else hit
+            a.append(np.minimum(node[hit], node[i]))
+            b.append(np.maximum(node[hit], node[i]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return grouped.join(signatures, "node").groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
 @F.pandas_udf(T.DoubleType())
 def agreement(x: pd.Series, y: pd.Series) -> pd.Series:
     """The share of coordinates in which two signatures agree."""
@@ -215,8 +250,8 @@ def near_duplicates(
     texts are one node, so copies cost no pairs. Null texts are alone in their
     class; empty texts are equal texts, and texts without words link to none
     but their equals. In later rounds the buckets that still hold several
-    classes get other firsts and lasts, so that a text the first ones missed is
-    compared again.
+    classes get other firsts and lasts; after the last round all pairs of
+    different classes in such buckets are compared.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(signed_texts(docs, n, bands * rows))
@@ -229,15 +264,22 @@ def near_duplicates(
     buckets = bucketed(signatures, bands, rows)
     links: DataFrame | None = None
     classes: DataFrame | None = None
-    for seed in range(rounds):
+    for turn in range(rounds + 1):
         open_buckets = buckets
         if classes is not None:
             classed = buckets.join(classes, buckets["node"] == classes["of"], "left").select(
                 "node", "bucket", "finer", F.coalesce("component", "node").alias("component")
             )
-            several = classed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-            open_buckets = classed.join(several, "bucket", "left_semi")
-        pairs = star_pairs(open_buckets, "bucket", seed).unionByName(star_pairs(open_buckets, "finer", seed)).distinct()
+            several = (
+                classed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
+            )
+            # All pairs of up to three nodes were compared in the first round.
+            several = several.where("size > 3") if turn == rounds else several
+            open_buckets = classed.join(several.select("bucket"), "bucket", "left_semi")
+        if turn < rounds:
+            pairs = star_pairs(open_buckets, "bucket", turn).unionByName(star_pairs(open_buckets, "finer", turn)).distinct()
+        else:
+            pairs = block_pairs(materialize(open_buckets.select("node", "bucket", "component")), signatures, threshold - DOUBT)
         if classes is not None:
             known_a, known_b = (classes.select(F.col("of").alias(s), F.col("component").alias(f"class_{s}")) for s in "ab")
             pairs = (
