@@ -1,7 +1,8 @@
 """Near-duplicate documents by DartMinHash signatures and a banded join.
 
 A document is a weighted set: its five-word shingles, weighted by how often
-they occur. Every shingle owns a region of weight by rank into which darts fall
+they occur. It is also a plain set of them, with a signature of its own where
+a shingle repeats; the larger of both likenesses counts. Every shingle owns a region of weight by rank into which darts fall
 at random, one for each unit of area, the same ones in every document. A
 document is hit by the darts below its weights, up to the rank at which enough
 have hit it; each dart belongs to one coordinate by its hash, and the earliest
@@ -106,35 +107,44 @@ def weighted_shingles(column: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndar
 
 
 def signed_texts(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """``doc_id, text_key, signature`` of ``doc_id, text`` rows whose text isn't null; no signature for texts without words."""
+    """``doc_id, text_key, plain, counted`` of ``doc_id, text`` rows whose text isn't null; no signatures for texts without words.
+
+    ``plain`` is of the shingles with weight 1, ``counted`` of their counts; the latter is null where no shingle repeats, as both are equal then.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 rows, h, count = weighted_shingles(part.column("text"), n)
-                signature = dart_signatures(rows, h, count, part.num_rows, k).astype("<u4")
                 full = np.isin(np.arange(part.num_rows), rows)
-                out = [x.tobytes() if f else None for x, f in zip(signature, full, strict=True)]
+                repeats = np.isin(np.arange(part.num_rows), rows[count > 1])
+                again = repeats[rows]
+                plain = dart_signatures(rows, h, np.ones(len(rows)), part.num_rows, k).astype("<u4")
+                counted = dart_signatures(rows[again], h[again], count[again], part.num_rows, k).astype("<u4")
+                out = [pa.array([x.tobytes() if f else None for x, f in zip(s, some, strict=True)], pa.binary()) for s, some in ((plain, full), (counted, repeats))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_key"), pa.array(out, pa.binary())], names=["doc_id", "text_key", "signature"]
+                    [part.column("doc_id"), part.column("text_key"), *out], names=["doc_id", "text_key", "plain", "counted"]
                 )
 
     keyed = docs.where("text is not null").select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"))
-    return keyed.mapInArrow(run, "doc_id long, text_key binary, signature binary")
+    return keyed.mapInArrow(run, "doc_id long, text_key binary, plain binary, counted binary")
 
 
 def bucketed(signatures: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``node, bucket, finer``: each signature's bands, and each band with the one that follows."""
+    """``node, bucket, finer``: each signature's bands, and each band with the one that follows; of both signatures, in the same buckets."""
     width = 4 * rows
 
-    def band(i):
-        return F.substring("signature", i * width + 1, F.lit(width))
+    def made(signature):
+        def band(i):
+            return F.substring(signature, i * width + 1, F.lit(width))
 
-    made = F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)),
-        lambda i: F.struct(F.xxhash64(i, band(i)).alias("bucket"), F.xxhash64(i, band(i), band((i + 1) % bands)).alias("finer")),
-    )
-    return signatures.select("node", F.explode(made).alias("b")).select("node", "b.bucket", "b.finer")
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(bands - 1)),
+            lambda i: F.struct(F.xxhash64(i, band(i)).alias("bucket"), F.xxhash64(i, band(i), band((i + 1) % bands)).alias("finer")),
+        )
+
+    both = F.when(F.col("counted").isNull(), made("plain")).otherwise(F.array_union(made("plain"), made("counted")))
+    return signatures.select("node", F.explode(both).alias("b")).select("node", "b.bucket", "b.finer")
 
 
 def star_pairs(buckets: DataFrame, key: str, seed: int) -> DataFrame:
@@ -157,6 +167,7 @@ def block_pairs(open_nodes: DataFrame, signatures: DataFrame, least: float, bloc
     to blocks of about ``block``, and every two blocks meet in a group of their
     own, so no task holds a large bucket.
     """
+    open_nodes = open_nodes.distinct()
     sizes = open_nodes.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = open_nodes.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
     met = dealt.select("node", "bucket", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -164,22 +175,32 @@ def block_pairs(open_nodes: DataFrame, signatures: DataFrame, least: float, bloc
 
     def run(table: pa.Table) -> pa.Table:
         node, component, own = (table.column(c).to_numpy() for c in ("node", "component", "own"))
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(len(node), -1)
+        plain, counted = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<u4").reshape(len(node), -1) for c in ("plain", "counted"))
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        columns = np.ascontiguousarray(signature[right].T)
-        for i in left:
+        repeats = (plain != counted).any(axis=1)
+        columns, counts = np.ascontiguousarray(plain[right].T), np.ascontiguousarray(counted[right].T)
+        some = repeats[right].any()
+
+        def agreeing(one: np.ndarray, many: np.ndarray) -> np.ndarray:
             agreed = np.zeros(len(right), np.int16)
-            for value, column in zip(signature[i], columns, strict=True):
+            for value, column in zip(one, many, strict=True):
                 agreed += column == value
+            return agreed
+
+        for i in left:
+            agreed = agreeing(plain[i], columns)
+            if some or repeats[i]:
+                agreed = np.maximum(agreed, agreeing(counted[i], counts))
             hit = right[(agreed >= least * len(columns)) & (component[right] != component[i])]
             hit = hit[node[hit] > node[i]] if x == y else hit
             a.append(np.minimum(node[hit], node[i]))
             b.append(np.maximum(node[hit], node[i]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return grouped.join(signatures, "node").groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    signed = signatures.select("node", "plain", F.coalesce("counted", "plain").alias("counted"))
+    return grouped.join(signed, "node").groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 @F.pandas_udf(T.DoubleType())
@@ -227,9 +248,12 @@ def verified_links(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, thr
     def sides(df: DataFrame, *cols: str) -> tuple[DataFrame, DataFrame]:
         return tuple(df.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in cols]) for side in "ab")
 
-    of_a, of_b = sides(signatures, "signature")
+    of_a, of_b = sides(signatures, "plain", "counted")
+    plain = agreement("plain_a", "plain_b")
+    counted = agreement(F.coalesce("counted_a", "plain_a"), F.coalesce("counted_b", "plain_b"))
+    repeats = F.col("counted_a").isNotNull() | F.col("counted_b").isNotNull()
     estimated = materialize(
-        pairs.join(of_a, "a").join(of_b, "b").select("a", "b", agreement("signature_a", "signature_b").alias("near")).where(F.col("near") >= threshold - DOUBT)
+        pairs.join(of_a, "a").join(of_b, "b").select("a", "b", F.when(repeats, F.greatest(plain, counted)).otherwise(plain).alias("near")).where(F.col("near") >= threshold - DOUBT)
     )
     sure = estimated.where(F.col("near") >= threshold + DOUBT).select("a", "b")
     doubtful = estimated.where(F.col("near") < threshold + DOUBT).select("a", "b")
@@ -259,7 +283,7 @@ def near_duplicates(
     nodes = materialize(signed.select("doc_id", "text_key").join(firsts, "text_key").select("doc_id", "node"))
     own = nodes.where("doc_id = node").select("node")
     signatures = materialize(
-        signed.where("signature is not null").select(F.col("doc_id").alias("node"), "signature").join(own, "node", "left_semi")
+        signed.where("plain is not null").select(F.col("doc_id").alias("node"), "plain", "counted").join(own, "node", "left_semi")
     )
     buckets = bucketed(signatures, bands, rows)
     links: DataFrame | None = None
