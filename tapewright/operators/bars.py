@@ -267,20 +267,22 @@ def trade_clusters(trades: DataFrame, cutoff_ms: int | None = None, gap_ms: int
 
     A burst ends at the first print that is late or small; which print starts
     one depends on the bursts before, so a key's trades are read in order. A
-    key's hours are read one by one, each with the prints up to ``gap_ms`` past
-    its end; bursts start anew with each hour.
+    small print and one after a silence longer than ``gap_ms`` always start
+    one, so a key is cut into hours at these prints: each is read with the
+    large prints that follow it, past the hour's end too.
     """
-    hour = F.floor(F.col("ts_ms") / 3_600_000)
-    late = F.pmod(F.col("ts_ms"), F.lit(3_600_000)) <= gap_ms
-    held = F.when(late, F.array(hour, hour - 1)).otherwise(F.array(hour))
     recent = trades if cutoff_ms is None else trades.where(F.col("ts_ms") >= cutoff_ms)
-    rows = recent.select("symbol", "venue", "trade_id", "ts_ms", "price", "qty", "is_buyer_maker", F.explode(held).alias("hour"))
+    in_order = Window.partitionBy("symbol", "venue").orderBy("ts_ms", "trade_id", "price", "qty")
+    before = F.lag("ts_ms").over(in_order)
+    starts = before.isNull() | (F.col("ts_ms") - before > gap_ms) | (F.col("qty") < min_qty)
+    rows = recent.select("symbol", "venue", "trade_id", "ts_ms", "price", "qty", "is_buyer_maker", F.when(starts, F.floor(F.col("ts_ms") / 3_600_000)).alias("start"))
+    rows = rows.withColumn("hour", F.last("start", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0))).drop("start")
 
     def bursts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts_ms", "trade_id", "price", "qty"], kind="stable")
         ts, qty, price, maker = pdf["ts_ms"].tolist(), pdf["qty"].tolist(), pdf["price"].tolist(), pdf["is_buyer_maker"].tolist()
-        end, found, i = (key[2] + 1) * 3_600_000, [], 0
-        while i < len(ts) and ts[i] < end:
+        found, i = [], 0
+        while i < len(ts):
             j = i + 1
             while j < len(ts) and ts[j] - ts[i] <= gap_ms and qty[j] >= min_qty:
                 j += 1
