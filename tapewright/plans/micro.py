@@ -112,14 +112,14 @@ DEGRADED = f"""(WITH l AS (SELECT *, ts_ms + horizon_ms AS target FROM {LABELS}
   SELECT l.symbol, l.venue, l.ts_ms, l.update_id, l.horizon_ms, CASE WHEN h.reason IS NULL THEN y_ticks END AS y_ticks, coalesce(h.reason, l.excluded) AS excluded FROM l LEFT JOIN h ON l.symbol = h.symbol AND l.venue = h.venue AND l.update_id = h.update_id AND l.ts_ms = h.ts_ms AND l.horizon_ms = h.horizon_ms)"""
 
 
-def usable_labels(m: Market):
-    spans = rules.status_spans(m.capture_status).where("reason = 'gap' and lo % 7 = 0")
-    return micro.exclude_degraded(labels(m), spans)
+def usable_labels(m: Market, spans=None):
+    """Labels without those that overlap a degraded span; all spans unless some are given."""
+    return micro.exclude_degraded(labels(m), rules.status_spans(m.capture_status) if spans is None else spans)
 
 
 @query("j9_degraded_span_exclusion", f"SELECT * FROM {DEGRADED} d", "y_ticks")
 def _(m: Market):
-    return usable_labels(m)
+    return usable_labels(m, rules.status_spans(m.capture_status).where("reason = 'gap' and lo % 7 = 0"))
 
 
 CANDIDATES = f"""(WITH s AS (SELECT *, sum(contribution) OVER w AS flow, sum(CASE WHEN bid_ticks = pb AND bid_qty > pbq THEN 1 ELSE 0 END) OVER w AS refills, count(*) OVER w AS n, arg_max(mid, update_id) OVER w AS last_mid FROM {EVENTS} e

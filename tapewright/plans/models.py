@@ -88,7 +88,7 @@ def _(m: Market):
 
 
 def cases(m: Market):
-    return models.complete_cases(pm.features(m), pm.labels(m), FEATURES)
+    return models.complete_cases(pm.features(m), pm.usable_labels(m), FEATURES)
 
 
 def forward_fits(m: Market):
