@@ -8,19 +8,17 @@ is the mean over its words; the languages' posterior is a softmax of it.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tapewright.llm.shingles import hash_spans, slices, spans_of_words, text_bytes
+from tapewright.llm.shingles import hash_spans, release_memory, spans_of_words, text_bytes, text_slices
+from tapewright.llm.storage import unused
 
 UNKNOWN = "und"
 #: Letters of any script, in runs; for Java's and Python's patterns alike.
@@ -30,8 +28,6 @@ ASCII_LETTERS = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(2
 NO_LETTERS = ~(ASCII_LETTERS | (np.arange(256) >= 128))
 #: What a whole text's evidence counts for at most, in words: keeps the posterior short of certainty.
 EVIDENCE_WORDS = 20
-#: Languages that a model tells apart at most: the most frequent ones.
-MAX_LANGUAGES = 1000
 #: Words whose scores a Python task remembers.
 REMEMBERED_WORDS = 300_000
 
@@ -47,24 +43,20 @@ class LanguageModel:
 
 
 def training_sample(docs: DataFrame, max_docs: int) -> DataFrame:
-    """``lang, text`` of at most about ``max_docs`` rows a language, chosen by the hash of the id."""
+    """``lang, text`` of about ``max_docs`` rows a language, chosen by the hash of the id."""
     labelled = docs.where("lang is not null and text is not null")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES)
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    return labelled.join(F.broadcast(counts), "lang").where(place < share).select("lang", "text")
+    return labelled.join(counts, "lang").where(place < share).select("lang", "text")
 
 
-def _grams(word: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(word) - size + 1), lambda i: F.substring(word, i, F.lit(size)))
-
-
-def train(docs: DataFrame, max_docs: int = 2000, max_words: int = 20_000, max_grams: int = 10_000) -> LanguageModel:
+def train(docs: DataFrame, max_docs: int = 500) -> LanguageModel:
     """Fit the model on ``doc_id, text, lang`` rows.
 
-    Bounds, all parameters: the documents read a language, the words kept a
-    language, the n-grams kept an order and language. No labelled text gives a
-    model without languages.
+    The one bound, a parameter, is on labelled rows: the documents read a
+    language. Every language, word and n-gram of these is kept. No labelled
+    text gives a model without languages.
     """
     words = (
         training_sample(docs, max_docs)
@@ -72,48 +64,37 @@ def train(docs: DataFrame, max_docs: int = 2000, max_words: int = 20_000, max_gr
         .groupBy("lang", "piece")
         .agg(F.count("*").alias("n"))
     )
-    tables = [words.select(F.lit(0).alias("size"), "lang", "piece", "n")]
-    for size in ORDERS:
-        padded = F.concat(F.lit(" "), "piece", F.lit(" ")) if size > 1 else F.col("piece")
-        tables.append(
-            words.where(F.length(padded) >= size)
-            .select("lang", "n", F.explode(_grams(padded, size)).alias("piece"))
-            .groupBy("lang", "piece")
-            .agg(F.sum("n").alias("n"))
-            .select(F.lit(size).alias("size"), "lang", "piece", "n")
-        )
-    counted = tables[0]
-    for t in tables[1:]:
-        counted = counted.unionByName(t)
-    group = Window.partitionBy("size", "lang")
-    ranked = (
-        counted.withColumn("total", F.sum("n").over(group))
-        .withColumn("rank", F.row_number().over(group.orderBy(F.col("n").desc(), "piece")))
-        .where((F.col("rank") <= F.when(F.col("size") == 0, max_words).otherwise(max_grams)) & ((F.col("n") > 1) | (F.col("size") > 0)))
-    )
-    rows = ranked.select("size", "lang", "piece", "n", "total").collect()  # bounded by the parameters
-    return _model(rows)
+    return _model([tuple(r) for r in words.collect()])  # bounded by the documents read
 
 
-def _model(rows: list) -> LanguageModel:
-    languages = sorted({r["lang"] for r in rows})
+def grams_of(word: str, size: int) -> list[str]:
+    """A word's n-grams, within blanks but for single characters."""
+    padded = f" {word} " if size > 1 else word
+    return [padded[i : i + size] for i in range(len(padded) - size + 1)]
+
+
+def _model(rows: list[tuple[str, str, int]]) -> LanguageModel:
+    """From (language, word, count) triples."""
+    languages = sorted({lang for lang, _, _ in rows})
     place = {lang: i for i, lang in enumerate(languages)}
-    totals = {(r["size"], r["lang"]): r["total"] for r in rows}
-    found: dict[int, dict[str, Counter]] = {size: {} for size in (0, *ORDERS)}
-    for r in rows:
-        found[r["size"]].setdefault(r["piece"], Counter())[r["lang"]] += r["n"]
-    table: list[np.ndarray] = []
+    table: list[np.ndarray] = [np.zeros((0, len(languages)))]
     rows_of: dict[int, dict[str, int]] = {}
-    for size, pieces in found.items():
-        floor = np.array([math.log(0.5 / (1 + totals.get((size, lang), 0))) for lang in languages])
-        rows_of[size] = {}
-        for piece, by_lang in pieces.items():
-            v = floor.copy()
-            for lang, n in by_lang.items():
-                v[place[lang]] = math.log(n / totals[size, lang])
-            rows_of[size][piece] = len(table)
-            table.append(v)
-    return LanguageModel(languages, rows_of[0], [rows_of[size] for size in ORDERS], np.array(table, np.float32).reshape(len(table), len(languages)))
+    before = 0
+    for size in (0, *ORDERS):
+        row_of: dict[str, int] = {}
+        at, column, counts = [], [], []
+        for lang, word, n in rows:
+            for piece in (word,) if size == 0 else grams_of(word, size):
+                at.append(row_of.setdefault(piece, len(row_of)))
+                column.append(place[lang])
+                counts.append(n)
+        found = np.zeros((len(row_of), len(languages)))
+        np.add.at(found, (np.array(at, int), np.array(column, int)), counts)
+        total = found.sum(axis=0)
+        table.append(np.where(found > 0, np.log(np.maximum(found, 1) / np.maximum(total, 1)), np.log(0.5 / (1 + total))))
+        rows_of[size] = {piece: before + i for piece, i in row_of.items()}
+        before += len(row_of)
+    return LanguageModel(languages, rows_of[0], [rows_of[size] for size in ORDERS], np.concatenate(table).astype(np.float32))
 
 
 class WordScores:
@@ -122,10 +103,35 @@ class WordScores:
     def __init__(self, model: LanguageModel):
         import regex
 
-        self.model, self.pieces_of = model, regex.compile(r"\p{L}+").findall
+        self.model, self.pieces_of, self.letter = model, regex.compile(r"\p{L}+").findall, regex.compile(r"\p{L}").search
         self.known: dict[int, int] = {}
         self.table = np.zeros((0, len(model.languages)), np.float32)
 
+    def verdicts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Language and score of each text."""
+        languages = np.array([*self.model.languages, UNKNOWN], object)
+        data, offsets = text_bytes(pc.utf8_lower(texts))
+        starts, ends = spans_of_words(data, offsets, NO_LETTERS)
+        n, k = len(texts), len(languages) - 1
+        best, sure = np.full(n, k), np.zeros(n)
+        if len(starts) and k:
+            rows = np.searchsorted(offsets, starts, "right") - 1
+            distinct, first, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+            at = self.rows(distinct, lambda i: data[starts[first[i]] : ends[first[i]]].tobytes().decode())
+            by_word = self.table[at[inverse]]
+            words = np.bincount(rows, minlength=n)
+            mean = np.stack([np.bincount(rows, by_word[:, j], n) for j in range(k)], axis=1) / np.maximum(words, 1)[:, None]
+            top = mean.argmax(axis=1)
+            weight = np.minimum(words, EVIDENCE_WORDS)
+            odds = 1 / np.exp((mean - mean.max(axis=1, keepdims=True)) * weight[:, None]).sum(axis=1)
+            # Bytes of other scripts needn't be letters: rows without an ASCII letter are looked at.
+            plain = np.zeros(n, bool)
+            plain[np.searchsorted(offsets, np.flatnonzero(ASCII_LETTERS[data]), "right") - 1] = True
+            for i in np.flatnonzero((words > 0) & ~plain):
+                words[i] *= self.letter(texts[i].as_py()) is not None
+            best, sure = np.where(words > 0, top, k), np.where(words > 0, odds, 0.0)
+        return languages[best], sure
+
     def rows(self, hashes: np.ndarray, word_at) -> np.ndarray:
         """Rows of ``table`` for distinct word hashes; ``word_at(i)`` gives the i-th word."""
         if len(self.known) > REMEMBERED_WORDS:
@@ -159,12 +165,28 @@ class WordScores:
         if (row := self.model.words.get(word)) is not None:
             return [row]
         for size, grams in zip(ORDERS, self.model.grams, strict=True):
-            padded = f" {word} " if size > 1 else word
-            if hits := [g for i in range(len(padded) - size + 1) if (g := grams.get(padded[i : i + size])) is not None]:
+            if hits := [g for piece in grams_of(word, size) if (g := grams.get(piece)) is not None]:
                 return hits
         return []
 
 
+def detected(model: LanguageModel, spark: SparkSession) -> Callable[[Column], Column]:
+    """A function from a text column to a struct of ``lang_pred`` and ``score``; only the text goes to Python."""
+    shared = spark.sparkContext.broadcast(model)  # bounded by the parameter of train()
+
+    @F.arrow_udf("lang_pred string, score double")
+    def verdicts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scores = WordScores(shared.value)
+        for texts in columns:
+            parts = [scores.verdicts(part) for part in text_slices(texts)]
+            found, sure = [np.concatenate(x) if parts else np.zeros(0) for x in (list(zip(*parts, strict=True)) or ((), ()))]
+            release_memory()
+            yield pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(sure, pa.float64())], ["lang_pred", "score"])
+
+    # Not to be worked out again where a filter on it is pushed below other columns.
+    return verdicts.asNondeterministic()
+
+
 def predict(docs: DataFrame, model: LanguageModel, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of every row with ``lang_pred`` and ``score``, from the whole text alone.
 
@@ -172,44 +194,15 @@ def predict(docs: DataFrame, model: LanguageModel, keep: Sequence[str] = ("doc_i
     languages. Ties go to the language first in the alphabet. Rows that repeat
     an id are predicted each on its own.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of train()
+    found = unused(docs, "verdict")
+    return docs.select(*keep, detected(model, docs.sparkSession)(F.col(text_col)).alias(found)).select(*keep, f"{found}.lang_pred", f"{found}.score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
 
-        scores, letter = WordScores(shared.value), regex.compile(r"\p{L}").search
-        languages = [*shared.value.languages, UNKNOWN]
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                texts = part.column("_text")
-                data, offsets = text_bytes(pc.utf8_lower(texts))
-                starts, ends = spans_of_words(data, offsets, NO_LETTERS)
-                n, k = part.num_rows, len(languages) - 1
-                best, sure = np.full(n, k), np.zeros(n)
-                if len(starts) and k:
-                    rows = np.searchsorted(offsets, starts, "right") - 1
-                    distinct, first, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-                    at = scores.rows(distinct, lambda i, f=first, s=starts, e=ends, d=data: d[s[f[i]] : e[f[i]]].tobytes().decode())
-                    by_word = scores.table[at[inverse]]
-                    words = np.bincount(rows, minlength=n)
-                    mean = np.stack([np.bincount(rows, by_word[:, j], n) for j in range(k)], axis=1) / np.maximum(words, 1)[:, None]
-                    top = mean.argmax(axis=1)
-                    weight = np.minimum(words, EVIDENCE_WORDS)
-                    odds = 1 / np.exp((mean - mean.max(axis=1, keepdims=True)) * weight[:, None]).sum(axis=1)
-                    # Bytes of other scripts needn't be letters: rows without an ASCII letter are looked at.
-                    plain = np.zeros(n, bool)
-                    plain[np.searchsorted(offsets, np.flatnonzero(ASCII_LETTERS[data]), "right") - 1] = True
-                    for i in np.flatnonzero((words > 0) & ~plain):
-                        words[i] *= letter(texts[i].as_py()) is not None
-                    best, sure = np.where(words > 0, top, k), np.where(words > 0, odds, 0.0)
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in kept], pa.array([languages[i] for i in best], pa.string()), pa.array(sure, pa.float64())],
-                    names=[*kept, "lang_pred", "score"],
-                )
-
-    kept = list(keep)
-    out = T.StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")
-    return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(run, out)
+def in_known_language(docs: DataFrame, model: LanguageModel, least_score: float) -> DataFrame:
+    """The rows of ``docs`` whose language is known with at least this score, with their own columns only."""
+    found = unused(docs, "verdict")
+    judged = docs.withColumn(found, detected(model, docs.sparkSession)(F.col("text")))
+    return judged.where((F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") >= least_score)).drop(found)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -12,11 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 STEP = U64(0xD1342543DE82EF95)
+#: Bytes of a range that is hashed by a polynomial.
+LONGEST_POLYNOMIAL = 512
 
 #: ASCII white space separates words.
 SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
@@ -61,13 +64,21 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about so many bytes of text, one row at least; work on a part takes up to fifty times its size."""
-    _, offsets = text_bytes(batch.column(column))
     start = 0
-    while start < batch.num_rows:
+    for part in text_slices(batch.column(column), max_bytes):
+        yield batch.slice(start, len(part))
+        start += len(part)
+    release_memory()
+
+
+def text_slices(texts: pa.Array, max_bytes: int = 1 << 19) -> Iterator[pa.Array]:
+    """Parts of a text column of about so many bytes, one row at least."""
+    _, offsets = text_bytes(texts)
+    start = 0
+    while start < len(texts):
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + max_bytes, "right")) - 1)
-        yield batch.slice(start, min(stop, batch.num_rows) - start)
+        yield texts.slice(start, min(stop, len(texts)) - start)
         start = stop
-    release_memory()
 
 
 def release_memory() -> None:
@@ -94,11 +105,18 @@ def spans_of_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges; equal bytes have equal hashes wherever they stand."""
+    """64-bit hashes of byte ranges; equal bytes have equal hashes wherever they stand.
+
+    A polynomial modulo a power of two has structured collisions among strings
+    of a thousand bytes and more, so long ranges are hashed as a whole.
+    """
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    out = mix((sums[ends] - sums[starts]) * down[starts])
+    for i in np.flatnonzero(ends - starts > LONGEST_POLYNOMIAL):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def word_hashes(column: pa.Array, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:

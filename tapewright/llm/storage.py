@@ -31,3 +31,15 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/tapewright-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, *names: str) -> str | list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out[0] if len(out) == 1 else out
