@@ -29,7 +29,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``node, component``: the least node of each node's component, for all nodes of ``links`` (a, b: long).
+    """``node, component``: the least node of each node's component, for all nodes of ``links`` (a, b: of any type with an order).
 
     Ends when a round changes nothing; each round's links are written down, so
     the lineage stays short. Only counts and sums of hashes reach the driver.

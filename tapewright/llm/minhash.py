@@ -30,11 +30,13 @@ from pyspark.sql import types as T
 
 from tapewright.llm.components import components
 from tapewright.llm.shingles import STEP, U64, mix, shingle_hashes, slices, word_hashes
-from tapewright.llm.storage import materialize
+from tapewright.llm.storage import materialize, unused
 
 BANDS, ROWS = 24, 5
 #: Estimates nearer to the threshold than this are settled by the shingles: over three standard errors of 120 coordinates.
 DOUBT = 0.12
+#: Parts into which the copies of a text are dealt where they are joined.
+SALTS = 8
 #: Documents of an open bucket that are compared with as many others at once.
 BLOCK = 1024
 TURN, PLACE = U64(0xA24BAED4963EE407), U64(0x5851F42D4C957F2D)
@@ -106,6 +108,11 @@ def weighted_shingles(column: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndar
     return rows[first], h[first], np.diff(np.r_[first, len(h)]).astype(np.float64)
 
 
+def text_key(text: Column) -> Column:
+    """The MD5 digest by which equal texts are one node; no bytes for a null text."""
+    return F.when(text.isNull(), F.lit(b"")).otherwise(F.unhex(F.md5(text.cast("binary"))))
+
+
 def signed_texts(docs: DataFrame, n: int, k: int) -> DataFrame:
     """``doc_id, text_key, plain, counted`` of ``doc_id, text`` rows whose text isn't null; no signatures for texts without words.
 
@@ -126,7 +133,7 @@ def signed_texts(docs: DataFrame, n: int, k: int) -> DataFrame:
                     [part.column("doc_id"), part.column("text_key"), *out], names=["doc_id", "text_key", "plain", "counted"]
                 )
 
-    keyed = docs.where("text is not null").select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"))
+    keyed = docs.where("text is not null").select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     return keyed.mapInArrow(run, "doc_id long, text_key binary, plain binary, counted binary")
 
 
@@ -174,7 +181,8 @@ def block_pairs(open_nodes: DataFrame, signatures: DataFrame, least: float, bloc
     grouped = met.select("node", "bucket", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
     def run(table: pa.Table) -> pa.Table:
-        node, component, own = (table.column(c).to_numpy() for c in ("node", "component", "own"))
+        node, own = table.column("node").combine_chunks(), table.column("own").to_numpy()
+        component = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
         plain, counted = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<u4").reshape(len(node), -1) for c in ("plain", "counted"))
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
@@ -194,13 +202,15 @@ def block_pairs(open_nodes: DataFrame, signatures: DataFrame, least: float, bloc
             if some or repeats[i]:
                 agreed = np.maximum(agreed, agreeing(counted[i], counts))
             hit = right[(agreed >= least * len(columns)) & (component[right] != component[i])]
-            hit = hit[node[hit] > node[i]] if x == y else hit
-            a.append(np.minimum(node[hit], node[i]))
-            b.append(np.maximum(node[hit], node[i]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            hit = hit[hit > i] if x == y else hit
+            a.append(np.full(len(hit), i))
+            b.append(hit)
+        return pa.table({"a": node.take(pa.array(np.concatenate(a))), "b": node.take(pa.array(np.concatenate(b)))})
 
     signed = signatures.select("node", "plain", F.coalesce("counted", "plain").alias("counted"))
-    return grouped.join(signed, "node").groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    kind = signed.schema["node"].dataType.simpleString()
+    met_pairs = grouped.join(signed, "node").groupBy("bucket", "x", "y").applyInArrow(run, f"a {kind}, b {kind}")
+    return met_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 @F.pandas_udf(T.DoubleType())
@@ -239,7 +249,7 @@ def counted_shingles(docs: DataFrame, n: int) -> DataFrame:
                     [part.column("node"), lists(h, rows, part.num_rows), lists(again, np.repeat(rows, more), part.num_rows)], names=["node", "first", "again"]
                 )
 
-    return docs.mapInArrow(run, "node long, first array<bigint>, again array<bigint>")
+    return docs.mapInArrow(run, "node binary, first array<bigint>, again array<bigint>")
 
 
 def verified_links(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, threshold: float, n: int) -> DataFrame:
@@ -258,33 +268,36 @@ def verified_links(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, thr
     sure = estimated.where(F.col("near") >= threshold + DOUBT).select("a", "b")
     doubtful = estimated.where(F.col("near") < threshold + DOUBT).select("a", "b")
     nodes = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi")
+    # One text of each node: of copies those with the least id, and of these the first.
+    wanted = signatures.select("node", "least_id").join(nodes, "node")
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("node"), "text")
+    texts = keyed.join(wanted.withColumnRenamed("node", "key"), F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("node") == F.col("key")), "left_semi").dropDuplicates(["node"]).select("node", "text")
     known_a, known_b = sides(materialize(counted_shingles(texts, n)), "first", "again")
     settled = doubtful.join(known_a, "a").join(known_b, "b").where(F.greatest(*shared_sizes()) >= threshold).select("a", "b")
     return materialize(sure.unionByName(settled))
 
 
-def near_duplicates(
-    docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, rounds: int = 2
-) -> DataFrame:
-    """``doc_id, class_id, kept`` of every row of ``doc_id`` (long, distinct), ``text``.
+def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
+    """``doc_id, text_key, class_id, kept`` of every row of ``doc_id`` (cast to long), ``text``.
 
     A class is a connected component of texts linked by a likeness of at least
-    ``threshold``; its id is its least doc_id, whose row is the one kept. Equal
-    texts are one node, so copies cost no pairs. Null texts are alone in their
-    class; empty texts are equal texts, and texts without words link to none
-    but their equals. In later rounds the buckets that still hold several
-    classes get other firsts and lasts; after the last round all pairs of
-    different classes in such buckets are compared.
+    ``threshold``. Equal texts are one node, whatever their ids, so copies cost
+    no pairs. ``class_id`` is the class's least doc_id, null where none of its
+    rows has an id; ``kept`` marks the rows with that id and one text of the
+    class. Null texts are alone in their class; empty texts are equal texts,
+    and texts without words link to none but their equals. Rows that repeat an
+    id are classed by their own texts. In later rounds the buckets that still
+    hold several classes get other firsts and lasts; after the last round all
+    pairs of different classes in such buckets are compared.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(signed_texts(docs, n, bands * rows))
-    firsts = signed.groupBy("text_key").agg(F.min("doc_id").alias("node"))
-    nodes = materialize(signed.select("doc_id", "text_key").join(firsts, "text_key").select("doc_id", "node"))
-    own = nodes.where("doc_id = node").select("node")
-    signatures = materialize(
-        signed.where("plain is not null").select(F.col("doc_id").alias("node"), "plain", "counted").join(own, "node", "left_semi")
+    nodes = materialize(
+        signed.groupBy(F.col("text_key").alias("node")).agg(
+            F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("plain").alias("plain"), F.first("counted").alias("counted")
+        )
     )
+    signatures = nodes.where("plain is not null")
     buckets = bucketed(signatures, bands, rows)
     links: DataFrame | None = None
     classes: DataFrame | None = None
@@ -314,12 +327,34 @@ def near_duplicates(
             )
         found = verified_links(pairs, signatures, docs, threshold, n)
         links = found if links is None else links.unionByName(found)
-        classes = components(links).withColumnRenamed("node", "of")
-    known = nodes.join(classes, nodes["node"] == classes["of"], "left").select(
-        "doc_id", F.coalesce("component", "node").alias("class_id")
-    )
-    alone = docs.where("text is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return known.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+        classes = materialize(components(links).withColumnRenamed("node", "of"))
+    # Texts with neither copies nor links are their own class and need no join.
+    joined = nodes.select("node", "least_id", "copies").join(classes, F.col("node") == F.col("of"), "left").where("copies > 1 or component is not null")
+    joined = joined.withColumn("component", F.coalesce("component", "node"))
+    first = F.struct(F.col("least_id").isNull().alias("none"), "least_id", "node")
+    leaders = joined.groupBy("component").agg(F.min(first).alias("first")).select("component", F.col("first.least_id").alias("class_id"), F.col("first.node").alias("leader"))
+    # A text with very many copies meets its class in several tasks.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    known = joined.join(leaders, "component").select(F.col("node").alias("text_key"), F.lit(True).alias("known"), "class_id", "leader", salts.alias("salt"))
+    members = signed.select("doc_id", "text_key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    kept = F.when(F.col("known"), F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("leader"))).otherwise(True)
+    found = members.join(known, ["text_key", "salt"], "left").select("doc_id", "text_key", F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), kept.alias("kept"))
+    alone = docs.where("text is null").select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    return found.unionByName(alone)
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """One row of each class of near copies, with all columns of ``docs``; rows equal in id and text are one document."""
+    kept = near_classes(docs.select("doc_id", "text")).where("kept").select("doc_id", "text_key").distinct()
+    key, kept_id, kept_key = unused(docs, "text_key", "kept_id", "kept_key")
+    chosen = kept.select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key))
+    met = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key))
+    return docs.withColumn(key, text_key(F.col("text"))).join(chosen, met, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``doc_id, class_id, kept`` of every row; see ``near_classes``."""
+    return near_classes(docs, n, threshold).select("doc_id", "class_id", "kept")
 
 
 def op6_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -257,8 +257,12 @@ def test_components(spark):
 def test_line_dedup(spark):
     data = [(i, f"own line {i} is long enough\nshared banner", "en", f"s{i % 12}", 0) for i in range(24)]
     data += [(100 + i, "shared banner\ncopy of a whole text", "en", f"s{i}", 0) for i in range(12)]
+    data += [(1, "own line 1 is long enough\nshared banner", "en", "s1", 0)] * 2 + [(1, "another text of this id\nin lines\nshared banner", "en", "s1", 0), (None, "no id\nshared banner", "en", "s1", 0)]
     data += [(200 + i, f"alone {i} and some more\nfew sites", "en", f"s{i % 9}", 0) for i in range(30)]
-    got = {r["doc_id"]: r for r in line_dedup.without_boilerplate(spark.createDataFrame(data, DOCS)).collect()}
+    found = line_dedup.without_boilerplate(spark.createDataFrame(data, DOCS)).collect()
+    got = {r["doc_id"]: r for r in found}
+    assert sorted(r["kept_text"] for r in found if r["doc_id"] == 1) == ["another text of this id\nin lines"] + ["own line 1 is long enough"] * 3
+    assert got[None]["kept_text"] == "no id" and len(found) == len(data)
     assert got[3]["kept_text"] == "own line 3 is long enough" and got[3]["n_removed"] == 1 and got[3]["n_lines"] == 2
     assert got[100]["kept_text"] == "shared banner\ncopy of a whole text" and got[100]["n_removed"] == 0
     assert got[200]["n_removed"] == 0

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapewright.llm.queries import tokenizer_path
@@ -16,17 +17,16 @@ def rows(spark, sf_dir):
 
 
 def by_lines(texts, sites, least=10):
-    """Texts without the lines of ``least`` sites; documents made mostly of such lines stay."""
-    where = defaultdict(set)
+    """Texts without the lines of ``least`` sites; texts that stand as a whole on so many stay."""
+    where, wholes = defaultdict(set), defaultdict(set)
     for d, t in texts.items():
+        wholes[t].add(sites[d])
         for line in t.split("\n"):
             if line.strip(" "):
                 where[line].add(sites[d])
     out = {}
     for d, t in texts.items():
-        full = [x for x in t.split("\n") if x.strip(" ")]
-        wide = [x for x in full if len(where[x]) >= least]
-        cut = sum(map(len, wide)) <= 0.5 * sum(map(len, full))
+        cut = len(wholes[t]) < least
         out[d] = "\n".join(x for x in t.split("\n") if not (cut and x.strip(" ") and len(where[x]) >= least))
     return out
 
@@ -110,6 +110,25 @@ def test_stages_on_odd_rows(spark, sf_dir):
         assert empty.collect() == []
 
 
+def test_stages_on_repeated_and_null_ids_and_clashing_columns(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    own = lambda i: " ".join(f"word{i}x{j} und the of and" for j in range(40))
+    data = [(1, f"{own(1)}\nshared banner", "en", "s1", 0)] * 3 + [(None, f"{own(2)}\nshared banner", "en", "s2", 0), (None, f"{own(3)}\nshared banner", "en", "s3", 0), (1, f"{own(4)}\nshared banner", "en", "s4", 0)]
+    data += [(10 + i, f"{own(10 + i)}\nshared banner", "en", f"t{i}", 0) for i in range(10)]
+    clashing = "score lang_pred verdict kept_text found_lines found_id text_key kept_id hit_text node component item_id"
+    docs = spark.createDataFrame(data, schema).select("*", *[F.lit("x").alias(c) for c in clashing.split()])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, sf_dir)
+        assert rows.columns == docs.columns
+        got = Counter((r["doc_id"], r["text"].split("\n")[0]) for r in rows.collect())
+        want = Counter((r[0], r[1].split("\n")[0]) for r in data)
+        assert got == (Counter(set(want)) if name == "near_dedup" else want), name
+        if name == "line_dedup":
+            assert all("banner" not in r["text"] for r in rows.collect())
+    packed = corpus_pipeline.pack(spark, docs, sf_dir).collect()
+    assert len({r["doc_id"] for r in packed}) == 12
+
+
 def test_benchmark_passages_are_found_in_the_middle(spark, sf_dir):
     items = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(8).collect()]
     rng = np.random.default_rng(1)
