@@ -21,23 +21,19 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a known language; ``lang`` stays as given."""
-    model = language_id.trained_on_rest(docs)
-    found = language_id.predict(docs, model, keep=docs.columns)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return language_id.in_known_language(docs, language_id.trained_on_rest(docs), LEAST_LANGUAGE_SCORE)
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take lines that many sources share out of the texts; ``n_chars`` follows. Documents stay."""
-    kept = line_dedup.without_boilerplate(docs.select("doc_id", "text", "source")).select("doc_id", "kept_text")
-    return docs.join(kept, "doc_id").select(
-        *[F.col("kept_text").alias("text") if c == "text" else F.length("kept_text").cast("long").alias("n_chars") if c == "n_chars" else c for c in docs.columns]
-    )
+    """Take lines that many sources share out of the texts; ``n_chars`` follows where lines go. Documents stay."""
+    rows, found, kept = line_dedup.cleaned(docs)
+    length = F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast("long"))
+    return rows.select(*[F.col(kept).alias("text") if c == "text" else length.alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the least doc_id of each class of near copies."""
-    kept = minhash.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Keep one document of each class of near copies, that with the least doc_id."""
+    return minhash.without_copies(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
