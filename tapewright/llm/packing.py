@@ -8,7 +8,6 @@ of exactly that length, so nothing is padded.
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.shingles import hash_spans, slices, spans_of_words, text_bytes
+from tapewright.llm.shingles import slices, spans_of_words, text_bytes
 from tapewright.llm.storage import materialize
 
-#: Space-separated chunks of text whose ids a Python worker remembers, at about 40 bytes each.
-REMEMBERED_CHUNKS = 1_200_000
+#: Different chunks of text whose ids a Python worker remembers, at about 150 bytes each.
+REMEMBERED_CHUNKS = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 BREAKS = np.isin(np.arange(256), list(b" \n"))
 
@@ -33,59 +32,56 @@ class WordIds:
 
     The vocabulary's tokens never span white space, so a text's ids are the
     joined ids of its chunks between spaces and newlines. The distinct chunks
-    of a slice are looked up by hash in sorted arrays; a new one is lowered and
-    split by the tokenizer's own pattern, and its words go to the tokenizer's
-    BPE model. Texts for which chunks alone don't decide (not in NFC,
-    context-dependent lower case, special token strings, rare control
-    characters) go whole through the tokenizer.
+    of a slice are told apart by their bytes and remembered. A new chunk of
+    printable ASCII and composed Latin letters is lowered and split by the
+    tokenizer's own pattern, and its words go to the tokenizer's BPE model; any
+    other goes whole through the tokenizer, which alone knows about normal
+    forms, controls and its version of Unicode.
     """
 
     def __init__(self, tokenizer_path: str):
-        import regex
+        import re
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model = self.tokenizer.model
-        # Fixed values of the vocabulary file: its word pattern and its printable names of bytes.
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.unsure = regex.compile(r"[İΣ\x1c-\x1f\x85]|<\|(?:start|end)oftext\|>").search
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(plain)]
-        self.names = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        # Fixed values of the vocabulary file: its word pattern, as far as these letters go, and its printable names of bytes.
+        self.words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^\sa-z\u00df-\u00f6\u00f8-\u017f0-9]+").findall
+        self.plain = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(own)]
+        self.names = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.marks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pool = array("I")
-
-    def of_word(self, word: str) -> list[int]:
-        named = word if word.isascii() else "".join(self.names[b] for b in word.encode())
-        return [t.id for t in self.model.tokenize(named)]
-
-    def of_chunk(self, chunk: str) -> list[int]:
-        if chunk.isascii() and chunk.isalpha():
-            return self.of_word(chunk.lower())
-        return [i for word in self.words(chunk.lower()) for i in self.of_word(word)]
-
-    def known(self, keys: np.ndarray, marks: np.ndarray, chunk_at) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size in the pool of distinct chunks, given their sorted hashes and marks; ``chunk_at(i)`` is the i-th."""
-        if len(self.keys) > REMEMBERED_CHUNKS:
+        self.known: dict[bytes, int] = {}
+        self.starts, self.sizes, self.pool = array("q"), array("i"), array("I")
+
+    def of_chunk(self, chunk: bytes) -> list[int]:
+        text = chunk.decode()
+        if not self.plain(text) or "<|" in text:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        text = text.lower()
+        words = [text] if text.isalpha() else self.words(text)
+        named = words if text.isascii() else ["".join(map(self.names.get, word.encode())) for word in words]
+        return [t.id for word in named for t in self.model.tokenize(word)]
+
+    def places(self, chunks: list[bytes]) -> np.ndarray:
+        """Numbers of distinct chunks among those known; new ones are added."""
+        if len(self.known) > REMEMBERED_CHUNKS:
             self.forget()
-        at = np.searchsorted(self.keys, keys)
-        inside = np.minimum(at, max(len(self.keys) - 1, 0))
-        there = (self.keys[inside] == keys) & (self.marks[inside] == marks) if len(self.keys) else np.zeros(len(keys), bool)
-        starts, sizes = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
-        starts[there], sizes[there] = self.starts[inside[there]], self.sizes[inside[there]]
-        new = np.flatnonzero(~there)
-        for i in new.tolist():
-            ids = self.of_chunk(chunk_at(i))
-            starts[i], sizes[i] = len(self.pool), len(ids)
-            self.pool.extend(ids)
-        if len(new):
-            self.keys, self.marks = np.insert(self.keys, at[new], keys[new]), np.insert(self.marks, at[new], marks[new])
-            self.starts, self.sizes = np.insert(self.starts, at[new], starts[new]), np.insert(self.sizes, at[new], sizes[new])
-        return starts, sizes
+        known, out = self.known, []
+        for chunk in chunks:
+            at = known.get(chunk)
+            if at is None:
+                ids = self.of_chunk(chunk)
+                at = known[chunk] = len(self.starts)
+                self.starts.append(len(self.pool))
+                self.sizes.append(len(ids))
+                self.pool.extend(ids)
+            out.append(at)
+        return np.array(out, np.int64)
 
     def of_rows(self, column: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each row's text; null texts have none."""
@@ -93,21 +89,19 @@ class WordIds:
         begin, end = spans_of_words(data, offsets, BREAKS)
         ids, cuts = np.zeros(0, "<u4"), np.zeros(len(column) + 1, np.int64)
         if len(begin):
-            keys, first, inverse = np.unique(hash_spans(data, begin, end), return_index=True, return_inverse=True)
-            b, e = begin[first], end[first]
-            marks = ((e - b).astype(np.uint32) << np.uint32(16)) | (data[b].astype(np.uint32) << np.uint32(8)) | data[e - 1]
-            starts, sizes = self.known(keys, marks, lambda i: data[b[i] : e[i]].tobytes().decode())
+            ends = np.cumsum(end - begin)
+            chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.r_[0, ends]), pa.py_buffer(data[~BREAKS[data]])]).dictionary_encode()
+            inverse = chunks.indices.to_numpy()
+            at = self.places(chunks.dictionary.to_pylist())
+            # Copies, as arrays that lend their memory can't grow.
+            starts, sizes = np.array(self.starts)[at], np.array(self.sizes)[at]
             counts = sizes[inverse].astype(np.int64)
             before = np.cumsum(counts) - counts
-            places = np.repeat(starts[inverse] - before, counts) + np.arange(counts.sum())
-            ids = np.frombuffer(self.pool, np.uint32)[places].astype("<u4") if len(places) else ids
+            where = np.repeat(starts[inverse] - before, counts) + np.arange(counts.sum())
+            ids = np.frombuffer(self.pool, np.uint32)[where].astype("<u4") if len(where) else ids
             rows = np.searchsorted(offsets, begin, "right") - 1
             cuts[1:] = np.cumsum(np.bincount(rows, counts, len(column))).astype(np.int64)
-        out = [ids[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-        for i, text in enumerate(column.to_pylist()):
-            if text and not text.isascii() and not unicodedata.is_normalized("NFC", text) or text and self.unsure(text):
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return out
+        return [ids[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def of_text(self, text: str) -> bytes:
         return self.of_rows(pa.array([text], pa.large_string()))[0]

@@ -151,14 +151,25 @@ def test_packing(documents, rows):
     assert sorted(g["sequence_id"] for g in got) == list(range(len(got)))
 
 
-def test_packing_ids_of_odd_texts():
+def test_packing_ids_equal_the_tokenizers():
+    """Every code point below U+20000 between letters, alone and after one; random texts; strings on which polynomial hashes collide."""
+    import random
+
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    ids = packing.WordIds(tokenizer_path())
-    for text in ("It's  THE\tend now, we'll 12a3 é é İstanbul ΑΣ <|endoftext|> x", "", "\n\n", "naïve ☃☃ 漢字kana 'S 's", "a\x1cb   c"):
-        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        assert ids.of_text(text) == want, text
+    draw = random.Random(1)
+    pool = [*"abcXYZ019 '\n\t.,!?<|>-éßñΣİςΑσ\u0338\u0301\x01\x7f\x1c\x85\xa0\u2028漢字☃𝒳😀>=", "<|endoftext|>", "'s", "'LL", "  "]
+    texts = [f"a{chr(c)}b {chr(c)} x{chr(c)}" for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(draw.choices(pool, k=draw.randrange(60))) for _ in range(6000)] + ["", "\n\n", "It's  THE\tend now, we'll 12a3 İstanbul ΑΣ <|endoftext|> x"]
+    one, other = "a", "b"
+    for _ in range(12):
+        one, other = one + other, other + one
+    texts += [f"{one} {other}", other]
+    got = packing.WordIds(tokenizer_path()).of_rows(pa.array(texts, pa.large_string()))
+    want = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
 
 
 def base_spans(text):
