@@ -293,29 +293,58 @@ def repeated_bytes(texts, length):
     return cover
 
 
+def passage_bytes(texts, length):
+    """Bytes covered by strings that stand in another text too."""
+    owners = defaultdict(set)
+    raw = [t.encode() for t in texts]
+    for i, b in enumerate(raw):
+        for j in range(len(b) - length + 1):
+            owners[b[j : j + length]].add(i)
+    cover = [np.zeros(len(b), bool) for b in raw]
+    for i, b in enumerate(raw):
+        for j in range(len(b) - length + 1):
+            if len(owners[b[j : j + length]]) > 1:
+                cover[i][j : j + length] = True
+    return cover
+
+
 def test_repeats_on_documents(documents, rows):
     got = {r["doc_id"]: r for r in repeats.op8_repeated_strings(documents).collect()}
-    for r, cover in zip(rows, repeated_bytes([r["text"] for r in rows], 400), strict=True):
+    texts = [r["text"] for r in rows]
+    for r, cover, shared in zip(rows, repeated_bytes(texts, 400), passage_bytes(texts, repeats.PASSAGE), strict=True):
         g, raw = got[r["doc_id"]], np.frombuffer(r["text"].encode(), np.uint8)
-        assert (g["n_bytes"], g["n_removed"]) == (len(raw), cover.sum())
+        assert (g["n_bytes"], g["n_removed"], g["n_shared"]) == (len(raw), cover.sum(), shared.sum())
         assert g["kept_sha256"] == hashlib.sha256(raw[~cover].tobytes()).hexdigest()
         assert g["n_spans"] == (np.diff(np.r_[0, cover.astype(int)]) == 1).sum()
 
 
 @pytest.mark.parametrize("crowded", [2, 20_000])
-def test_repeats_short_strings(spark, crowded):
-    rng = np.random.default_rng(3)
-    core = "".join(rng.choice(list("abcd"), 90))
-    texts = ["".join(rng.choice(list("abcd"), 60)) + core[i : 90 - i // 2] + "".join(rng.choice(list("abcd"), 60)) for i in range(0, 30, 2)]
+@pytest.mark.parametrize("seed", [3, 4])
+def test_repeats_short_strings(spark, crowded, seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    draw = lambda n: "".join(rng.choice(list("abcd"), n))
+    core, other = draw(90), draw(50)
+    texts = [draw(60) + core[i : 90 - i // 2] + draw(60) for i in range(0, 30, 2)]
+    texts += [draw(20) + other[i : 50 - i] + draw(20) + other[i // 2 :] for i in range(0, 20, 3)]
     texts += ["ab" * 70, "x" * 100, "y" * 39, core, core]
     df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    spans = repeats.repeated_spans(df, length=40, anchor=12, crowded=crowded).collect()
-    for i, cover in enumerate(repeated_bytes(texts, 40)):
-        got = np.zeros(len(texts[i]), bool)
+    spans = repeats.repeated_spans(df, length=40, passage=28, anchor=8, crowded=crowded).collect()
+    for i, (cover, shared) in enumerate(zip(repeated_bytes(texts, 40), passage_bytes(texts, 28), strict=True)):
+        got, met = np.zeros(len(texts[i]), bool), np.zeros(len(texts[i]), bool)
         for s in spans:
             if s["node"] == i:
                 got[s["first"] : s["last"]] = True
+                met[s["p_first"] : s["p_last"]] = True
         assert (got == cover).all(), (i, texts[i])
+        assert (met == shared).all(), (i, texts[i])
+
+
+def test_anchors_of_very_long_texts(monkeypatch):
+    rng = np.random.default_rng(1)
+    runs = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    want = repeats.least_places(runs, 33)
+    monkeypatch.setattr(repeats, "PLACES", 1 << 9)
+    assert (repeats.least_places(runs, 33) == want).all()
 
 
 def test_url_rules(spark):
