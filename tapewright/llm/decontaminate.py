@@ -7,64 +7,102 @@ shingles, a new one every u. An item that a document contains lies in one
 window, whose likeness to it then has a lower bound of about a fifth. A window
 is a candidate for an item if any of its one-permutation MinHash values equals
 the item's; candidates are verified by exact containment of shingles.
+
+Items and documents meet in joins on (partition, value). A bitmap of the items'
+values, of bounded size, keeps other values of the documents out of the shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.shingles import SYMBOLS, U64, shingle_hashes, word_hashes
+from tapewright.llm.shingles import STEP, SYMBOLS, U64, mix, shingle_hashes, slices, word_hashes
+from tapewright.llm.storage import materialize, unused
 
-#: Items of one broadcast block; more items take more passes over the documents.
-BLOCK_ITEMS = 5_000
 BINS = 64
 EMPTY = np.iinfo(np.uint64).max
+#: The bitmap has this many bits for each value, as a power of two, up to the greatest size (16 MB); beyond it more values pass, and the joins settle them.
+BITS_EACH, MOST_BITS = 8, 27
+#: Bits of one row of the bitmap's table, as Spark's bitmap functions deal them.
+BUCKET = 32_768
+
 
+def _bins(h: np.ndarray) -> np.ndarray:
+    return (h % U64(BINS)).astype(np.int64)
 
-@dataclass
-class ItemIndex:
-    """One block of items: their shingles, and the MinHash values of each size partition."""
 
-    ids: list
-    shingles: list[np.ndarray]  # sorted, distinct
-    width: list[int]  # words in a shingle of the item
-    partitions: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # u -> sorted (bin, value) keys, their items; sizes
+def size_partition(places: np.ndarray) -> np.ndarray:
+    """The least power of two that is no less than a number of shingles as they stand in a text."""
+    return 1 << np.ceil(np.log2(np.maximum(places, 1))).astype(np.int64)
 
 
-def _bins(h: np.ndarray) -> np.ndarray:
-    return (h % U64(BINS)).astype(np.int64)
+def keyed(values: np.ndarray, partition: int) -> np.ndarray:
+    """Values told apart by size partition (a number of shingles) or, below zero, by the width of a short run."""
+    return mix(values + U64(partition % (1 << 64)) * STEP)
 
 
-def index_items(ids: list, texts: list[str | None], n: int) -> ItemIndex:
-    rows, words = word_hashes(pc.utf8_lower(pa.array(texts, pa.large_string())), SYMBOLS)
-    counts = np.bincount(rows, minlength=len(texts))
-    shingles, width = [np.zeros(0, U64)] * len(texts), [n] * len(texts)
-    for size in {min(int(c), n) for c in counts if c}:
-        out_rows, out = shingle_hashes(rows, words, size, whole_short=False)
-        for i in np.flatnonzero(np.minimum(counts, n) == size):
-            shingles[i], width[i] = np.unique(out[out_rows == i]), size
-    partitions = {}
-    places = counts - n + 1  # shingles with repeats, as they stand in a text
-    sizes = np.array([1 << int(p - 1).bit_length() if p > 0 else 0 for p in places])
-    for u in sorted(set(sizes.tolist()) - {0}):
-        keys, owner = [], []
-        for i in np.flatnonzero(sizes == u):
-            least = np.full(BINS, EMPTY, U64)
-            np.minimum.at(least, _bins(shingles[i]), shingles[i])
-            full = least != EMPTY
-            keys.append(least[full])  # the value itself tells its bin
-            owner.append(np.full(int(full.sum()), i))
-        keys, owner = np.concatenate(keys), np.concatenate(owner)
-        order = np.argsort(keys, kind="stable")
-        partitions[u] = (keys[order], owner[order], sizes)
-    return ItemIndex(ids, shingles, width, partitions)
+def lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)])
+    flat = np.concatenate([np.zeros(0, U64), *values])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+
+
+def indexed_items(items: DataFrame, n: int) -> DataFrame:
+    """``item_id, partition, shingles, keys`` of ``item_id, text`` rows that have words.
+
+    ``shingles``: the distinct ones; ``keys``: the MinHash values of an item
+    of ``n`` words and more, the one run of a shorter item.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows, words = word_hashes(pc.utf8_lower(part.column("text")), SYMBOLS)
+                counts = np.bincount(rows, minlength=part.num_rows)
+                full = np.flatnonzero(counts)
+                partitions, shingles, keys = [], [], []
+                for i in full:
+                    own = words[np.searchsorted(rows, i, "left") : np.searchsorted(rows, i, "right")]
+                    width = min(len(own), n)
+                    h = np.unique(shingle_hashes(np.zeros(len(own), np.int64), own, width, whole_short=False)[1])
+                    partition = int(size_partition(np.array([len(own) - n + 1]))[0]) if width == n else -width
+                    least = np.full(BINS, EMPTY, U64)
+                    np.minimum.at(least, _bins(h), h)
+                    partitions.append(partition)
+                    shingles.append(h)
+                    keys.append(keyed(least[least != EMPTY], partition))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("item_id").take(pa.array(full)), pa.array(partitions, pa.int64()), lists(shingles), lists(keys)], names=["item_id", "partition", "shingles", "keys"]
+                )
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, partition long, shingles array<bigint>, keys array<bigint>")
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """The bits of ``key`` modulo a power of two, which follows the number of keys up to a bound; as bytes."""
+    bits = min(MOST_BITS, max(15, int(keys.count()).bit_length() + BITS_EACH))
+    place = F.pmod("key", F.lit(1 << bits))
+    # Spark numbers buckets and bits of positive numbers from 1 and 0.
+    bucket = F.call_function("bitmap_bucket_number", place + 1)
+    rows = keys.groupBy(bucket.alias("bucket")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", place + 1)).alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for bucket, part in rows.collect():  # 16 MB at most
+        part = np.frombuffer(bytes(part), np.uint8)
+        out[(bucket - 1) * BUCKET // 8 :][: len(part)] = part[: len(out)]
+    return out
+
+
+def met(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the keys' bits are set."""
+    place = (keys & U64(len(bitmap) * 8 - 1)).astype(np.int64)
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
 def window_minima(rows: np.ndarray, h: np.ndarray, u: int) -> np.ndarray:
@@ -85,92 +123,85 @@ def window_minima(rows: np.ndarray, h: np.ndarray, u: int) -> np.ndarray:
     return np.stack([block_row[at].astype(U64), joined[joined != EMPTY]])
 
 
-def matches(index: ItemIndex, column: pa.Array, n: int, threshold: float) -> Iterator[tuple[int, int, int]]:
-    """(row, item, shared shingles) of every item contained to the threshold in a row's text."""
-    rows, words = word_hashes(pc.utf8_lower(column), SYMBOLS)
-    if not len(words):
-        return
-    wide_rows, wide = shingle_hashes(rows, words, n, whole_short=False)
-    candidates: set[tuple[int, int]] = set()
-    if len(wide):
-        for u, (keys, owner, _) in index.partitions.items():
-            found_rows, values = window_minima(wide_rows, wide, u)
-            hit = np.isin(values, keys)
-            for row, value in zip(found_rows[hit].tolist(), values[hit], strict=True):
-                low, high = np.searchsorted(keys, value, "left"), np.searchsorted(keys, value, "right")
-                candidates.update((row, int(i)) for i in owner[low:high])
-    by_width = {n: (wide_rows, wide)}
-    for size in {w for w, s in zip(index.width, index.shingles, strict=True) if w < n and len(s)}:
-        # Items shorter than a shingle are one run of words each: looked up directly.
-        by_width[size] = out_rows, out = shingle_hashes(rows, words, size, whole_short=False)
-        for i in (i for i, w in enumerate(index.width) if w == size):
-            candidates.update((int(row), i) for row in np.unique(out_rows[np.isin(out, index.shingles[i])]))
-    for row, i in sorted(candidates):
-        out_rows, out = by_width[index.width[i]]
-        low, high = np.searchsorted(out_rows, row, "left"), np.searchsorted(out_rows, row, "right")
-        shared = int(np.isin(index.shingles[i], out[low:high]).sum())
-        if shared >= threshold * len(index.shingles[i]):
-            yield row, i, shared
-
-
-def contained_items(
-    docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, block_items: int = BLOCK_ITEMS
-) -> DataFrame:
-    """``doc_id, item_id, shared, item_shingles, containment`` of every item found in a document.
+def document_keys(docs: DataFrame, partitions: list[int], bitmap: np.ndarray, n: int) -> DataFrame:
+    """``doc_id, hit_text, key``: the documents' values of all partitions that the bitmap lets pass."""
+    shared = docs.sparkSession.sparkContext.broadcast((sorted(partitions), bitmap))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partitions, bitmap = shared.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows, words = word_hashes(pc.utf8_lower(part.column("text")), SYMBOLS)
+                found = [np.zeros((2, 0), U64)]
+                wide_rows, wide = shingle_hashes(rows, words, n, whole_short=False)
+                for p in partitions:
+                    owner, values = shingle_hashes(rows, words, -p, whole_short=False) if p < 0 else window_minima(wide_rows, wide, p) if len(wide) else found[0]
+                    keys = keyed(values, p)
+                    passed = met(bitmap, keys)
+                    found.append(np.stack([owner[passed].astype(U64), keys[passed]]))
+                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+                at = pa.array(pairs[0].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("hit_text").take(at), pa.array(pairs[1].view(np.int64))], names=["doc_id", "hit_text", "key"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "hit_text", "text").mapInArrow(run, f"doc_id {kind}, hit_text long, key long")
+
+
+def document_shingles(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, hit_text, shingle``, distinct in each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows, h = shingle_hashes(*word_hashes(pc.utf8_lower(part.column("text")), SYMBOLS), n, whole_short=False)
+                order = np.lexsort((h, rows))
+                rows, h = rows[order], h[order]
+                first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (h[1:] != h[:-1])][: len(h)])
+                at = pa.array(rows[first])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("hit_text").take(at), pa.array(h[first].view(np.int64))], names=["doc_id", "hit_text", "shingle"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "hit_text", "text").mapInArrow(run, f"doc_id {kind}, hit_text long, shingle long")
+
+
+def same_document(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["hit_text"] == b["hit_text"])
+
+
+def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``doc_id, hit_text, item_id, shared, item_shingles, containment`` of every item found in a document; ``hit_text`` is the text's hash.
 
     ``docs``: doc_id, text; ``items``: item_id, text. Case and punctuation are
     ignored. Null and empty texts contain nothing and, as items, are found
-    nowhere. Equal items are each reported. Items reach the executors in blocks
-    of ``block_items``, ordered by id, each joined with all documents.
+    nowhere. Equal items are each reported; documents equal in id and text are
+    reported once, null ids as nulls.
     """
-    spark = docs.sparkSession
-    doc_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {doc_type}, item_id {item_type}, shared long, item_shingles long, containment double"
-    found: DataFrame | None = None
-    block: list = []
-
-    def search(block: list) -> DataFrame:
-        index = index_items([r["item_id"] for r in block], [r["text"] for r in block], n)
-        shared_index = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from tapewright.llm.shingles import slices
-
-            index = shared_index.value
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    ids = part.column("doc_id")
-                    hits = list(matches(index, part.column("text"), n, threshold))
-                    if hits:
-                        total = [len(index.shingles[i]) for _, i, _ in hits]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                ids.take(pa.array([r for r, _, _ in hits])),
-                                pa.array([index.ids[i] for _, i, _ in hits]),
-                                pa.array([s for _, _, s in hits], pa.int64()),
-                                pa.array(total, pa.int64()),
-                                pa.array([s / t for (_, _, s), t in zip(hits, total, strict=True)], pa.float64()),
-                            ],
-                            names=["doc_id", "item_id", "shared", "item_shingles", "containment"],
-                        )
-
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-    for row in items.select("item_id", "text").orderBy("item_id").toLocalIterator():
-        block.append(row)
-        if len(block) == block_items:
-            found = search(block) if found is None else found.unionByName(search(block))
-            block = []
-    if block or found is None:
-        found = search(block) if found is None else found.unionByName(search(block))
-    return found
+    docs = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("hit_text"))
+    index = materialize(indexed_items(items, n))
+    keys = index.select("item_id", "partition", F.explode("keys").alias("key"))
+    partitions = [r[0] for r in index.select("partition").distinct().collect()]  # powers of two and widths below n: some fifty at most
+    found = document_keys(docs, partitions, bitmap_of(keys.select("key").distinct()), n)
+    candidates = materialize(found.join(keys, "key").select("doc_id", "hit_text", "item_id", "partition").distinct())
+    sized = index.select("item_id", "partition", F.size("shingles").cast("long").alias("item_shingles"))
+    # The one run of a short item is its key; the others are counted shingle by shingle.
+    short = candidates.where("partition < 0").select("doc_id", "hit_text", "item_id", F.lit(1).cast("long").alias("shared"), F.lit(1).cast("long").alias("item_shingles"))
+    long = candidates.where("partition > 0").select("doc_id", "hit_text", "item_id")
+    wanted = long.select("doc_id", "hit_text").distinct()
+    own = document_shingles(docs.join(wanted, same_document(docs, wanted), "left_semi"), n).distinct()
+    asked = long.join(index.where("partition > 0").select("item_id", F.explode("shingles").alias("shingle")).distinct(), "item_id")
+    counted = asked.join(own, same_document(asked, own) & (asked["shingle"] == own["shingle"]), "left_semi").groupBy("doc_id", "hit_text", "item_id").agg(F.count("*").alias("shared"))
+    settled = counted.join(sized.where("partition > 0").drop("partition").distinct(), "item_id").where(F.col("shared") >= threshold * F.col("item_shingles"))
+    columns = ["doc_id", "hit_text", "item_id", "shared", "item_shingles"]
+    return short.select(columns).unionByName(settled.select(columns)).withColumn("containment", F.col("shared") / F.col("item_shingles"))
 
 
 def op10_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return contained_items(docs.select("doc_id", "text"), items.select("item_id", "text"))
+    return contained_items(docs.select("doc_id", "text"), items.select("item_id", "text")).drop("hit_text")
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (with a doc_id and text) in which no item is found."""
-    hits = contained_items(docs.select("doc_id", "text"), items.select("item_id", "text")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti")
+    """The rows of ``docs`` (with a doc_id and text) in which no item is found, with all their columns."""
+    hits = materialize(contained_items(docs.select("doc_id", "text"), items.select("item_id", "text")).select("doc_id", "hit_text").distinct())
+    hit_id, hit_text = unused(docs, "hit_id", "hit_text")
+    hits = hits.toDF(hit_id, hit_text)
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.xxhash64("text") == F.col(hit_text)), "left_anti")

@@ -388,8 +388,9 @@ def test_decontamination(spark, sf_dir, documents, rows):
     assert got == want and want
 
 
-def test_decontamination_in_blocks(spark):
-    docs = spark.createDataFrame([(1, "zero one two three four five six seven eight"), (2, "Three, four!"), (3, None)], "doc_id long, text string")
-    items = spark.createDataFrame([(i, t) for i, t in enumerate(["one two three four five six", "three four", "", None, "absent words are not in any text here"])], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(docs, items, block_items=2).collect()}
-    assert got == {(1, 0), (1, 1), (2, 1)}
+def test_decontamination_of_short_and_repeated_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 15)
+    docs = spark.createDataFrame([(1, "zero one two three four five six seven eight"), (2, "Three, four!"), (2, "Three, four!"), (2, "other"), (3, None), (None, "zero one two three four five"), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(["one two three four five six", "three four", "", None, "absent words are not in any text here", "ZERO one, two three four five"])], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(docs, items).collect()}
+    assert got == {(1, 0), (1, 1), (2, 1), (None, 1), (None, 5), (1, 5)}
