@@ -1,12 +1,14 @@
 """URL filtering: listed rules first, a classifier of character n-grams for the rest.
 
 The classifier is a logistic regression on hashed character n-grams of host and
-path. It is trained on a small labelled table of URLs: a bounded sample of the
-URLs that the rules decide, and a few listed examples.
+path, trained on a small labelled table of URLs that is made by a rule: words of
+unwanted and of wanted sites in usual places of a URL, and plain made-up names.
+The rules of the query are no labels: where one fits, it decides.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -16,14 +18,29 @@ from pyspark.sql import functions as F
 
 #: Longest first: the first rule that fits is the longest.
 RULES = (("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("net", "/", "block"))
-#: Labelled examples besides the rules: (host, path, block).
-EXAMPLES = (
-    ("cheap-pills.example.com", "/", 1), ("www.cheap-pills.example.org", "/en/1", 1), ("buy-cheap-meds.example.com", "/sale", 1),
-    ("spam-farm.example.org", "/", 1), ("m.spam-farm.example.com", "/en/2", 1), ("link-farm.example.com", "/win", 1),
-    ("casino-bonus.example.com", "/play", 1), ("casino-win.example.net", "/slots", 1), ("ads-server.example.com", "/click", 1), ("track-ads.example.org", "/pixel", 1), ("free-money.example.org", "/now", 1), ("xxx-videos.example.com", "/adult", 1),
-    ("www.example.org", "/en/3", 0), ("blog.example.com", "/en/about", 0), ("m.example.com", "/fr/4", 0), ("docs.example.org", "/de/5", 0),
-    ("news.example.com", "/es/6.html", 0), ("library.example.org", "/articles/7", 0), ("university.example.com", "/en/8", 0),
-)
+# The words that the labelled table is made of.
+UNWANTED = "casino poker jackpot slots betting lottery roulette gambling cheap-pills pharma-sale meds-online weight-loss miracle-cure replica-watches payday-loan quick-cash free-money get-rich giveaway spam link-farm seo-boost adult xxx nude hookup escorts warez cracked keygen torrents malware phishing verify-account adserver clicktrack popup-ads banner-ads tracking-pixel fake-news".split()
+WANTED = "library university museum journal news weather recipes garden school science history travel maps docs wiki blog forum health clinic hospital council parliament music theatre cinema sports cycling chess linux python kernel mathematics physics biology archive encyclopedia dictionary bakery research static".split()
+TAILS = "com org info example.com example.org site.net".split()
+PATHS = ("/", "/en/12", "/index.html", "/de/3.html", "", "/fr/a/b", "/2/page")
+
+
+def labelled_urls(names: int = 400) -> list[tuple[str, str, int]]:
+    """``host, path, block`` rows: every word in seven places, and ``names`` hosts of syllables without a meaning, which are wanted."""
+    rows = []
+    for words, block in ((UNWANTED, 1), (WANTED, 0)):
+        for i, word in enumerate(words):
+            tail = lambda j, i=i: TAILS[(i + j) % len(TAILS)]
+            path = lambda j, i=i: PATHS[(i + 2 * j) % len(PATHS)]
+            hosts = [f"{word}.{tail(0)}", f"www.{word}.{tail(1)}", f"{word}{i}.{tail(2)}", f"my-{word}.{tail(3)}", f"m.{word}-shop.{tail(4)}", f"best{word}.{tail(5)}"]
+            rows += [(host, path(j), block) for j, host in enumerate(hosts)] + [(f"www.{tail(1)}", f"/{word}{path(2)}", block)]
+    consonants, vowels = "bcdfghklmnprstvw", "aeiou"
+    for i in range(names):
+        name = "".join(consonants[(7 * i + 5 * k + i // 16) % 16] + vowels[(3 * i + 2 * k + i // 5) % 5] + ("n" if (i + k) % 3 == 0 else "") for k in range(2 + i % 4))
+        rows.append((("", "www.", "m.", "blog.")[i % 4] + f"{name}.{TAILS[i % len(TAILS)]}", PATHS[i % len(PATHS)], 0))
+    return rows
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,7 +86,6 @@ class UrlClassifier:
     """Verdicts for (host, path) by hashed n-grams; with no usable labels everything is allowed."""
 
     buckets: int = 1 << 15
-    max_labelled: int = 4000
     model: LogisticRegressionModel | None = None
 
     def features(self, urls: DataFrame) -> DataFrame:
@@ -77,26 +93,12 @@ class UrlClassifier:
             urls.withColumn("grams", char_grams(F.col("host"), F.col("path")))
         )
 
-    def labelled(self, spark: SparkSession, ruled: DataFrame) -> DataFrame:
-        """Distinct ``host, path, label`` rows: at most ``max_labelled`` of the decided urls, least hash first, and the examples."""
-        rows = (
-            ruled.where("verdict is not null")
-            .select("host", "path", (F.col("verdict") == "block").cast("double").alias("label"))
-            .distinct()
-            .orderBy(F.xxhash64("host", "path"), "host", "path")
-            .limit(self.max_labelled)
-        )
-        listed = spark.createDataFrame(list(EXAMPLES), "host string, path string, label int")
-        # The examples stand for many urls like them.
-        weighted = rows.withColumn("weight", F.lit(1.0)).unionByName(
-            listed.select("host", "path", F.col("label").cast("double"), F.lit(20.0).alias("weight"))
-        )
-        return weighted.coalesce(1).sortWithinPartitions("host", "path")  # a bounded table; one order makes the fit repeatable
-
-    def fit(self, spark: SparkSession, ruled: DataFrame) -> UrlClassifier:
-        rows = self.features(self.labelled(spark, ruled)).select("features", "label", "weight").cache()
-        if rows.select("label").distinct().count() == 2:
-            self.model = LogisticRegression(regParam=0.01, maxIter=30, weightCol="weight").fit(rows)
+    def fit(self, spark: SparkSession, labelled: Sequence[tuple[str, str, int]]) -> UrlClassifier:
+        """Train on a small table of ``host, path, block`` rows."""
+        table = spark.createDataFrame(list(labelled), "host string, path string, label int").select("host", "path", F.col("label").cast("double"))
+        rows = self.features(table.coalesce(1)).select("features", "label").cache()  # one order makes the fit repeatable
+        if len({block for _, _, block in labelled}) == 2:
+            self.model = LogisticRegression(regParam=0.01, maxIter=30).fit(rows)
         rows.unpersist()
         return self
 
@@ -111,10 +113,10 @@ class UrlClassifier:
 
 
 def op9_url_filter(pages: DataFrame) -> DataFrame:
-    """``page_id, host, path, rule, verdict`` of every page; rows that repeat a url get equal verdicts."""
+    """``page_id, host, path, rule, verdict`` of every page; rows that repeat a url get equal verdicts, null urls are allowed."""
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"))
     ruled = parts.withColumn("rule", rule).withColumn("verdict", verdict)
-    classifier = UrlClassifier().fit(pages.sparkSession, ruled)
+    classifier = UrlClassifier().fit(pages.sparkSession, labelled_urls())
     return classifier.verdicts(ruled).select("page_id", "host", "path", "rule", F.coalesce("verdict", "by_model").alias("verdict"))
