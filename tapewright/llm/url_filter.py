@@ -70,13 +70,14 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 def char_grams(host: Column, path: Column, sizes=(3, 4, 5)) -> Column:
     """N-grams of both parts, marked by the part they come from."""
 
-    def cut(padded: Column, mark: str, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(padded, i, F.lit(n))))
+    def cut(chars: Column, mark: str, n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
+        return F.transform(starts, lambda i: F.concat_ws("", F.lit(mark), *[F.get(chars, i + j) for j in range(n)]))
 
     def grams(part: Column, mark: str) -> Column:
-        padded = F.concat(F.lit("^"), part, F.lit("$"))
-        return F.concat(*[cut(padded, mark, n) for n in sizes])
+        # The characters are bound by a lambda: split once, and no substring counts its way from the start.
+        chars = F.array(F.split(F.concat(F.lit("^"), part, F.lit("$")), ""))
+        return F.flatten(F.transform(chars, lambda c: F.concat(*[cut(c, mark, n) for n in sizes])))
 
     return F.concat(grams(host, "h:"), grams(path, "p:"))
 
