@@ -8,6 +8,7 @@ is the mean over its words; the languages' posterior is a softmax of it.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm.shingles import hash_spans, release_memory, spans_of_words, text_bytes, text_slices
-from tapewright.llm.storage import unused
+from tapewright.llm.storage import materialize, unused
 
 UNKNOWN = "und"
 #: Letters of any script, in runs; for Java's and Python's patterns alike.
@@ -45,7 +46,8 @@ class LanguageModel:
 def training_sample(docs: DataFrame, max_docs: int) -> DataFrame:
     """``lang, text`` of about ``max_docs`` rows a language, chosen by the hash of the id."""
     labelled = docs.where("lang is not null and text is not null")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    # Written down, so that its size is known: a row a language doesn't make the texts move.
+    counts = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n")))
     share = F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     return labelled.join(counts, "lang").where(place < share).select("lang", "text")
@@ -64,7 +66,8 @@ def train(docs: DataFrame, max_docs: int = 500) -> LanguageModel:
         .groupBy("lang", "piece")
         .agg(F.count("*").alias("n"))
     )
-    return _model([tuple(r) for r in words.collect()])  # bounded by the documents read
+    found = words.toArrow()  # bounded by the documents read
+    return _model(list(zip(*[found.column(c).to_pylist() for c in ("lang", "piece", "n")], strict=True)))
 
 
 def grams_of(word: str, size: int) -> list[str]:
@@ -82,14 +85,14 @@ def _model(rows: list[tuple[str, str, int]]) -> LanguageModel:
     before = 0
     for size in (0, *ORDERS):
         row_of: dict[str, int] = {}
-        at, column, counts = [], [], []
+        at, column, counts = array("q"), array("q"), array("q")
         for lang, word, n in rows:
             for piece in (word,) if size == 0 else grams_of(word, size):
                 at.append(row_of.setdefault(piece, len(row_of)))
                 column.append(place[lang])
                 counts.append(n)
         found = np.zeros((len(row_of), len(languages)))
-        np.add.at(found, (np.array(at, int), np.array(column, int)), counts)
+        np.add.at(found, (np.array(at), np.array(column)), np.array(counts))
         total = found.sum(axis=0)
         table.append(np.where(found > 0, np.log(np.maximum(found, 1) / np.maximum(total, 1)), np.log(0.5 / (1 + total))))
         rows_of[size] = {piece: before + i for piece, i in row_of.items()}

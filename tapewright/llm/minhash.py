@@ -12,9 +12,10 @@ with the probability of their weighted Jaccard likeness.
 Documents that agree in all coordinates of a band meet in a bucket. In a bucket
 each document is compared with the bucket's first and last by a hash, in two
 rounds, so groups of copies cost pairs by their documents and not by their
-square. In buckets that hold several classes after that, all signatures of
-different classes are compared, in blocks. Where the signatures leave a doubt
-about the threshold, the shingles themselves decide.
+square. In buckets that hold several classes after that, all texts of
+different classes are compared, in blocks, by signatures and then by their
+shingles. Where the signatures of other pairs leave a doubt about the
+threshold, the shingles decide too.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ DOUBT = 0.12
 SALTS = 8
 #: Documents of an open bucket that are compared with as many others at once.
 BLOCK = 1024
+#: Shingles of such a block, 8 bytes each.
+BLOCK_SHINGLES = 1 << 20
 TURN, PLACE = U64(0xA24BAED4963EE407), U64(0x5851F42D4C957F2D)
 
 
@@ -138,7 +141,7 @@ def signed_texts(docs: DataFrame, n: int, k: int) -> DataFrame:
 
 
 def bucketed(signatures: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``node, bucket, finer``: each signature's bands, and each band with the one that follows; of both signatures, in the same buckets."""
+    """``node, band, bucket, finer``: each signature's bands, and each band with the one that follows; of both signatures, in the same buckets."""
     width = 4 * rows
 
     def made(signature):
@@ -147,11 +150,11 @@ def bucketed(signatures: DataFrame, bands: int, rows: int) -> DataFrame:
 
         return F.transform(
             F.sequence(F.lit(0), F.lit(bands - 1)),
-            lambda i: F.struct(F.xxhash64(i, band(i)).alias("bucket"), F.xxhash64(i, band(i), band((i + 1) % bands)).alias("finer")),
+            lambda i: F.struct(i.alias("band"), F.xxhash64(i, band(i)).alias("bucket"), F.xxhash64(i, band(i), band((i + 1) % bands)).alias("finer")),
         )
 
     both = F.when(F.col("counted").isNull(), made("plain")).otherwise(F.array_union(made("plain"), made("counted")))
-    return signatures.select("node", F.explode(both).alias("b")).select("node", "b.bucket", "b.finer")
+    return signatures.select("node", F.explode(both).alias("b")).select("node", "b.band", "b.bucket", "b.finer")
 
 
 def star_pairs(buckets: DataFrame, key: str, seed: int) -> DataFrame:
@@ -167,50 +170,85 @@ def star_pairs(buckets: DataFrame, key: str, seed: int) -> DataFrame:
     return met.select("node", pair.alias("other")).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
-def block_pairs(open_nodes: DataFrame, signatures: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """``a, b``: the pairs of a bucket that differ in class and agree in ``least`` of their coordinates.
+def likely(one: np.ndarray, many: np.ndarray, among: np.ndarray, least: float, first: int = 24, doubt: float = 0.35) -> np.ndarray:
+    """Of the columns ``among`` of ``many``, those that agree with ``one`` in ``least`` of their coordinates.
 
-    ``open_nodes``: node, bucket, component. A bucket's nodes are dealt by hash
-    to blocks of about ``block``, and every two blocks meet in a group of their
-    own, so no task holds a large bucket.
+    Columns that after the ``first`` coordinates are ``doubt`` below that aren't
+    looked at further: one that would end above it is dropped in fewer than one
+    of a million cases.
     """
-    open_nodes = open_nodes.distinct()
-    sizes = open_nodes.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = open_nodes.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
-    met = dealt.select("node", "bucket", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    grouped = met.select("node", "bucket", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    agreed = (many[:first, among] == one[:first, None]).sum(axis=0)
+    stay = agreed >= (least - doubt) * min(first, len(one))
+    among, agreed = among[stay], agreed[stay]
+    return among[agreed + (many[first:, among] == one[first:, None]).sum(axis=0) >= least * len(one)] if len(among) else among
+
+
+def list_parts(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The numbers of each row of a column of lists, sorted."""
+    lists = column.combine_chunks()
+    values, ends = lists.values.to_numpy().view(U64), lists.offsets.to_numpy()
+    return [np.sort(values[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def shared_counts(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """How many of each of ``many`` sets' members ``one`` (sorted) holds."""
+    sizes = [len(m) for m in many]
+    flat = np.concatenate(many)
+    if not len(one) or not len(flat):
+        return np.zeros(len(many))
+    held = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    return np.bincount(np.repeat(np.arange(len(many)), sizes), held, len(many))
+
+
+def block_links(open_nodes: DataFrame, signatures: DataFrame, shingles: DataFrame, threshold: float, rows: int = ROWS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``a, b``: the pairs of a bucket that differ in class and whose likeness reaches the threshold, by their shingles.
+
+    ``open_nodes``: node, bucket, band, component; ``shingles``: as of
+    ``counted_shingles``. A bucket's nodes are dealt by hash to blocks of about
+    ``block`` nodes and ``block_shingles`` shingles, and every two blocks meet in
+    a group of their own, so no task holds a large bucket. Pairs whose
+    signatures leave no hope, and those that meet in an earlier band too,
+    aren't looked at.
+    """
+    size = F.size("first") + F.size("again")
+    known = open_nodes.select("node", "bucket", "band", "component").distinct().join(shingles, "node")
+    sizes = known.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(size) / block_shingles)).cast("int").alias("blocks"))
+    dealt = known.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    grouped = met.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "blocks")
 
     def run(table: pa.Table) -> pa.Table:
-        node, own = table.column("node").combine_chunks(), table.column("own").to_numpy()
+        node, own = table.column("node").to_numpy(), table.column("own").to_numpy()
         component = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
         plain, counted = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<u4").reshape(len(node), -1) for c in ("plain", "counted"))
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        first, again = list_parts(table.column("first")), list_parts(table.column("again"))
+        x, y, band = (table.column(c)[0].as_py() for c in ("x", "y", "band"))
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         repeats = (plain != counted).any(axis=1)
         columns, counts = np.ascontiguousarray(plain[right].T), np.ascontiguousarray(counted[right].T)
-        some = repeats[right].any()
-
-        def agreeing(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-            agreed = np.zeros(len(right), np.int16)
-            for value, column in zip(one, many, strict=True):
-                agreed += column == value
-            return agreed
-
+        everyone = np.arange(len(right))
         for i in left:
-            agreed = agreeing(plain[i], columns)
-            if some or repeats[i]:
-                agreed = np.maximum(agreed, agreeing(counted[i], counts))
-            hit = right[(agreed >= least * len(columns)) & (component[right] != component[i])]
-            hit = hit[hit > i] if x == y else hit
-            a.append(np.full(len(hit), i))
-            b.append(hit)
-        return pa.table({"a": node.take(pa.array(np.concatenate(a))), "b": node.take(pa.array(np.concatenate(b)))})
+            among = everyone[component[right] != component[i]]
+            among = among[right[among] > i] if x == y else among
+            earlier = (columns[: band * rows, among] == plain[i][: band * rows, None]).reshape(band, rows, len(among)).all(axis=1).any(axis=0)
+            among = among[~earlier]
+            again_too = among if repeats[i] else among[repeats[right[among]]]
+            alike = np.union1d(likely(plain[i], columns, among, threshold - DOUBT), likely(counted[i], counts, again_too, threshold - DOUBT))
+            if not len(alike):
+                continue
+            hit = right[alike]
+            both = shared_counts(first[i], [first[j] for j in hit])
+            more = shared_counts(again[i], [again[j] for j in hit])
+            distinct = np.array([len(first[j]) for j in hit]) + len(first[i])
+            total = distinct + np.array([len(again[j]) for j in hit]) + len(again[i])
+            hit = hit[np.maximum(both / (distinct - both), (both + more) / (total - both - more)) >= threshold]
+            a.append(np.minimum(node[i], node[hit]))
+            b.append(np.maximum(node[i], node[hit]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     signed = signatures.select("node", "plain", F.coalesce("counted", "plain").alias("counted"))
-    kind = signed.schema["node"].dataType.simpleString()
-    met_pairs = grouped.join(signed, "node").groupBy("bucket", "x", "y").applyInArrow(run, f"a {kind}, b {kind}")
-    return met_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return grouped.join(signed, "node").groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 @F.pandas_udf(T.DoubleType())
@@ -249,7 +287,15 @@ def counted_shingles(docs: DataFrame, n: int) -> DataFrame:
                     [part.column("node"), lists(h, rows, part.num_rows), lists(again, np.repeat(rows, more), part.num_rows)], names=["node", "first", "again"]
                 )
 
-    return docs.mapInArrow(run, "node binary, first array<bigint>, again array<bigint>")
+    return docs.mapInArrow(run, "node long, first array<bigint>, again array<bigint>")
+
+
+def node_shingles(nodes: DataFrame, signatures: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """``counted_shingles`` of some nodes: of each by one text, that with the least id, and of copies of one id any."""
+    wanted = signatures.select("node", "least_id", F.col("text_key").alias("key")).join(nodes, "node")
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("text_key") == F.col("key"))).dropDuplicates(["node"]).select("node", "text")
+    return counted_shingles(texts, n)
 
 
 def verified_links(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, threshold: float, n: int) -> DataFrame:
@@ -268,15 +314,19 @@ def verified_links(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, thr
     sure = estimated.where(F.col("near") >= threshold + DOUBT).select("a", "b")
     doubtful = estimated.where(F.col("near") < threshold + DOUBT).select("a", "b")
     nodes = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # One text of each node: of copies those with the least id, and of these the first.
-    wanted = signatures.select("node", "least_id").join(nodes, "node")
-    keyed = docs.select("doc_id", text_key(F.col("text")).alias("node"), "text")
-    texts = keyed.join(wanted.withColumnRenamed("node", "key"), F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("node") == F.col("key")), "left_semi").dropDuplicates(["node"]).select("node", "text")
-    known_a, known_b = sides(materialize(counted_shingles(texts, n)), "first", "again")
+    known_a, known_b = sides(materialize(node_shingles(nodes, signatures, docs, n)), "first", "again")
     settled = doubtful.join(known_a, "a").join(known_b, "b").where(F.greatest(*shared_sizes()) >= threshold).select("a", "b")
     return materialize(sure.unionByName(settled))
 
 
+def still_open(buckets: DataFrame, classes: DataFrame, compared: int) -> DataFrame:
+    """``node, band, bucket, finer, component`` of the buckets with several classes and more than ``compared`` nodes."""
+    classed = buckets.join(classes, buckets["node"] == classes["of"], "left").select("node", "band", "bucket", "finer", F.coalesce("component", "node").alias("component"))
+    several = classed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
+    # All pairs of up to three nodes were compared in the first round.
+    return classed.join(several.where("x <> y").where(F.col("size") > compared).select("bucket"), "bucket", "left_semi")
+
+
 def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
     """``doc_id, text_key, class_id, kept`` of every row of ``doc_id`` (cast to long), ``text``.
 
@@ -292,52 +342,40 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(signed_texts(docs, n, bands * rows))
+    # Distinct texts get short numbers, which hold once they are written down.
     nodes = materialize(
-        signed.groupBy(F.col("text_key").alias("node")).agg(
-            F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("plain").alias("plain"), F.first("counted").alias("counted")
-        )
+        signed.groupBy("text_key")
+        .agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("plain").alias("plain"), F.first("counted").alias("counted"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
     signatures = nodes.where("plain is not null")
     buckets = bucketed(signatures, bands, rows)
     links: DataFrame | None = None
     classes: DataFrame | None = None
     for turn in range(rounds + 1):
-        open_buckets = buckets
-        if classes is not None:
-            classed = buckets.join(classes, buckets["node"] == classes["of"], "left").select(
-                "node", "bucket", "finer", F.coalesce("component", "node").alias("component")
-            )
-            several = (
-                classed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
-            )
-            # All pairs of up to three nodes were compared in the first round.
-            several = several.where("size > 3") if turn == rounds else several
-            open_buckets = classed.join(several.select("bucket"), "bucket", "left_semi")
+        open_buckets = buckets if classes is None else materialize(still_open(buckets, classes, 3 if turn == rounds else 0))
         if turn < rounds:
             pairs = star_pairs(open_buckets, "bucket", turn).unionByName(star_pairs(open_buckets, "finer", turn)).distinct()
+            if classes is not None:
+                known_a, known_b = (classes.select(F.col("of").alias(s), F.col("component").alias(f"class_{s}")) for s in "ab")
+                joined = pairs.join(known_a, "a", "left").join(known_b, "b", "left")
+                pairs = joined.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
+            found = verified_links(pairs, signatures, docs, threshold, n)
         else:
-            pairs = block_pairs(materialize(open_buckets.select("node", "bucket", "component")), signatures, threshold - DOUBT)
-        if classes is not None:
-            known_a, known_b = (classes.select(F.col("of").alias(s), F.col("component").alias(f"class_{s}")) for s in "ab")
-            pairs = (
-                pairs.join(known_a, "a", "left")
-                .join(known_b, "b", "left")
-                .where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b"))
-                .select("a", "b")
-            )
-        found = verified_links(pairs, signatures, docs, threshold, n)
+            shingles = materialize(node_shingles(open_buckets.select("node").distinct(), signatures, docs, n))
+            found = materialize(block_links(open_buckets, signatures, shingles, threshold, rows))
         links = found if links is None else links.unionByName(found)
         classes = materialize(components(links).withColumnRenamed("node", "of"))
     # Texts with neither copies nor links are their own class and need no join.
-    joined = nodes.select("node", "least_id", "copies").join(classes, F.col("node") == F.col("of"), "left").where("copies > 1 or component is not null")
+    joined = nodes.select("node", "text_key", "least_id", "copies").join(classes, F.col("node") == F.col("of"), "left").where("copies > 1 or component is not null")
     joined = joined.withColumn("component", F.coalesce("component", "node"))
     first = F.struct(F.col("least_id").isNull().alias("none"), "least_id", "node")
     leaders = joined.groupBy("component").agg(F.min(first).alias("first")).select("component", F.col("first.least_id").alias("class_id"), F.col("first.node").alias("leader"))
     # A text with very many copies meets its class in several tasks.
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    known = joined.join(leaders, "component").select(F.col("node").alias("text_key"), F.lit(True).alias("known"), "class_id", "leader", salts.alias("salt"))
+    known = joined.join(leaders, "component").select("text_key", F.lit(True).alias("known"), "class_id", (F.col("node") == F.col("leader")).alias("leads"), salts.alias("salt"))
     members = signed.select("doc_id", "text_key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    kept = F.when(F.col("known"), F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("leader"))).otherwise(True)
+    kept = F.when(F.col("known"), F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("leads")).otherwise(True)
     found = members.join(known, ["text_key", "salt"], "left").select("doc_id", "text_key", F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), kept.alias("kept"))
     alone = docs.where("text is null").select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
     return found.unionByName(alone)

@@ -32,20 +32,23 @@ def test_near_pairs_inside_a_template(spark):
 
 def test_blocks_find_what_one_block_finds(spark):
     rng = np.random.default_rng(4)
-    base = rng.integers(0, 2**32, 120, dtype=np.uint32)
-    rows = []
-    for node in range(40):
-        signature = base.copy()
-        at = rng.choice(120, 30, replace=False)
-        signature[at] = rng.integers(0, 2**32, 30, dtype=np.uint32)
-        rows.append((node, bytearray(signature.astype("<u4").tobytes())))
-    signatures = spark.createDataFrame(rows, "node long, plain binary").selectExpr("*", "CAST(NULL AS BINARY) AS counted")
-    nodes = signatures.selectExpr("node", "7L as bucket", "node div 2 as component")
-    values = [np.frombuffer(bytes(s), "<u4") for _, s in rows]
-    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if a // 2 != b // 2 and (values[a] == values[b]).mean() >= 0.6}
-    assert want
-    for block in (6, 1024):
-        assert {tuple(r) for r in minhash.block_pairs(nodes, signatures, 0.6, block).collect()} == want
+    base = rng.integers(0, 2**62, 200)
+    sets = []
+    for _ in range(40):
+        kept = base.copy()
+        at = rng.choice(200, 24, replace=False)
+        kept[at] = rng.integers(0, 2**62, 24)
+        sets.append(kept)
+    owner, element = np.repeat(np.arange(40), 200), np.concatenate(sets).astype(np.uint64)
+    signed = minhash.dart_signatures(owner, element, np.ones(len(owner)), 40, 120).astype("<u4")
+    signatures = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(signed)], "node long, plain binary").selectExpr("*", "CAST(NULL AS BINARY) AS counted")
+    shingles = spark.createDataFrame([(i, [int(v) for v in x], []) for i, x in enumerate(sets)], "node long, first array<bigint>, again array<bigint>")
+    nodes = signatures.selectExpr("node", "7L as bucket", "0 as band", "node div 2 as component")
+    alike = lambda a, b: len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]})
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if a // 2 != b // 2 and alike(a, b) >= 0.64}
+    assert 20 < len(want) < 700
+    for block, most in ((6, 1 << 20), (1024, 1 << 20), (1024, 1500)):
+        assert {tuple(r) for r in minhash.block_links(nodes, signatures, shingles, 0.64, 5, block, most).collect()} == want
 
 
 def test_a_repeated_line_hides_no_copy(spark):
