@@ -202,16 +202,45 @@ def test_pii_base_spans(spark, documents):
     for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect():
         want = base_spans(r["text"])
         g = got[r["doc_id"]]
-        assert [g["n_email"], g["n_ip"], g["n_card"], g["n_phone"]] == [sum(k == kind for k, _, _ in want) for kind in pii.BASE_KINDS], r["text"]
+        assert [g["n_email"], g["n_ip"], g["n_card"], g["n_phone"]] == [sum(k == kind for k, _, _ in want) for kind in pii.KINDS], r["text"]
         printed = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
         assert g["base_sha256"] == hashlib.sha256(printed.encode()).hexdigest()
         assert set(printed.split(",")) - {""} <= set(g["spans"].split(","))
 
 
-def test_pii_adds_likely_spans(spark):
-    texts = ["please mail anna.berg (at) example (dot) com today"] * 6 + ["call me: tel 030 1234 56789 soon"] * 6 + ["plain prose with order 030 1234 5678"] * 2
-    got = pii.op5_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert sum(r["n_added"] for r in got) >= 6
+def planted_personal_data():
+    """(text, spans beyond the base) pairs: what the strict patterns miss, and what only looks like it."""
+    rng = np.random.default_rng(9)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    pick = lambda *options: options[rng.integers(len(options))]
+
+    def card():
+        body = f"4{digits(14)}"
+        check = next(c for c in "0123456789" if sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate((body + c)[::-1])) % 10 == 0)
+        return body + check
+
+    out = []
+    for _ in range(60):
+        out.append((pick("please mail ", "contact us: ", "kontakt: "), f"{pick('anna', 'b.smith', 'info')}{digits(2)} {pick('(at)', '[at]')} {pick('example', 'site-x', 'web')} {pick('(dot)', '[dot]')} {pick('com', 'org', 'de')}", "email"))
+        out.append((pick("call ", "tel: ", "fax "), pick(f"(0{digits(2)}) {digits(4)} {digits(4)}", f"030 {digits(4)} {digits(4)}", f"0049 30 {digits(7)}"), "phone"))
+        c = card()
+        out.append((pick("card ", "visa: ", "pay by "), pick(".", "/", "_").join(c[i : i + 4] for i in (0, 4, 8, 12)), "card"))
+        out.append((pick("server ", "login from host ", "ip "), ":".join(f"{v:04x}" for v in rng.integers(4096, 65536, 8)), "ip"))
+        out.append((pick("order ", "invoice no. ", "ref: "), f"030 {digits(4)} {digits(4)}", None))
+        out.append((pick("version ", "section "), ":".join(digits(1) for _ in range(5)), None))
+        out.append((pick("serial number ", "part "), "/".join(["0000", "0000", "0000", "0000"]), None))
+    return out
+
+
+def test_pii_adds_planted_spans(spark):
+    planted = planted_personal_data()
+    docs = [(i, f"plain words {before}{value}, and more prose") for i, (before, value, _) in enumerate(planted)]
+    got = {r["doc_id"]: r["spans"] for r in pii.op5_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = {(i, span) for i, spans in got.items() for span in spans.split(",") if span}
+    want = {(i, f"{kind}:{12 + len(before)}:{12 + len(before) + len(value)}") for i, (before, value, kind) in enumerate(planted) if kind}
+    right = len(found & want)
+    assert right >= 0.9 * len(want), (right, len(want), sorted(want - found)[:5])
+    assert right >= 0.9 * len(found), (right, len(found), [docs[i][1] for i, _ in sorted(found - want)[:5]])
 
 
 def shingles(text, n=5):
