@@ -9,9 +9,10 @@ have hit it; each dart belongs to one coordinate by its hash, and the earliest
 dart of each coordinate is the signature. Two documents agree in a coordinate
 with the probability of their weighted Jaccard likeness.
 
-Documents that agree in all coordinates of a band meet in a bucket. In a bucket
-each document is compared with the bucket's first and last by a hash, in two
-rounds, so groups of copies cost pairs by their documents and not by their
+Documents that agree in all coordinates of a band meet in a bucket. Those that
+agree in two bands in a row are compared with the first of these by a hash, then
+those of buckets that still hold several classes with their bucket's first and
+last, so groups of copies cost pairs by their documents and not by their
 square. In buckets that hold several classes after that, all texts of
 different classes are compared, in blocks, by signatures and then by their
 shingles. Where the signatures of other pairs leave a doubt about the
@@ -157,17 +158,17 @@ def bucketed(signatures: DataFrame, bands: int, rows: int) -> DataFrame:
     return signatures.select("node", F.explode(both).alias("b")).select("node", "b.band", "b.bucket", "b.finer")
 
 
-def star_pairs(buckets: DataFrame, key: str, seed: int) -> DataFrame:
-    """Each node of a bucket with the bucket's first and last by a hash of the node."""
+def star_pairs(buckets: DataFrame, key: str, seed: int, ends: tuple[str, ...] = ("low", "high")) -> DataFrame:
+    """Each node of a bucket with the bucket's first and last by a hash of the node, or one of these."""
     order = F.xxhash64(F.lit(seed), "node")
-    ends = (
+    known = (
         buckets.groupBy(key)
         .agg(F.min(F.struct(order.alias("o"), "node"))["node"].alias("low"), F.max(F.struct(order.alias("o"), "node"))["node"].alias("high"))
         .where("low <> high")
     )
-    met = buckets.select(key, "node").join(ends, key)
-    pair = F.explode(F.array("low", "high"))
-    return met.select("node", pair.alias("other")).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    met = buckets.select(key, "node").join(known, key)
+    other = F.explode(F.array(*ends)) if len(ends) > 1 else F.col(ends[0])
+    return met.select("node", other.alias("other")).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def likely(one: np.ndarray, many: np.ndarray, among: np.ndarray, least: float, first: int = 24, doubt: float = 0.35) -> np.ndarray:
@@ -323,7 +324,7 @@ def still_open(buckets: DataFrame, classes: DataFrame, compared: int) -> DataFra
     """``node, band, bucket, finer, component`` of the buckets with several classes and more than ``compared`` nodes."""
     classed = buckets.join(classes, buckets["node"] == classes["of"], "left").select("node", "band", "bucket", "finer", F.coalesce("component", "node").alias("component"))
     several = classed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
-    # All pairs of up to three nodes were compared in the first round.
+    # All pairs of up to three nodes were compared with their bucket's first and last.
     return classed.join(several.where("x <> y").where(F.col("size") > compared).select("bucket"), "bucket", "left_semi")
 
 
@@ -336,9 +337,8 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int
     rows has an id; ``kept`` marks the rows with that id and one text of the
     class. Null texts are alone in their class; empty texts are equal texts,
     and texts without words link to none but their equals. Rows that repeat an
-    id are classed by their own texts. In later rounds the buckets that still
-    hold several classes get other firsts and lasts; after the last round all
-    pairs of different classes in such buckets are compared.
+    id are classed by their own texts. After the rounds of firsts and lasts, two
+    at least, all pairs of different classes that share a bucket are compared.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(signed_texts(docs, n, bands * rows))
@@ -355,7 +355,8 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int
     for turn in range(rounds + 1):
         open_buckets = buckets if classes is None else materialize(still_open(buckets, classes, 3 if turn == rounds else 0))
         if turn < rounds:
-            pairs = star_pairs(open_buckets, "bucket", turn).unionByName(star_pairs(open_buckets, "finer", turn)).distinct()
+            # Close copies first, each with one other a band, so that large groups of them are one class before looser buckets are looked at.
+            pairs = star_pairs(open_buckets, "finer", turn, ("low",)) if turn == 0 else star_pairs(open_buckets, "bucket", turn)
             if classes is not None:
                 known_a, known_b = (classes.select(F.col("of").alias(s), F.col("component").alias(f"class_{s}")) for s in "ab")
                 joined = pairs.join(known_a, "a", "left").join(known_b, "b", "left")
