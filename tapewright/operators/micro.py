@@ -6,6 +6,7 @@ ask_qty``. Keys are symbol and venue.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import pandas as pd
@@ -13,8 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.columns import bucket_start, ratio, sum_if
+from tapewright.functions.ranges import RANGE, with_next_known, with_previous, with_reach, with_running_sum
 
 KEYS = ("symbol", "venue")
+#: Width of the time ranges into which a key's rows are dealt.
+RANGE_MS = 3_600_000
 
 
 def valid() -> Column:
@@ -34,14 +38,13 @@ def with_tick(rows: DataFrame, ticks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.join(ticks, list(KEYS)), rows.select(*KEYS).distinct().join(ticks, list(KEYS), "left_anti")
 
 
-def book_events(quotes: DataFrame) -> DataFrame:
+def book_events(quotes: DataFrame, range_ms: int = RANGE_MS) -> DataFrame:
     """Changes of the best quote with what they contribute to order flow; unchanged quotes are dropped.
 
     Order: ts_ms, then update_id. The first quote of a key has no event.
     """
-    order = Window.partitionBy(*KEYS).orderBy("ts_ms", "update_id")
     names = ("bid_ticks", "ask_ticks", "bid_qty", "ask_qty")
-    both = quotes.select(*KEYS, "update_id", "ts_ms", *names, *[F.lag(n).over(order).alias(f"prev_{n}") for n in names])
+    both = with_previous(quotes.select(*KEYS, "update_id", "ts_ms", *names), KEYS, ("ts_ms", "update_id"), names, range_ms)
     changed = both.where("prev_bid_ticks is not null and (bid_ticks <> prev_bid_ticks or ask_ticks <> prev_ask_ticks or bid_qty <> prev_bid_qty or ask_qty <> prev_ask_qty)")
     c, p = F.col, lambda n: F.col(f"prev_{n}")
     e = (
@@ -112,9 +115,7 @@ def forward_labels(vectors: DataFrame, events: DataFrame, horizons_ms: Sequence[
     both = probes.select(*KEYS, "t", F.lit(0).alias("kind"), "update_id", "base_ms", "horizon_ms", F.lit(None).cast("double").alias("mid")).unionByName(
         mids.select(*KEYS, "t", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("update_id"), F.lit(None).cast("long").alias("base_ms"), F.lit(None).cast("int").alias("horizon_ms"), "mid")
     )
-    # Backwards in time, so that the frame grows row by row: a frame that shrinks is summed anew at each row.
-    later = Window.partitionBy(*KEYS).orderBy(F.col("t").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("next_mid", F.last("mid", ignorenulls=True).over(later)).where("kind = 0")
+    found = with_next_known(both, KEYS, (F.col("t").desc(), F.col("kind").desc()), "t", "mid", "next_mid", RANGE_MS).where("kind = 0")
     base = F.max(F.when(F.col("horizon_ms") == 0, F.col("next_mid"))).over(Window.partitionBy(*KEYS, "update_id", "base_ms"))
     labelled_rows = found.withColumn("base_mid", base).where("horizon_ms > 0")
     return labelled_rows.select(
@@ -143,17 +144,16 @@ def exclude_degraded(labels: DataFrame, spans: DataFrame, block_ms: int = 60_000
 
 def absorption_candidates(events: DataFrame, window_ms: int = 30_000, refills: int = 2, max_adverse: float = 5.0) -> DataFrame:
     """Events from which, within the window, flow is negative, the bid is refilled and the mid falls by little."""
-    order = Window.partitionBy(*KEYS).orderBy("ts_ms")
-    ahead = order.rangeBetween(0, window_ms)
+    ahead = Window.partitionBy(*KEYS, RANGE).orderBy("ts_ms").rangeBetween(0, window_ms)
     refill = (F.col("bid_ticks") == F.col("prev_bid_ticks")) & (F.col("bid_qty") > F.col("prev_bid_qty"))
     # The window is by time; events of the same instant before this one belong to it only if they come later in order.
-    rows = events.withColumn("mid", mid_ticks()).withColumn("base_mid", mid_ticks("prev_"))
+    rows = with_reach(events, "ts_ms", window_ms, max(RANGE_MS, window_ms)).withColumn("mid", mid_ticks()).withColumn("base_mid", mid_ticks("prev_"))
     scored = rows.select(
-        *KEYS, "ts_ms", "update_id", "bid_ticks", "base_mid", F.sum("contribution").over(ahead).alias("flow"), F.sum(F.when(refill, 1).otherwise(0)).over(ahead).alias("refills"),
+        *KEYS, "_guest", "ts_ms", "update_id", "bid_ticks", "base_mid", F.sum("contribution").over(ahead).alias("flow"), F.sum(F.when(refill, 1).otherwise(0)).over(ahead).alias("refills"),
         F.count("*").over(ahead).alias("n"), F.max(F.struct("ts_ms", "update_id", "mid")).over(ahead)["mid"].alias("last_mid"),
     )
     response = F.col("last_mid") - F.col("base_mid")
-    return scored.where((F.col("n") >= 2) & (F.col("flow") < 0) & (F.col("refills") >= refills) & (-response <= max_adverse)).select(
+    return scored.where(~F.col("_guest") & (F.col("n") >= 2) & (F.col("flow") < 0) & (F.col("refills") >= refills) & (-response <= max_adverse)).select(
         *KEYS, "ts_ms", "update_id", "bid_ticks", "flow", "refills", response.alias("response_ticks")
     )
 
@@ -206,16 +206,16 @@ def detect_walls(events: DataFrame, min_qty: float = 40.0, max_bps: float = 50.0
     return life.where(F.col("persistence_ms") >= persist_ms).withColumn("response_ticks", F.col("end_mid") - F.col("base_mid")).drop("base_mid", "end_mid")
 
 
-def sequence_gaps(deltas: DataFrame) -> DataFrame:
+def sequence_gaps(deltas: DataFrame, range_ids: int = 100_000) -> DataFrame:
     """Each frame with its gap flag and the session it belongs to: a gap opens a new one.
 
     Spot: the first id must not skip past the last final id. Futures: it must not lie before it.
     """
-    order = Window.partitionBy(*KEYS).orderBy("final_update_id")
-    before = F.lag("final_update_id").over(order)
+    before = F.col("previous_final_id")
     gap = F.when(F.col("venue") == "futures", F.col("first_update_id") < before).otherwise(F.col("first_update_id") > before + 1)
-    rows = deltas.withColumn("previous_final_id", before).withColumn("is_gap", F.coalesce(gap, F.lit(False)))
-    return rows.withColumn("session", F.sum(F.col("is_gap").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    known = with_previous(deltas, KEYS, ("final_update_id",), ("final_update_id",), range_ids).withColumnRenamed("prev_final_update_id", "previous_final_id")
+    flagged = known.withColumn("is_gap", F.coalesce(gap, F.lit(False)))
+    return with_running_sum(flagged, KEYS, ("final_update_id",), F.col("is_gap").cast("long"), "session", range_ids)
 
 
 def bootstrap_bridge(deltas: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -247,17 +247,29 @@ def replay_book(deltas: DataFrame, chunk_ms: int = 3_600_000) -> DataFrame:
     everything = rows.select(*session, "chunk", "final_update_id", "ts_ms", "side", "price_ticks", "qty").unionByName(seeds)
 
     def replay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        # Quantities by price, and a heap of the prices of each side that may still have one, best first.
         book: dict[str, dict[int, float]] = {"bid": {}, "ask": {}}
+        heaps: dict[str, list[int]] = {"bid": [], "ask": []}
         out = []
+
+        def best(side: str, sign: int) -> tuple[int | None, float | None]:
+            heap, levels = heaps[side], book[side]
+            while heap and sign * heap[0] not in levels:
+                heapq.heappop(heap)
+            return (sign * heap[0], levels[sign * heap[0]]) if heap else (None, None)
+
         pdf = pdf.sort_values(["final_update_id", "price_ticks"], na_position="first", kind="stable")
-        for fid, ts, side, price, qty in pdf[["final_update_id", "ts_ms", "side", "price_ticks", "qty"]].itertuples(index=False):
+        columns = [pdf[c].to_numpy() for c in ("final_update_id", "ts_ms", "side", "price_ticks", "qty")]
+        for fid, ts, side, price, qty in zip(*[c.tolist() for c in columns], strict=True):
+            levels = book[side]
             if qty > 0:
-                book[side][price] = qty
+                if price not in levels:
+                    heapq.heappush(heaps[side], -price if side == "bid" else price)
+                levels[price] = qty
             else:
-                book[side].pop(price, None)
-            if fid == fid:
-                bid, ask = max(book["bid"], default=None), min(book["ask"], default=None)
-                out.append((*key[:3], int(fid), int(ts), bid, book["bid"].get(bid), ask, book["ask"].get(ask)))
+                levels.pop(price, None)
+            if fid == fid and fid is not None:
+                out.append((*key[:3], int(fid), int(ts), *best("bid", -1), *best("ask", 1)))
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in REPLAYED.split(", ")])
         return frame.astype({"bid_ticks": "Int64", "ask_ticks": "Int64", "bid_qty": "float64", "ask_qty": "float64"})
 

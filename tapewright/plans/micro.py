@@ -106,8 +106,7 @@ def _(m: Market):
     return labels(m)
 
 
-GAPS = f"(SELECT symbol, lo, hi, reason FROM {SPANS} s WHERE reason = 'gap' AND lo % 7 = 0)"
-DEGRADED = f"""(WITH l AS (SELECT *, ts_ms + horizon_ms AS target FROM {LABELS} x), e AS (SELECT symbol, max(target) AS stop FROM l GROUP BY ALL), s AS (SELECT g.symbol, lo, coalesce(hi, stop + 1) AS hi, reason FROM {GAPS} g JOIN e ON g.symbol = e.symbol),
+DEGRADED = f"""(WITH l AS (SELECT *, ts_ms + horizon_ms AS target FROM {LABELS} x), e AS (SELECT symbol, max(target) AS stop FROM l GROUP BY ALL), s AS (SELECT g.symbol, lo, coalesce(hi, stop + 1) AS hi, reason FROM {SPANS} g JOIN e ON g.symbol = e.symbol),
   h AS (SELECT l.symbol, l.venue, l.update_id, l.ts_ms, l.horizon_ms, arg_min(s.reason, s.lo) AS reason FROM l JOIN s ON l.symbol = s.symbol AND s.lo < l.target AND s.hi > l.ts_ms GROUP BY ALL)
   SELECT l.symbol, l.venue, l.ts_ms, l.update_id, l.horizon_ms, CASE WHEN h.reason IS NULL THEN y_ticks END AS y_ticks, coalesce(h.reason, l.excluded) AS excluded FROM l LEFT JOIN h ON l.symbol = h.symbol AND l.venue = h.venue AND l.update_id = h.update_id AND l.ts_ms = h.ts_ms AND l.horizon_ms = h.horizon_ms)"""
 
@@ -119,7 +118,7 @@ def usable_labels(m: Market, spans=None):
 
 @query("j9_degraded_span_exclusion", f"SELECT * FROM {DEGRADED} d", "y_ticks")
 def _(m: Market):
-    return usable_labels(m, rules.status_spans(m.capture_status).where("reason = 'gap' and lo % 7 = 0"))
+    return usable_labels(m)
 
 
 CANDIDATES = f"""(WITH s AS (SELECT *, sum(contribution) OVER w AS flow, sum(CASE WHEN bid_ticks = pb AND bid_qty > pbq THEN 1 ELSE 0 END) OVER w AS refills, count(*) OVER w AS n, arg_max(mid, update_id) OVER w AS last_mid FROM {EVENTS} e

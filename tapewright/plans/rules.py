@@ -257,10 +257,10 @@ def _(m: Market):
 
 
 @query("j12_dependency_asof", """SELECT t.symbol, t.bucket_ms AS ts_ms, o.sum_open_interest AS value, o.bucket_ms AS up_ts, coalesce(t.bucket_ms - o.bucket_ms <= 300000, false) AS usable
-  FROM (SELECT * FROM {taker_bars_5m} WHERE bucket_ms % 600000 = 0) t ASOF LEFT JOIN (SELECT * FROM {oi_history_5m} WHERE bucket_ms // 300000 % 3 = 0) o ON t.symbol = o.symbol AND t.bucket_ms >= o.bucket_ms""", "value")
+  FROM {taker_bars_5m} t ASOF LEFT JOIN {oi_history_5m} o ON t.symbol = o.symbol AND t.bucket_ms >= o.bucket_ms""", "value")
 def _(m: Market):
-    results = m.taker_bars_5m.where("bucket_ms % 600000 = 0").select("symbol", F.col("bucket_ms").alias("ts_ms"))
-    upstream = m.oi_history_5m.where("bucket_ms div 300000 % 3 = 0").select("symbol", F.col("bucket_ms").alias("ts_ms"), F.col("sum_open_interest").alias("value"))
+    results = m.taker_bars_5m.select("symbol", F.col("bucket_ms").alias("ts_ms"))
+    upstream = m.oi_history_5m.select("symbol", F.col("bucket_ms").alias("ts_ms"), F.col("sum_open_interest").alias("value"))
     return rules.dependency_asof(results, upstream, 300_000)
 
 

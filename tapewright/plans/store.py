@@ -52,20 +52,19 @@ def _(m: Market):
 
 def snapshots(m: Market):
     """Nested raw snapshots of five minutes; a trade is also in the snapshot after its own."""
-    t = m.trades.where("ts_ms < 1704070800000").select("symbol", "venue", F.explode(F.array(F.floor(F.col("ts_ms") / 300_000), F.floor(F.col("ts_ms") / 300_000) + 1)).alias("s"), F.struct(F.col("trade_id").alias("id"), F.col("ts_ms").alias("ts"), "price", "qty", "is_buyer_maker").alias("t"))
+    t = m.trades.select("symbol", "venue", F.explode(F.array(F.floor(F.col("ts_ms") / 300_000), F.floor(F.col("ts_ms") / 300_000) + 1)).alias("s"), F.struct(F.col("trade_id").alias("id"), F.col("ts_ms").alias("ts"), "price", "qty", "is_buyer_maker").alias("t"))
     sides = t.groupBy("symbol", "s").pivot("venue", ["spot", "futures"]).agg(F.collect_list("t"))
     return sides.select("symbol", (F.col("s") * 300_000).alias("observed_at_ms"), F.struct(F.col("spot").alias("trades_normalized")).alias("spot"), F.struct(F.col("futures").alias("trades_normalized")).alias("futures"))
 
 
-EARLY = "(SELECT * FROM {trades} WHERE ts_ms < 1704070800000)"
-
-
-@query("s1_s2_trades_from_snapshots", f"SELECT symbol, (ts_ms // 300000 + k) * 300000 AS observed_at_ms, venue, trade_id, ts_ms, price, qty, is_buyer_maker FROM {EARLY} t, (SELECT unnest([0, 1]) AS k) x", "price qty")
+@query("s1_s2_trades_from_snapshots", f"SELECT symbol, (ts_ms // 300000 + k) * 300000 AS observed_at_ms, venue, trade_id, ts_ms, price, qty, is_buyer_maker FROM {{trades}} t, (SELECT unnest([0, 1]) AS k) x", "price qty")
 def _(m: Market):
-    return records.trades_from_snapshots(snapshots(m))
+    path = f"{folder(m)}/snapshots-{uuid.uuid4().hex}"
+    snapshots(m).write.json(path)
+    return records.trades_from_snapshots(records.read_snapshots(m.spark, path))
 
 
-@query("s6_slim_snapshots", f"SELECT symbol, (ts_ms // 300000 + k) * 300000 AS observed_at_ms, count(*) FILTER (venue = 'spot') AS spot_trades, count(*) FILTER (venue = 'futures') AS futures_trades FROM {EARLY} t, (SELECT unnest([0, 1]) AS k) x GROUP BY ALL")
+@query("s6_slim_snapshots", f"SELECT symbol, (ts_ms // 300000 + k) * 300000 AS observed_at_ms, count(*) FILTER (venue = 'spot') AS spot_trades, count(*) FILTER (venue = 'futures') AS futures_trades FROM {{trades}} t, (SELECT unnest([0, 1]) AS k) x GROUP BY ALL")
 def _(m: Market):
     slim = records.slim_snapshots(snapshots(m))
     return slim.select("symbol", "observed_at_ms", *[F.size(f"{v}.trades_normalized").cast("long").alias(f"{v}_trades") for v in ("spot", "futures")])
