@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapewright.functions.columns import count_if, labelled, ratio, reasons, sum_if, total
+from tapewright.functions.ranges import with_running_sum
 
 KEYS = ("symbol", "venue")
 BLOCK = (*KEYS, "block_ms")
+#: Width of the time ranges into which a key's rows are dealt.
+RANGE_MS = 3_600_000
 
 
 @F.pandas_udf(T.DoubleType())
@@ -32,9 +35,9 @@ def content_hash(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}).cast("binary"), 256)
 
 
-def set_hash(columns: Sequence[str]) -> Column:
-    """Aggregate: a fingerprint of a group's rows that doesn't depend on their order; equal rows count."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(columns)])
+def set_hash(columns: Sequence[str], places: int | None = None) -> Column:
+    """Aggregate: a fingerprint of a group's rows that doesn't depend on their order; equal rows count. ``places``: numbers are rounded first."""
+    h = F.xxhash64(*[F.col(c) if places is None else F.round(c, places) for c in sorted(columns)])
     return F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.sum(h.cast("decimal(38,0)")).cast("string"), F.bit_xor(h).cast("string")).cast("binary"), 256)
 
 
@@ -144,13 +147,13 @@ def evaluate_scenario(fits: DataFrame, intervals: DataFrame, targets: DataFrame,
 
 
 HORIZON = (*KEYS, "horizon_ms")
+MODEL_VERSION, SPLIT = "forward-ols-hc0-1", "time-ordered-70/30"
 
 
 def complete_cases(vectors: DataFrame, labels: DataFrame, features: Sequence[str]) -> DataFrame:
     """Labelled vectors with every feature, numbered by time; ``train`` marks the first seventy percent."""
     rows = labels.where("y_ticks is not null").join(vectors.select(*KEYS, "ts_ms", "update_id", *features), [*KEYS, "ts_ms", "update_id"]).dropna(subset=list(features))
-    order = Window.partitionBy(*HORIZON).orderBy("ts_ms", "update_id")
-    numbered = rows.withColumn("rn", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy(*HORIZON)))
+    numbered = with_running_sum(rows, HORIZON, ("ts_ms", "update_id"), F.lit(1), "rn", RANGE_MS).join(rows.groupBy(*HORIZON).agg(F.count("*").alias("n")), list(HORIZON))
     return numbered.withColumn("train", F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.7)))
 
 
@@ -189,7 +192,7 @@ def _dot(beta: Column, design: Sequence[Column]) -> Column:
 
 
 def fit_forward_ols(rows: DataFrame, features: Sequence[str], least: int = 30) -> DataFrame:
-    """Per horizon: coefficients on all and on the training rows, robust errors, in- and out-of-sample fit, and status.
+    """Per horizon: coefficients on all and on the training rows, robust errors, in- and out-of-sample fit, status, and pins of model, features and input.
 
     ``rows`` come from ``complete_cases``. The sums are distributed; only the
     k by k systems, one row a group, are solved in Python.
@@ -198,19 +201,19 @@ def fit_forward_ols(rows: DataFrame, features: Sequence[str], least: int = 30) -
     y, train = F.col("y_ticks"), F.col("train")
     sums = rows.groupBy(*HORIZON).agg(
         F.count("*").alias("n_obs"), count_if(train).alias("n_train"), F.avg(y).alias("ybar"), F.avg(F.when(train, y)).alias("train_ybar"),
-        *_gram(design, y, F.lit(True), "all"), *_gram(design, y, train, "train"), *_gram([F.lit(1.0), F.col(features[0]).cast("double")], y, train, "base"),
+        set_hash(["ts_ms", "update_id", "y_ticks", *features], 6).alias("input_hash"), *_gram(design, y, F.lit(True), "all"), *_gram(design, y, train, "train"), *_gram([F.lit(1.0), F.col(features[0]).cast("double")], y, train, "base"),
     )
-    cols = "symbol string, venue string, horizon_ms int, n_obs long, n_train long, ybar double, train_ybar double, beta array<double>, train_beta array<double>, base_beta array<double>, inverse array<double>"
+    cols = "symbol string, venue string, horizon_ms int, n_obs long, n_train long, ybar double, train_ybar double, beta array<double>, train_beta array<double>, base_beta array<double>, inverse array<double>, input_hash string"
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = b[["symbol", "venue", "horizon_ms", "n_obs", "n_train", "ybar", "train_ybar"]].copy()
+            out = b[["symbol", "venue", "horizon_ms", "n_obs", "n_train", "ybar", "train_ybar", "input_hash"]].copy()
             alls = [_solve(_symmetric(x, k), np.array(v)) for x, v in zip(b["xx_all"], b["xy_all"], strict=True)]
             out["beta"] = [s[0].tolist() for s in alls]
             out["train_beta"] = [_solve(_symmetric(x, k), np.array(v))[0].tolist() for x, v in zip(b["xx_train"], b["xy_train"], strict=True)]
             out["base_beta"] = [_solve(_symmetric(x, 2), np.array(v))[0].tolist() for x, v in zip(b["xx_base"], b["xy_base"], strict=True)]
             out["inverse"] = [s[1].reshape(-1).tolist() for s in alls]
-            yield out
+            yield out[[c.split()[0] for c in cols.split(", ")]]
 
     solved = sums.mapInPandas(solve, cols)
     e = y - _dot(F.col("beta"), design)
@@ -250,6 +253,7 @@ def fit_forward_ols(rows: DataFrame, features: Sequence[str], least: int = 30) -
         ratio("oos_sae", "n_oos").alias("oos_mae"), F.sqrt(ratio("oos_sse", "n_oos")).alias("oos_rmse"), base.alias("baseline_oos_r2"),
         labelled((F.col("n_obs") < least, "insufficient"), default="fitted").alias("estimation_status"), validation.alias("validation_status"),
         labelled((F.col("n_obs") < least, "insufficient"), (validation == "validated", "validated"), default="provisional").alias("status"),
+        F.lit(MODEL_VERSION).alias("model_version"), F.lit(SPLIT).alias("split_method"), F.sha2(F.lit(",".join(names)), 256).alias("feature_schema_hash"), "input_hash",
     )
 
 
@@ -318,28 +322,53 @@ def bridge_horizon(fits: DataFrame, horizons_ms: Sequence[int] = (900_000, 3_600
 
 
 def hypothesis_test(fits: DataFrame, rows: DataFrame, features: Sequence[str], tests: int = 1, method: str = "bonferroni") -> DataFrame:
-    """One-sided test that the expected change at the mean features is positive, adjusted for the number of tests."""
+    """One-sided test that the expected change at the mean features is positive, adjusted for the number of tests (``method``: none for a single one, bonferroni or holm)."""
     means = rows.groupBy(*HORIZON).agg(F.count("*").alias("n"), *[F.avg(f).alias(f) for f in features])
     j = fits.where("status <> 'insufficient'").join(means, list(HORIZON))
     sq = lambda c: c * c
     se = F.sqrt(total([sq(F.element_at("stderr", "intercept")), *[sq(F.element_at("stderr", f) * F.abs(f)) for f in features]]))
     e = j.select(*HORIZON, "n", "oos_skill", "status", expected_ticks(F.col("betas"), features).alias("effect"), F.when(se > 0, se).alias("se"))
+    label = "none-prereg-single" if method == "none" and tests == 1 else f"{'holm' if method == 'holm' else 'bonferroni'}-m={tests}"
     p = F.least(F.lit(1.0), (1 - norm_cdf(F.col("effect") / F.col("se"))) * tests)
     return e.select(
         *HORIZON, "n", "effect", "se", (F.col("effect") - F.col("se") * 1.96).alias("ci_lo"), (F.col("effect") + F.col("se") * 1.96).alias("ci_hi"), p.alias("p_value"),
-        F.lit(f"{method}-m={tests}").alias("multiplicity_adj"), labelled((F.col("n") < 30, "insufficient"), default=None).alias("thin"), "status",
+        F.lit(label).alias("multiplicity_adj"), F.lit(tests).alias("m_tests"), labelled((F.col("n") < 30, "insufficient"), default=None).alias("thin"), "status",
     )
 
 
-def discipline_audit(fits: DataFrame, calibration: DataFrame | None = None, cost_statement: str | None = None) -> DataFrame:
-    """Per key: the quality checks of its fits, the open ones, and go or no-go."""
+PINS = ("model_version", "input_hash", "feature_schema_hash")
+
+
+def discipline_audit(
+    fits: DataFrame, calibration: DataFrame | None = None, cost_statement: str | None = None, labels: DataFrame | None = None, regime_qualified: bool = False, hypotheses: DataFrame | None = None
+) -> DataFrame:
+    """Per key: the ten quality checks of its fits, the open ones, and go or no-go.
+
+    ``labels``: the forward rows with their exclusions (every row without a
+    value must say why); ``regime_qualified``: fits are of one regime or pooled
+    on purpose; ``hypotheses``: claims with ``m_tests`` and ``multiplicity_adj``
+    (none claimed: nothing to adjust).
+    """
     rows = fits if calibration is None else fits.join(calibration.select(*HORIZON, F.col("status").alias("calibration_status")), list(HORIZON), "left")
     every = lambda c: F.bool_and(F.coalesce(c, F.lit(False)))
+    pinned = F.size("betas") > 1
+    for pin in PINS:
+        pinned = pinned & F.col(pin).isNotNull() & (F.col(pin) != "")
+    timed = (F.col("n_oos") >= 30) & F.col("oos_skill").isNotNull() & (F.col("split_method") == SPLIT) & (F.col("validation_status") == "validated")
     s = rows.groupBy(*KEYS).agg(
-        F.count("*").alias("horizons"), every(F.col("estimation_status") == "fitted").alias("estimation"), every((F.col("n_oos") >= 30) & (F.col("validation_status") == "validated")).alias("time_order"),
-        every(F.col("baseline_oos_r2").isNotNull()).alias("baseline_comparison"), (F.count_distinct("horizon_ms") == F.count("*")).alias("horizon_separation"), every(F.size("betas") > 1).alias("version_pins"),
-        (every(F.col("calibration_status") == "passed") if calibration is not None else F.bool_and(F.lit(True))).alias("calibration"), F.bool_and(F.lit(bool(cost_statement))).alias("cost_statement"),
+        F.count("*").alias("horizons"), every(F.col("estimation_status") == "fitted").alias("estimation"), every(timed).alias("time_order"),
+        every(F.col("baseline_oos_r2").isNotNull()).alias("baseline_comparison"), (F.count_distinct("horizon_ms") == F.count("*")).alias("horizon_separation"), every(pinned).alias("version_pins"),
+        (every(F.col("calibration_status") == "passed") if calibration is not None else F.bool_and(F.lit(True))).alias("calibration"), F.bool_and(F.lit(bool(cost_statement))).alias("cost_statement"), F.bool_and(F.lit(regime_qualified)).alias("regime_separation"),
     )
+
+    def with_check(s: DataFrame, table: DataFrame | None, ok: Column, name: str, missing: bool) -> DataFrame:
+        if table is None:
+            return s.withColumn(name, F.lit(missing))
+        found = table.groupBy(*KEYS).agg(every(ok).alias(name))
+        return s.join(found, list(KEYS), "left").withColumn(name, F.coalesce(name, F.lit(missing)))
+
+    s = with_check(s, labels, F.col("y_ticks").isNotNull() | F.col("excluded").isNotNull(), "leakage", False)
+    s = with_check(s, hypotheses, (F.col("m_tests") >= 1) & (F.col("multiplicity_adj") != ""), "multiplicity", True)
     checks = [c for c in s.columns if c not in (*KEYS, "horizons")]
     return s.withColumn("open_violations", reasons(*[(~F.col(c), c) for c in checks])).withColumn("verdict", labelled((F.size("open_violations") == 0, "go"), default="no-go"))
 

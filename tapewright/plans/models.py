@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tapewright.operators import micro, models
 from tapewright.plans import micro as pm
-from tapewright.plans.registry import query
+from tapewright.plans.registry import folder, query
 from tapewright.sources.views import Market
 
 BLOCK_MS, LEAST = 300_000, 10
@@ -87,12 +89,19 @@ def _(m: Market):
     return models.evaluate_scenario(f, pm.intervals(m), targets, 6, 5)
 
 
+def written(m: Market, df):
+    """``df``, written to the shared folder once for all that read it."""
+    path = f"{folder(m)}/forward-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return m.spark.read.schema(df.schema).parquet(path)
+
+
 def cases(m: Market):
-    return models.complete_cases(pm.features(m), pm.usable_labels(m), FEATURES)
+    return written(m, models.complete_cases(pm.features(m), pm.usable_labels(m), FEATURES))
 
 
-def forward_fits(m: Market):
-    return models.fit_forward_ols(cases(m), FEATURES)
+def forward_fits(m: Market, rows=None):
+    return written(m, models.fit_forward_ols(cases(m) if rows is None else rows, FEATURES))
 
 
 def flat(df, *maps: str):
@@ -106,27 +115,30 @@ def _(m: Market):
     return flat(forward_fits(m), "betas", "stderr")
 
 
-def calibration(m: Market, f=None):
-    return models.calibration_report(f if f is not None else forward_fits(m), cases(m), FEATURES)
+def calibrated(m: Market):
+    """Cases, their fits, and the fits' calibration."""
+    rows = cases(m)
+    f = forward_fits(m, rows)
+    return rows, f, models.calibration_report(f, rows, FEATURES)
 
 
 @query("m7_calibration_report")
 def _(m: Market):
-    return calibration(m)
+    return calibrated(m)[2]
 
 
 @query("m6_predict_distribution")
 def _(m: Market):
-    f = forward_fits(m)
-    return models.predict_distribution(f, pm.features(m), FEATURES, calibration(m, f))
+    _, f, c = calibrated(m)
+    return models.predict_distribution(f, pm.features(m), FEATURES, c)
 
 
 @query("m8_forward_scenario")
 def _(m: Market):
-    f = forward_fits(m)
+    _, f, c = calibrated(m)
     v = pm.features(m).dropna(subset=FEATURES)
     latest = v.groupBy("symbol", "venue").agg(F.max(F.struct("ts_ms", "update_id", *FEATURES)).alias("v")).select("symbol", "venue", "v.*")
-    return models.forward_scenario(f, latest, FEATURES, calibration(m, f), [-5, -2, 2, 5])
+    return models.forward_scenario(f, latest, FEATURES, c, [-5, -2, 2, 5])
 
 
 @query("m9_skill_decay")
@@ -141,13 +153,16 @@ def _(m: Market):
 
 @query("m11_hypothesis_test")
 def _(m: Market):
-    return models.hypothesis_test(forward_fits(m), cases(m), FEATURES, tests=4)
+    rows = cases(m)
+    return models.hypothesis_test(forward_fits(m, rows), rows, FEATURES, tests=4)
 
 
 @query("m12_discipline_audit")
 def _(m: Market):
-    f = forward_fits(m)
-    return models.discipline_audit(f, calibration(m, f), "costs are not modelled").withColumn("open_violations", F.array_join("open_violations", ","))
+    rows, f, c = calibrated(m)
+    claims = models.hypothesis_test(f, rows, FEATURES, tests=4)
+    audit = models.discipline_audit(f, c, "costs are not modelled", pm.usable_labels(m), True, claims)
+    return audit.withColumn("open_violations", F.array_join("open_violations", ","))
 
 
 NEWEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, venue ORDER BY block_ms DESC) AS rank FROM {} f) x WHERE rank <= {})"
