@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.columns import bucket_start, count_if, is_buy, labelled, nearest_bucket, ratio, sum_if
+from tapewright.functions.ranges import with_running_sum
 
+#: Width of the time ranges into which a key's rows are dealt.
+RANGE_MS = 3_600_000
 KEYS = ("symbol", "venue")
 MINUTE = 60_000
 
@@ -275,10 +278,12 @@ def new_large_prints(prints: DataFrame, recorded: DataFrame) -> DataFrame:
 
 def flow_persistence(trades: DataFrame, keys: Sequence[str] = KEYS, moved_by: float = 0.05, least: int = 20) -> DataFrame:
     """Notional buy share of the newer half of a key's trades against the older half; the older half has the odd one."""
-    order = Window.partitionBy(*keys).orderBy(F.col("ts_ms").desc(), F.col("trade_id").desc(), "price", "qty", "is_buyer_maker")
-    n = F.count("*").over(Window.partitionBy(*keys))
-    halves = trades.select(*keys, (F.col("price") * F.col("qty")).alias("v"), "is_buyer_maker", F.row_number().over(order).alias("rn"), n.alias("n"))
-    recent = F.col("rn") <= F.floor(F.col("n") / 2)
+    # Numbered from the oldest, by ranges of time, so that no task holds a whole key.
+    order = ("ts_ms", "trade_id", F.col("price").desc(), F.col("qty").desc(), F.col("is_buyer_maker").desc())
+    numbered = with_running_sum(trades.select(*keys, "ts_ms", "trade_id", "price", "qty", "is_buyer_maker"), keys, order, F.lit(1), "rn", RANGE_MS)
+    sizes = trades.groupBy(*keys).agg(F.count("*").alias("n"))
+    halves = numbered.join(sizes, list(keys)).withColumn("v", F.col("price") * F.col("qty"))
+    recent = F.col("rn") > F.col("n") - F.floor(F.col("n") / 2)
 
     def share(half: Column) -> Column:
         return ratio(sum_if(half & is_buy(), "v"), sum_if(half, "v"))

@@ -7,6 +7,7 @@ state store: ``spark.sql.streaming.stateStore.providerClass``.
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -161,6 +162,16 @@ class BookReplay(StatefulProcessor):
         book: dict[str, dict[int, float]] = {"bid": {}, "ask": {}}
         for (side, price), (qty,) in self.levels.iterator():
             book[side][price] = qty
+        was = {side: dict(prices) for side, prices in book.items()}
+        # Prices of each side that may still have a quantity, best first.
+        heaps = {"bid": sorted(-p for p in book["bid"]), "ask": sorted(book["ask"])}
+
+        def best(side: str, sign: int) -> tuple[int | None, float | None]:
+            heap, levels = heaps[side], book[side]
+            while heap and sign * heap[0] not in levels:
+                heapq.heappop(heap)
+            return (sign * heap[0], levels[sign * heap[0]]) if heap else (None, None)
+
         out = []
         batch = pd.concat(list(rows)).sort_values(["final_update_id", "side", "price_ticks"], kind="stable")
         for first, final, ts, side, price, qty in batch[["first_update_id", "final_update_id", "ts_ms", "side", "price_ticks", "qty"]].itertuples(index=False):
@@ -168,19 +179,23 @@ class BookReplay(StatefulProcessor):
                 continue
             gap = last is not None and (first < last if key[1] == "futures" else first > last + 1)
             if gap:
-                book, session = {"bid": {}, "ask": {}}, session + 1
+                book, heaps, session = {"bid": {}, "ask": {}}, {"bid": [], "ask": []}, session + 1
             last = int(final)
             if qty > 0:
+                if int(price) not in book[side]:
+                    heapq.heappush(heaps[side], -int(price) if side == "bid" else int(price))
                 book[side][int(price)] = float(qty)
             else:
                 book[side].pop(int(price), None)
-            bid, ask = max(book["bid"], default=None), min(book["ask"], default=None)
-            out.append((key[0], key[1], last, int(ts), int(session), bid, book["bid"].get(bid), ask, book["ask"].get(ask)))
+            out.append((key[0], key[1], last, int(ts), int(session), *best("bid", -1), *best("ask", 1)))
         self.place.update((int(last), int(session)))
-        self.levels.clear()
+        # Only what has changed is written.
         for side, prices in book.items():
             for price, qty in prices.items():
-                self.levels.updateValue((side, price), (qty,))
+                if was[side].get(price) != qty:
+                    self.levels.updateValue((side, price), (qty,))
+            for price in was[side].keys() - prices.keys():
+                self.levels.removeKey((side, price))
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in BOOK.split(", ")])
         yield frame.astype({"bid_ticks": "Int64", "ask_ticks": "Int64", "bid_qty": "float64", "ask_qty": "float64"})
 
