@@ -108,3 +108,33 @@ def _(m: Market):
     live = m.book_prices.groupBy("symbol").agg(F.max("snapshot_id").alias("live")).withColumn("horizon_min", F.explode(F.array(F.lit(5), F.lit(15), F.lit(240))))
     pick = live.join(window, ["symbol", "horizon_min"], "left").select("symbol", "horizon_min", F.coalesce("w", "live").alias("snapshot_id"), F.when(F.col("w").isNull(), "live").otherwise("window").alias("book_source"))
     return pick.join(delta, KS)
+
+
+#: Sections of a report by name: their group, and a table with a row a symbol.
+SECTIONS = {
+    "correlation": ("flow", lambda m: tape.cvd_series_corr(tape.bucketed_cvd(m.trades)).select("symbol", "aligned_buckets", "spot_vs_futures_corr")),
+    "turnover": ("flow", lambda m: tape.turnover_share(m.trades).select("symbol", "spot_share")),
+    "open_interest": ("derivatives", lambda m: m.oi_history_5m.groupBy("symbol").agg(F.count("*").alias("bars"), F.max_by("sum_open_interest", "bucket_ms").alias("last_open_interest"))),
+}
+
+
+def selected_sections(m: Market, names=(), groups=()):
+    """``section, symbol, metric, value`` of the sections asked for by name or group, in one table; unknown ones are an error."""
+    known_groups = {g for g, _ in SECTIONS.values()}
+    if unknown := (set(names) - SECTIONS.keys()) | (set(groups) - known_groups):
+        raise ValueError(f"unknown sections or groups: {sorted(unknown)}")
+    chosen = [n for n, (g, _) in SECTIONS.items() if n in names or g in groups]
+    out = None
+    for name in chosen:
+        table = SECTIONS[name][1](m)
+        metrics = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in table.columns if c != "symbol"]))
+        rows = table.select(F.lit(name).alias("section"), "symbol", metrics.alias("m")).select("section", "symbol", "m.metric", "m.value")
+        out = rows if out is None else out.unionByName(rows)
+    return m.spark.createDataFrame([], "section string, symbol string, metric string, value double") if out is None else out
+
+
+@query("f3_selected_sections", f"""SELECT 'correlation' AS section, symbol, unnest(['aligned_buckets', 'spot_vs_futures_corr']) AS metric, unnest([aligned_buckets::DOUBLE, spot_vs_futures_corr]) AS value FROM ({ptape.CORR}) c
+  UNION ALL SELECT 'turnover', symbol, 'spot_share', spot_share FROM ({ptape.SHARE}) s
+  UNION ALL SELECT 'open_interest', symbol, unnest(['bars', 'last_open_interest']), unnest([count(*)::DOUBLE, arg_max(sum_open_interest, bucket_ms)::DOUBLE]) FROM {{oi_history_5m}} GROUP BY symbol""", "value")
+def _(m: Market):
+    return selected_sections(m, names=["open_interest"], groups=["flow"])
