@@ -44,7 +44,7 @@ def size_partition(places: np.ndarray) -> np.ndarray:
 
 def keyed(values: np.ndarray, partition: int) -> np.ndarray:
     """Values told apart by size partition (a number of shingles) or, below zero, by the width of a short run."""
-    return mix(values + U64(partition % (1 << 64)) * STEP)
+    return mix(values + U64(partition * int(STEP) % (1 << 64)))
 
 
 def lists(values: list[np.ndarray]) -> pa.Array:

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.shingles import slices, spans_of_words, text_bytes
+from tapewright.llm.shingles import release_memory, slices, spans_of_words, text_bytes
 from tapewright.llm.storage import materialize
 
 #: Different chunks of text whose ids a Python worker remembers, at about 150 bytes each.
-REMEMBERED_CHUNKS = 400_000
+REMEMBERED_CHUNKS = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 BREAKS = np.isin(np.arange(256), list(b" \n"))
 
@@ -130,11 +130,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int
     end = int(end_id).to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_rows = _word_ids(tokenizer_path).of_rows
+        words = _word_ids(tokenizer_path)
         for batch in batches:
             for part in slices(batch, "text"):
                 owner, starts, lengths, sums, totals = [], [], [], [], []
-                for row, own in enumerate(of_rows(part.column("text"))):
+                for row, own in enumerate(words.of_rows(part.column("text"))):
                     ids = own + end
                     start, total = 0, len(ids) // 4
                     for length in binary_lengths(total, longest):
@@ -146,6 +146,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int
                         start += length
                 numbers = [pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), *numbers], names=[c.split()[0] for c in PIECES.split(", ")])
+        # The worker lives on beside other stages' work.
+        words.forget()
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)
 
