@@ -16,7 +16,7 @@ from tapewright.llm.queries import tokenizer_path
 from tapewright.llm.storage import materialize
 
 #: Documents whose language is less sure than this are rejected, as are those without a letter.
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
