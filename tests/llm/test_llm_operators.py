@@ -80,10 +80,21 @@ def test_empty_table(spark, name):
     assert OPERATORS[name](with_clashes(spark.createDataFrame([], DOCS))).collect() == []
 
 
-@pytest.mark.parametrize("name", ["sharding", "packing", "pii", "lines", "repeats", "language"])
-def test_repeated_ids(spark, name):
-    data = [(1, "one two three", "en", "a", 1)] * 3 + [(2, "four five", "en", "b", 1)]
-    assert len(OPERATORS[name](spark.createDataFrame(data, DOCS)).collect()) >= 4
+@pytest.mark.parametrize("name", OPERATORS)
+def test_repeated_and_null_ids(spark, name):
+    data = [(1, "one two three", "en", "a", 1)] * 3 + [(1, "another text of the same id", "en", "a", 1), (2, "four five", "en", "b", 1), (None, "six seven", "en", "b", 1), (None, None, None, None, None)]
+    got = OPERATORS[name](spark.createDataFrame(data, DOCS)).collect()
+    found = Counter(r["doc_id"] for r in got)
+    if name == "benchmark":
+        # Items repeat ids as documents do; equal documents are one, null texts are found nowhere.
+        assert found.keys() == {1, 2, None}
+    elif name == "packing":
+        assert found.keys() == {1, 2, None} and len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+        assert sum(r["length"] for r in got if r["start"] == 0 and r["doc_id"] is None) >= 2
+    else:
+        assert found == Counter(r[0] for r in data)
+    if name == "near":
+        assert Counter((r["doc_id"], r["class_id"], r["kept"]) for r in got) == {(1, 1, True): 4, (2, 2, True): 1, (None, None, True): 2}
 
 
 def test_language_held_out(documents, rows):
