@@ -11,12 +11,14 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where the setting is absent, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; a local one only where the setting is absent on a single machine, as in tests."""
     named = spark.conf.get(SETTING, None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"a cluster needs a shared folder, named in {SETTING}")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
