@@ -38,8 +38,11 @@ QUERIES: dict[str, Query] = {}
 
 
 def folder(market: Market) -> str:
-    """The shared folder that the cluster names; a local one only where none is named, as in tests."""
-    return market.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-query-")
+    """The shared folder that the cluster names; a local one only where none is named on a single machine, as in tests."""
+    named = market.spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not market.spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster needs a shared folder, named in spark.checkpoint.dir")
+    return named or tempfile.mkdtemp(prefix="spark-query-")
 
 
 def rounded(df: DataFrame) -> DataFrame:
