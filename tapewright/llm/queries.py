@@ -11,6 +11,7 @@ from tapewright.llm import (
     fingerprints,
     language_id,
     line_dedup,
+    manifest,
     minhash,
     packing,
     pii,
@@ -18,6 +19,7 @@ from tapewright.llm import (
     sharding,
     url_filter,
 )
+from tapewright.llm.manifest_sql import OP13_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10_decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.op13_merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_fingerprints": op2_fingerprints,
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_strings": op8_repeated_strings,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.OP7_SQL, "op13_merkle_manifest": OP13_SQL}
