@@ -10,6 +10,7 @@ from tapewright.llm import (
     decontaminate,
     fingerprints,
     language_id,
+    licenses,
     line_dedup,
     manifest,
     minhash,
@@ -72,6 +73,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10_decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op12_license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.op13_merkle_manifest(_table(spark, sf_dir, "documents"))
 
@@ -87,7 +92,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_strings": op8_repeated_strings,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
+    "op12_license_scan": op12_license_scan,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.OP7_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": line_dedup.OP7_SQL,
+    "op12_license_scan": licenses.OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
+}
