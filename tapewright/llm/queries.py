@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tapewright.llm import (
     decontaminate,
     fingerprints,
+    hard_negatives,
     language_id,
     licenses,
     line_dedup,
@@ -73,6 +74,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10_decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.op11_hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op12_license_scan(_table(spark, sf_dir, "documents"))
 
@@ -92,12 +97,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_strings": op8_repeated_strings,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_license_scan": op12_license_scan,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
     "op12_license_scan": licenses.OP12_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
