@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tapewright.plans import micro as pm
 from tapewright.plans import tape as ptape
 from tapewright.plans.registry import QUERIES, folder, query
-from tapewright.sources.views import VIEWS, Market
-from tapewright.streaming import twins
+from tapewright.sources.views import START_MS, VIEWS, Market
+from tapewright.streaming import replay, twins
 
 
 def stream(m: Market, view: str, table: str) -> DataFrame:
@@ -21,9 +21,44 @@ def stream(m: Market, view: str, table: str) -> DataFrame:
     return m.spark.sql(VIEWS[view], **{table: rows})
 
 
+#: Rows that a trigger of a replay takes, about; no tape comes in fewer triggers than this.
+TRIGGER_ROWS, LEAST_TRIGGERS = 500_000, 3
+
+
+def heartbeat(m: Market, rows):
+    """One row days after the tape: it moves the watermark past all windows."""
+    return m.spark.range(1).select(*[F.lit(START_MS + 10 * 86_400_000 if c == "ts_ms" else None).cast(t).alias(c) for c, t in rows.dtypes])
+
+
+def in_order(m: Market, view: str, closing: bool = False):
+    """A market view as it arrives, in triggers of equal spans of time."""
+    rows = getattr(m, view)
+    lo, hi, n = rows.agg(F.min("ts_ms"), F.max("ts_ms"), F.count("*")).first()
+    step = max(1, -(-((hi or 0) - (lo or 0) + 1) // max(LEAST_TRIGGERS, -(-n // TRIGGER_ROWS))))
+    return replay.arriving(rows, F.expr(f"(ts_ms - {lo or 0}) div {step}"), folder(m), heartbeat(m, rows) if closing else None)
+
+
 @query("x1_stream_bucketed_flow", f"SELECT symbol, venue, t * 1000 AS start_ms, buy, sell, delta, trades FROM {ptape.CVD} c", "buy sell delta")
 def _(m: Market):
-    return twins.drain(twins.bucketed_flow(stream(m, "trades", "lineitem")), folder(m), "complete")
+    """Each window once, as the watermark closes it; the heartbeat closes the last ones."""
+    return twins.drain(twins.bucketed_flow(in_order(m, "trades", closing=True)), folder(m), "append")
+
+
+#: Every tenth trade is reported two hours late.
+REPORTED = "ts_ms + CASE WHEN trade_id % 10 = 0 THEN 7200000 ELSE 0 END"
+
+
+@query("x1_late_flow", f"""WITH b AS (SELECT *, ({REPORTED} - {START_MS}) // 10800000 AS batch FROM {{trades}}), g AS (SELECT batch, max(ts_ms) AS high FROM b GROUP BY ALL), n AS (SELECT *, row_number() OVER (ORDER BY batch) AS k FROM g),
+  h AS (SELECT batch, max(high) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - 600000 AS mark FROM n), l AS (SELECT b.*, coalesce(ts_ms // 60000 * 60000 + 60000 <= mark, false) AS late FROM b JOIN h ON b.batch = h.batch)
+  SELECT symbol, venue, count(*) FILTER (NOT late) AS in_time, sum(CASE WHEN late THEN 0E0 ELSE qty END) AS qty_in_time, count(*) FILTER (late) AS late, sum(CASE WHEN late THEN qty ELSE 0E0 END) AS qty_late FROM l GROUP BY ALL""", "qty_in_time qty_late")
+def _(m: Market):
+    """What the windows of a tape with late reports take in, and what they leave out, counted in a side output of its own."""
+    arriving = replay.arriving(m.trades, F.expr(f"({REPORTED} - {START_MS}) div 10800000"), folder(m), heartbeat(m, m.trades))
+    kept = twins.drain(twins.bucketed_flow(arriving), folder(m), "append").groupBy("symbol", "venue")
+    late = replay.late_rows(arriving, folder(m), 60_000, 600_000).groupBy("symbol", "venue")
+    kept = kept.agg(F.sum("trades").alias("in_time"), F.sum(F.col("buy") + F.col("sell")).alias("qty_in_time"))
+    late = late.agg(F.count("*").alias("late"), F.sum("qty").alias("qty_late"))
+    return kept.join(late, ["symbol", "venue"], "left").fillna(0, ["late", "qty_late"])
 
 
 @query("x6_stream_ofi", f"SELECT symbol, venue, start_ms, event_count, ofi FROM {pm.INTERVALS} i WHERE event_count > 0", "ofi")
@@ -57,17 +92,17 @@ FOLD = """WITH a AS (SELECT *, max(trade_id) OVER (PARTITION BY symbol, venue OR
 @query("x2_stream_horizon_fold", FOLD, "buy_notional sell_notional")
 def _(m: Market):
     twins.use_rocksdb(m.spark)
-    trades = stream(m, "trades", "lineitem").withColumn("arrival", F.col("ts_ms"))
-    return twins.drain(twins.horizon_fold(trades, 14_400_000, 900_000), folder(m), "update")
+    trades = in_order(m, "trades").withColumn("arrival", F.col("ts_ms"))
+    return twins.drain(twins.horizon_fold(trades, 14_400_000, 900_000), folder(m), "update", ["symbol"])
 
 
 @query("x7_stream_warm_start", f"SELECT symbol, segment_ms, venue, trades, buy_notional, sell_notional FROM ({FOLD}) f", "buy_notional sell_notional")
 def _(m: Market):
     """The fold seeded from the tape up to a time, then streamed over the whole tape again: the overlap changes nothing."""
     twins.use_rocksdb(m.spark)
-    trades = stream(m, "trades", "lineitem").withColumn("arrival", F.col("ts_ms"))
+    trades = in_order(m, "trades").withColumn("arrival", F.col("ts_ms"))
     history = m.trades.where("ts_ms < 1704110000000").withColumn("arrival", F.col("ts_ms"))
-    return twins.drain(twins.horizon_fold(trades, 14_400_000, 900_000, history), folder(m), "update").drop("horizon_ms", "duplicates", "late")
+    return twins.drain(twins.horizon_fold(trades, 14_400_000, 900_000, history), folder(m), "update", ["symbol"]).drop("horizon_ms", "duplicates", "late")
 
 
 @query("x8_alert_dedupe", "SELECT DISTINCT symbol, venue, ts_ms, CASE WHEN bid_qty > ask_qty THEN 'bid_heavy' ELSE 'ask_heavy' END AS trigger FROM {quotes}")
@@ -80,14 +115,62 @@ def _(m: Market):
 @query("x4_stream_book_reconstruct", QUERIES["x4_book_replay"].sql, "bid_qty ask_qty")
 def _(m: Market):
     twins.use_rocksdb(m.spark)
-    path = f"{folder(m)}/tapewright-deltas-{uuid.uuid4().hex}"
-    m.depth_deltas.write.parquet(path)
-    deltas = m.spark.readStream.schema(m.depth_deltas.schema).parquet(path)
-    return twins.drain(twins.book_reconstruct(deltas), folder(m), "update")
+    return twins.drain(twins.book_reconstruct(in_order(m, "depth_deltas")), folder(m), "append")
+
+
+@query("x6_book_to_ofi_stream", f"""WITH k AS ({QUERIES["x4_book_replay"].sql}),
+  q AS (SELECT *, lag(bid_ticks) OVER w AS pb, lag(ask_ticks) OVER w AS pa, lag(bid_qty) OVER w AS pbq, lag(ask_qty) OVER w AS paq FROM k WINDOW w AS (PARTITION BY symbol, venue, session ORDER BY final_update_id)),
+  e AS (SELECT *, CASE WHEN bid_ticks >= pb THEN bid_qty ELSE 0E0 END - CASE WHEN bid_ticks <= pb THEN pbq ELSE 0E0 END - CASE WHEN ask_ticks <= pa THEN ask_qty ELSE 0E0 END + CASE WHEN ask_ticks >= pa THEN paq ELSE 0E0 END AS contribution
+    FROM q WHERE pb IS NOT NULL AND pa IS NOT NULL AND bid_ticks IS NOT NULL AND ask_ticks IS NOT NULL AND (bid_ticks <> pb OR ask_ticks <> pa OR bid_qty <> pbq OR ask_qty <> paq)),
+  i AS (SELECT symbol, venue, session, ts_ms // 10000 * 10000 AS start_ms, ts_ms // 10000 * 10000 + 10000 AS end_ms, count(*) AS event_count, sum(contribution) AS ofi, avg((bid_qty + ask_qty) / 2) AS average_depth, arg_min((pb + pa) / 2E0, final_update_id) AS mid_start,
+    arg_max((bid_ticks + ask_ticks) / 2E0, final_update_id) AS mid_end, min(final_update_id) AS first_update_id, max(final_update_id) AS last_update_id FROM e GROUP BY symbol, venue, session, ts_ms // 10000 * 10000)
+  SELECT * FROM i QUALIFY start_ms < max(start_ms) OVER (PARTITION BY symbol, venue, session)""",
+       "ofi average_depth mid_start mid_end")
+def _(m: Market):
+    """Depth deltas to order flow in one plan; the interval that a gap cuts, and the one still open at the end, aren't there."""
+    twins.use_rocksdb(m.spark)
+    return twins.drain(twins.ofi_from_depth(in_order(m, "depth_deltas")), folder(m), "append")
+
+
+def heavy_side(rows):
+    return rows.select("symbol", "venue", "ts_ms", F.when(F.col("bid_qty") > F.col("ask_qty"), "bid_heavy").otherwise("ask_heavy").alias("state"))
 
 
-@query("x9_alert_stream")
+def alerts_sql(stale_ms: int, period_ms: int = 900_000, cooldown_ms: int = 60_000, late_ms: int = 10_000) -> str:
+    return f"""WITH RECURSIVE s AS (SELECT symbol, venue, ts_ms, CASE WHEN bid_qty > ask_qty THEN 'bid_heavy' ELSE 'ask_heavy' END AS state FROM {{quotes}}),
+      q AS (SELECT *, lag(ts_ms) OVER w AS t0, lag(state) OVER w AS s0, lead(ts_ms) OVER w AS t1, max(ts_ms) OVER () AS newest FROM s WINDOW w AS (PARTITION BY symbol, venue ORDER BY ts_ms)),
+      c AS (SELECT symbol, venue, ts_ms FROM q WHERE state <> s0), n AS (SELECT *, min(ts_ms) OVER (PARTITION BY symbol, venue ORDER BY ts_ms RANGE BETWEEN {cooldown_ms} FOLLOWING AND UNBOUNDED FOLLOWING) AS next_ms FROM c),
+      f AS (SELECT symbol, venue, min(ts_ms) AS ts_ms FROM c GROUP BY ALL UNION ALL SELECT n.symbol, n.venue, n.next_ms FROM f JOIN n ON f.symbol = n.symbol AND f.venue = n.venue AND f.ts_ms = n.ts_ms WHERE n.next_ms IS NOT NULL)
+      SELECT symbol, venue, ts_ms, 'first_data' AS trigger, state, NULL::VARCHAR AS previous_state FROM q WHERE t0 IS NULL
+      UNION ALL SELECT symbol, venue, ts_ms + {stale_ms}, 'staleness', state, state FROM q WHERE CASE WHEN t1 IS NULL THEN ts_ms + {stale_ms} < newest - {late_ms} ELSE t1 - ts_ms > {stale_ms} END
+      UNION ALL SELECT symbol, venue, ts_ms, 'recovery', state, s0 FROM q WHERE ts_ms - t0 > {stale_ms}
+      UNION ALL SELECT symbol, venue, ts_ms, 'rollover', state, s0 FROM q WHERE ts_ms // {period_ms} <> t0 // {period_ms}
+      UNION ALL SELECT q.symbol, q.venue, q.ts_ms, 'state_flip', state, s0 FROM q JOIN f ON q.symbol = f.symbol AND q.venue = f.venue AND q.ts_ms = f.ts_ms"""
+
+
+@query("x9_alert_stream", alerts_sql(120_000))
 def _(m: Market):
     twins.use_rocksdb(m.spark)
-    states = stream(m, "quotes", "events").select("symbol", "venue", "ts_ms", F.when(F.col("bid_qty") > F.col("ask_qty"), "bid_heavy").otherwise("ask_heavy").alias("state"))
-    return twins.drain(twins.alert_stream(states), folder(m), "append")
+    return twins.drain(twins.alert_stream(heavy_side(in_order(m, "quotes"))), folder(m), "append")
+
+
+@query("x9_staleness_alerts", alerts_sql(6_000))
+def _(m: Market):
+    """The same with six seconds of silence, which these tapes have."""
+    twins.use_rocksdb(m.spark)
+    return twins.drain(twins.alert_stream(heavy_side(in_order(m, "quotes")), stale_ms=6_000), folder(m), "append")
+
+
+@query("s10_publish_latest", "SELECT *, count(*) OVER () AS keys, (SELECT count(*) FROM {quotes}) AS history_rows FROM (SELECT symbol, venue, ts_ms, update_id, bid_ticks, ask_ticks FROM {quotes} QUALIFY row_number() OVER (PARTITION BY symbol, venue ORDER BY ts_ms DESC, update_id DESC) = 1) x")
+def _(m: Market):
+    """The latest view that a sink keeps batch by batch, beside the history; one batch runs again at the end and changes nothing."""
+    names = ["symbol", "venue", "ts_ms", "update_id", "bid_ticks", "ask_ticks"]
+    quotes = in_order(m, "quotes").select(*names)
+    sink = replay.LatestAndHistory(f"{folder(m)}/tapewright-latest-{uuid.uuid4().hex}", ["symbol", "venue"], ["ts_ms", "update_id"], quotes.schema)
+    sink.drained(quotes)
+    first = m.spark.read.schema(quotes.schema).parquet(f"{sink.path}/history/{replay.BATCH}=0")
+    first.write.parquet(f"{sink.path}/copy")  # a batch overwrites its own folder
+    sink.write(m.spark.read.schema(quotes.schema).parquet(f"{sink.path}/copy"), 0)
+    rows = sink.history(m.spark).agg(F.count("*").alias("history_rows"))
+    latest = sink.latest(m.spark)
+    return latest.join(F.broadcast(rows)).join(F.broadcast(latest.agg(F.count("*").alias("keys"))))  # one row each

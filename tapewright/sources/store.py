@@ -46,17 +46,6 @@ def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     return rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in (*order, *rest)])
 
 
-def publish_latest_and_history(batch: DataFrame, history: str, latest: str, keys: Sequence[str], order: Sequence[str], run: str) -> None:
-    """Append a batch to the history, then write the latest view of the whole history under a new folder of this run.
-
-    For ``foreachBatch``: readers take the newest run's folder, so they never
-    see half a view.
-    """
-    batch.write.mode("append").parquet(history)
-    whole = batch.sparkSession.read.schema(batch.schema).parquet(history)
-    latest_per_key(whole, keys, order).write.mode("overwrite").parquet(f"{latest}/run={run}")
-
-
 def retention_filter(rows: DataFrame, keys: Sequence[str], ts: str, now: Column, max_age_ms: int, keep: int, cap: int) -> DataFrame:
     """Rows young enough, and the newest ``keep`` of each key whatever their age; never more than ``cap`` a key."""
     newest = Window.partitionBy(*keys).orderBy(F.col(ts).desc(), *[c for c in rows.columns if c not in keys and c != ts])

@@ -124,6 +124,8 @@ def with_views(sql: str) -> str:
     body = plain(sql).strip()
     if not made:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {made}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {made}, {body[5:]}"
     return f"WITH {made} {body}"

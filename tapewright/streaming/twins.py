@@ -8,15 +8,16 @@ state store: ``spark.sql.streaming.stateStore.providerClass``.
 from __future__ import annotations
 
 import heapq
-import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tapewright.functions.columns import bucket_start, is_buy, sum_if
+from tapewright.streaming.replay import drain  # noqa: F401  the runs' reader, used with the twins
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,24 +26,12 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def drain(stream: DataFrame, folder: str, mode: str) -> DataFrame:
-    """Run a stream over everything there is now and read what it wrote; ``complete`` keeps the last result only."""
-    spark, run = stream.sparkSession, f"{folder}/tapewright-{uuid.uuid4().hex}"
-
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{run}/out")
-
-    started = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{run}/state").foreachBatch(write).trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{run}/out")
-
-
 def with_event_time(rows: DataFrame, ts_ms: str = "ts_ms", late: str = "10 minutes") -> DataFrame:
     return rows.withColumn("event_time", F.timestamp_millis(F.col(ts_ms))).withWatermark("event_time", late)
 
 
 def bucketed_flow(trades: DataFrame, window_s: int = 60) -> DataFrame:
-    """Buy, sell and delta of tumbling windows, in update or complete mode."""
+    """Buy, sell and delta of tumbling windows. In append mode each window comes once, when the watermark has passed its end, and leaves the state; later rows of it are dropped."""
     w = F.window("event_time", f"{window_s} seconds")
     sums = with_event_time(trades).groupBy("symbol", "venue", w).agg(sum_if(is_buy(), "qty").alias("buy"), sum_if(~is_buy(), "qty").alias("sell"), F.count("*").alias("trades"))
     return sums.select("symbol", "venue", F.unix_millis("window.start").alias("start_ms"), "buy", "sell", (F.col("buy") - F.col("sell")).alias("delta"), "trades")
@@ -72,7 +61,8 @@ FOLD = "symbol string, horizon_ms long, segment_ms long, venue string, trades lo
 class HorizonFold(StatefulProcessor):
     """Trailing segments of a symbol: ids at or under the venue's greatest are duplicates, rows before the newest segment are late.
 
-    Both are counted and left out. A batch's rows are taken in order of id.
+    Both are counted and left out. A trigger's rows are taken in order of arrival; a task holds one trigger's rows of a symbol,
+    so the source bounds its triggers (``replay.arriving``), and the state holds a row a segment.
     """
 
     def __init__(self, horizon_ms: int, segment_ms: int):
@@ -92,32 +82,35 @@ class HorizonFold(StatefulProcessor):
     def fold(self, key, batch: pd.DataFrame) -> pd.DataFrame:
         newest, duplicates, late = self.counts.get() if self.counts.exists() else (-1, 0, 0)
         high = {k[0]: v[0] for k, v in self.high.iterator()}
-        held = {tuple(k): list(v) for k, v in self.segments.iterator()}
         batch = batch.sort_values(["arrival", "trade_id", "ts_ms"], kind="stable")
-        last_ts = None
-        for tid, ts, venue, price, qty, maker in batch[["trade_id", "ts_ms", "venue", "price", "qty", "is_buyer_maker"]].itertuples(index=False):
-            if tid <= high.get(venue, -1):
-                duplicates += 1
-                continue
-            high[venue] = int(tid)
-            segment = int(ts) // self.segment_ms * self.segment_ms
-            if segment < newest:
-                late += 1
-                continue
-            newest = segment
+        venues, ids = batch["venue"].to_numpy(), batch["trade_id"].to_numpy(np.int64)
+        fresh = np.zeros(len(batch), bool)
+        for venue in pd.unique(venues):
+            at = np.flatnonzero(venues == venue)
+            so_far = np.maximum.accumulate(np.r_[high.get(venue, -1), ids[at]])
+            fresh[at], high[venue] = ids[at] > so_far[:-1], so_far[-1]
+        duplicates += int((~fresh).sum())
+        batch = batch[fresh]
+        segments = batch["ts_ms"].to_numpy(np.int64) // self.segment_ms * self.segment_ms
+        front = np.maximum.accumulate(np.r_[newest, segments])
+        kept = segments >= front[:-1]
+        late += int((~kept).sum())
+        batch, segments, newest = batch[kept], segments[kept], front[-1]
+        held = {tuple(k): list(v) for k, v in self.segments.iterator()}
+        notional, maker = (batch["price"] * batch["qty"]).astype(float), batch["is_buyer_maker"].astype(bool)
+        sums = pd.DataFrame({"segment": segments, "venue": batch["venue"].to_numpy(), "n": 1, "buy": notional.where(~maker, 0.0).to_numpy(), "sell": notional.where(maker, 0.0).to_numpy()})
+        for segment, venue, n, buy, sell in sums.groupby(["segment", "venue"], as_index=False).sum().itertuples(index=False):
             cell = held.setdefault((segment, venue), [0, 0.0, 0.0])
-            cell[0] += 1
-            cell[2 if maker else 1] += float(price) * float(qty)
-            last_ts = int(ts)
-        if last_ts is not None:
-            held = {k: v for k, v in held.items() if k[0] >= last_ts - self.horizon_ms}
-        self.counts.update((int(newest), int(duplicates), int(late)))
+            held[segment, venue] = [cell[0] + n, cell[1] + buy, cell[2] + sell]
+        if len(batch):
+            held = {k: v for k, v in held.items() if k[0] >= int(batch["ts_ms"].iloc[-1]) - self.horizon_ms}
+        self.counts.update((int(newest), duplicates, late))
         for venue, tid in high.items():
-            self.high.updateValue((venue,), (tid,))
+            self.high.updateValue((venue,), (int(tid),))
         self.segments.clear()
-        for (segment, venue), (n, b, s) in held.items():
-            self.segments.updateValue((segment, venue), (int(n), float(b), float(s)))
-        out = [(key[0], self.horizon_ms, seg, venue, n, b, s, int(duplicates), int(late)) for (seg, venue), (n, b, s) in sorted(held.items())]
+        for (segment, venue), (n, buy, sell) in held.items():
+            self.segments.updateValue((int(segment), venue), (int(n), float(buy), float(sell)))
+        out = [(key[0], self.horizon_ms, seg, venue, n, b, s, duplicates, late) for (seg, venue), (n, b, s) in sorted(held.items())]
         return pd.DataFrame(out, columns=[c.split()[0] for c in FOLD.split(", ")])
 
     def close(self) -> None:
@@ -204,24 +197,115 @@ class BookReplay(StatefulProcessor):
 
 
 def book_reconstruct(deltas: DataFrame) -> DataFrame:
-    """Best quotes after every accepted delta of one level each."""
-    return deltas.groupBy("symbol", "venue").transformWithStateInPandas(BookReplay(), BOOK, "Update", "None")
+    """Best quotes after every accepted delta of one level each; a trigger's deltas follow those of the triggers before it."""
+    return deltas.groupBy("symbol", "venue").transformWithStateInPandas(BookReplay(), BOOK, "Append", "None")
+
+
+INTERVAL = (
+    "symbol string, venue string, session long, start_ms long, end_ms long, event_count long, ofi double, average_depth double, "
+    "mid_start double, mid_end double, first_update_id long, last_update_id long"
+)
+QUOTE = ("bid_ticks", "bid_qty", "ask_ticks", "ask_qty")
+
+
+class OfiIntervals(StatefulProcessor):
+    """Order-flow imbalance of half-open intervals over the best quotes of a replayed book.
+
+    An interval is complete when an event of a later one comes. A gap opens a new session: the interval it cut is
+    dropped and no event joins quotes of two sessions. The state is one quote and one open interval.
+    """
+
+    def __init__(self, interval_ms: int):
+        self.interval_ms = interval_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.quote = handle.getValueState("quote", "session long, final_update_id long, ts_ms long, bid_ticks double, bid_qty double, ask_ticks double, ask_qty double")
+        self.open = handle.getValueState("open", "session long, start_ms long, event_count long, ofi double, depth double, mid_start double, mid_end double, first_update_id long, last_update_id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        names = ["session", "final_update_id", "ts_ms", *QUOTE]
+        batch = pd.concat(list(rows))[names].sort_values(["session", "final_update_id"], kind="stable")
+        # A frame's last row holds all its levels.
+        batch = batch.drop_duplicates(["session", "final_update_id"], keep="last").astype({c: "float64" for c in QUOTE})
+        carried = pd.DataFrame([tuple(self.quote.get())], columns=names) if self.quote.exists() else batch.iloc[:0]
+        quotes = pd.concat([carried, batch], ignore_index=True) if len(carried) else batch.reset_index(drop=True)
+        last = quotes.iloc[-1]
+        self.quote.update((int(last["session"]), int(last["final_update_id"]), int(last["ts_ms"]), *[float(last[c]) for c in QUOTE]))
+        yield self._closed(key, self._events(quotes))
+
+    def _events(self, quotes: pd.DataFrame) -> pd.DataFrame:
+        """Changes between quotes that have both sides, and what they contribute."""
+        was = quotes.shift(1)
+        same = quotes["session"] == was["session"]
+        full = quotes[list(QUOTE)].notna().all(axis=1) & was[list(QUOTE)].notna().all(axis=1)
+        events = quotes[same & full & (quotes[list(QUOTE)] != was[list(QUOTE)]).any(axis=1)]
+        was = was.loc[events.index]
+        bid = events["bid_qty"].where(events["bid_ticks"] >= was["bid_ticks"], 0.0) - was["bid_qty"].where(events["bid_ticks"] <= was["bid_ticks"], 0.0)
+        ask = was["ask_qty"].where(events["ask_ticks"] >= was["ask_ticks"], 0.0) - events["ask_qty"].where(events["ask_ticks"] <= was["ask_ticks"], 0.0)
+        mid, mid_was = (events["bid_ticks"] + events["ask_ticks"]) / 2, (was["bid_ticks"] + was["ask_ticks"]) / 2
+        return events.assign(ofi=bid + ask, depth=(events["bid_qty"] + events["ask_qty"]) / 2, mid=mid, mid_was=mid_was)
+
+    def _closed(self, key, events: pd.DataFrame) -> pd.DataFrame:
+        columns = ["session", "start_ms", "event_count", "ofi", "depth", "mid_start", "mid_end", "first_update_id", "last_update_id"]
+        start = events["ts_ms"] // self.interval_ms * self.interval_ms
+        held = pd.DataFrame([tuple(self.open.get())], columns=columns) if self.open.exists() else None
+        # An event that is older than the open interval counts there.
+        events = events.assign(start_ms=start)
+        if held is not None:
+            own = events["session"] == held.at[0, "session"]
+            events.loc[own, "start_ms"] = events.loc[own, "start_ms"].clip(lower=held.at[0, "start_ms"])
+        events["start_ms"] = events.groupby("session")["start_ms"].cummax()
+        found = events.groupby(["session", "start_ms"], as_index=False).agg(
+            event_count=("ofi", "size"), ofi=("ofi", "sum"), depth=("depth", "sum"), mid_start=("mid_was", "first"), mid_end=("mid", "last"), first_update_id=("final_update_id", "first"), last_update_id=("final_update_id", "last")
+        )
+        if held is not None:
+            both = pd.concat([held, found], ignore_index=True)
+            found = both.groupby(["session", "start_ms"], as_index=False).agg(
+                event_count=("event_count", "sum"), ofi=("ofi", "sum"), depth=("depth", "sum"), mid_start=("mid_start", "first"), mid_end=("mid_end", "last"), first_update_id=("first_update_id", "first"), last_update_id=("last_update_id", "last")
+            )
+        # The last interval of a session is open, or cut by the gap that ended the session.
+        cut = found["start_ms"] == found.groupby("session")["start_ms"].transform("max")
+        current = int(self.quote.get()[0])
+        rest = found[cut & (found["session"] == current)]
+        if len(rest):
+            r = rest.iloc[0]
+            self.open.update((int(r["session"]), int(r["start_ms"]), int(r["event_count"]), *[float(r[c]) for c in ("ofi", "depth", "mid_start", "mid_end")], int(r["first_update_id"]), int(r["last_update_id"])))
+        elif self.open.exists():
+            self.open.clear()
+        done = found[~cut]
+        out = done.assign(symbol=key[0], venue=key[1], end_ms=done["start_ms"] + self.interval_ms, average_depth=done["depth"] / done["event_count"])
+        return out[[c.split()[0] for c in INTERVAL.split(", ")]]
+
+    def close(self) -> None:
+        pass
+
+
+def ofi_from_depth(deltas: DataFrame, interval_ms: int = 10_000) -> DataFrame:
+    """Depth deltas in, complete order-flow intervals out, in one streaming plan: the replayed book feeds the intervals."""
+    return book_reconstruct(deltas).groupBy("symbol", "venue").transformWithStateInPandas(OfiIntervals(interval_ms), INTERVAL, "Append", "None")
 
 
 ALERT = "symbol string, venue string, ts_ms long, trigger string, state string, previous_state string"
 
 
 class Alerts(StatefulProcessor):
-    """Alerts of a key: first data, recovery after silence, a new period, a state flip (rate-limited by a cooldown)."""
+    """Alerts of a key: first data, silence, recovery after it, a new period, a state flip (rate-limited by a cooldown).
+
+    Silence is told by an event-time timer that runs out ``stale_ms`` after the last row, or by the next row where that
+    comes first; either way once, at the time it became due. The state is one row a key.
+    """
 
     def __init__(self, period_ms: int, stale_ms: int, cooldown_ms: int):
         self.period_ms, self.stale_ms, self.cooldown_ms = period_ms, stale_ms, cooldown_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "ts long, state string, flip_ts long")
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "ts long, state string, flip_ts long, silent boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        ts0, state0, flip = self.seen.get() if self.seen.exists() else (None, None, None)
+        ts0, state0, flip, silent = self.seen.get() if self.seen.exists() else (None, None, None, False)
+        if ts0 is not None and not silent:
+            self.handle.deleteTimer(self._due(ts0))
         out = []
         for ts, state in pd.concat(list(rows)).sort_values(["ts_ms", "state"])[["ts_ms", "state"]].itertuples(index=False):
             ts = int(ts)
@@ -231,23 +315,44 @@ class Alerts(StatefulProcessor):
                 if ts <= ts0:
                     continue  # the same or an older high water fires nothing
                 if ts - ts0 > self.stale_ms:
+                    if not silent:
+                        out.append((*key, ts0 + self.stale_ms, "staleness", state0, state0))
                     out.append((*key, ts, "recovery", state, state0))
                 if ts // self.period_ms != ts0 // self.period_ms:
                     out.append((*key, ts, "rollover", state, state0))
                 if state != state0 and (flip is None or ts - flip >= self.cooldown_ms):
                     out.append((*key, ts, "state_flip", state, state0))
                     flip = ts
-            ts0, state0 = ts, state
-        self.seen.update((ts0, state0, flip))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERT.split(", ")])
+            ts0, state0, silent = ts, state, False
+        self.seen.update((ts0, state0, flip, silent))
+        if not silent:
+            self.handle.registerTimer(self._due(ts0))
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ts0, state0, flip, silent = self.seen.get()
+        due = not silent and expiredTimerInfo.getExpiryTimeInMs() == self._due(ts0)
+        if due:
+            self.seen.update((ts0, state0, flip, True))
+        yield self._frame([(*key, ts0 + self.stale_ms, "staleness", state0, state0)] if due else [])
+
+    def _due(self, ts: int) -> int:
+        """A row at ``ts + stale_ms`` is in time."""
+        return int(ts) + self.stale_ms + 1
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in ALERT.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def alert_stream(states: DataFrame, period_ms: int = 900_000, stale_ms: int = 120_000, cooldown_ms: int = 60_000) -> DataFrame:
-    """Alert rows of ``symbol, venue, ts_ms, state``; a repeated high water doesn't fire again."""
-    return states.groupBy("symbol", "venue").transformWithStateInPandas(Alerts(period_ms, stale_ms, cooldown_ms), ALERT, "Append", "None")
+def alert_stream(states: DataFrame, period_ms: int = 900_000, stale_ms: int = 120_000, cooldown_ms: int = 60_000, late: str = "10 seconds") -> DataFrame:
+    """Alert rows of ``symbol, venue, ts_ms, state``; a repeated high water doesn't fire again. Keys fall silent by the
+    watermark, ``late`` behind the newest row of all keys."""
+    rows = with_event_time(states, "ts_ms", late)
+    return rows.groupBy("symbol", "venue").transformWithStateInPandas(Alerts(period_ms, stale_ms, cooldown_ms), ALERT, "Append", "EventTime")
 
 
 def alert_dedupe(alerts: DataFrame, within: str = "10 minutes") -> DataFrame:

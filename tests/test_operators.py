@@ -123,14 +123,6 @@ def test_append_is_idempotent(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "c")]
 
 
-def test_latest_and_history(spark, tmp_path):
-    for run, rows in enumerate([[("S", 1, 1.0)], [("S", 3, 3.0)], [("S", 2, 2.0)]]):
-        batch = spark.createDataFrame(rows, "symbol string, ts long, v double")
-        store.publish_latest_and_history(batch, f"{tmp_path}/h", f"{tmp_path}/l", ["symbol"], ["ts"], str(run))
-    assert spark.read.parquet(f"{tmp_path}/l/run=2").first()["v"] == 3.0
-    assert spark.read.parquet(f"{tmp_path}/h").count() == 3
-
-
 def test_read_snapshots_keeps_broken_lines(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"symbol":"S","observed_at_ms":5,"spot":{"trades_normalized":[{"id":1,"ts":4,"price":2.0,"qty":1.0,"is_buyer_maker":false}]}}\n{"symbol": oops\n')
     rows = records.read_snapshots(spark, str(tmp_path / "s.json")).cache()
