@@ -63,3 +63,74 @@ def with_reach(df: DataFrame, at: str, reach: int, width: int) -> DataFrame:
     own = F.floor(F.col(at) / width)
     places = F.when(F.col(at) - own * width <= reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return df.withColumn("_back", F.explode(places)).withColumn(RANGE, own - F.col("_back")).withColumn("_guest", F.col("_back") > 0).drop("_back")
+
+
+def with_counts_under(thresholds: DataFrame, at: str, equal: Column, values: DataFrame, value: str, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Add how many of the key's ``values`` are under each threshold (those equal to it too where ``equal``; null for a null
+    threshold), how many there are, and how many are null: three ``names``. Keys without values have no rows.
+
+    Values and thresholds lie in one order, cut into ranges of values by quantiles of the whole table. Equal values of a key are
+    one row with their number, so a range isn't filled by one value. Counts run within a range; one row a key and range is carried.
+    """
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    under, known, absent = names
+    v = F.col(value).cast("double").alias("_v")
+    held = values.select(*keys, v).groupBy(*keys, "_v").agg(F.count("*").alias("_n"), F.lit(1).alias("_tie"))
+    cuts = values.select(v).agg(F.percentile_approx("_v", [i / parts for i in range(1, max(parts, 2))], 40 * parts).alias("_cuts"))
+    asked = thresholds.select(*keys, F.col(at).cast("double").alias("_v"), F.lit(0).cast("long").alias("_n"), F.when(equal, 2).otherwise(0).alias("_tie"), F.struct(*thresholds.columns).alias("_row"))
+    both = asked.unionByName(held.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)))
+    # Nulls are a range of their own.
+    number = F.when(F.col("_v").isNull(), -1).otherwise(F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))), F.lit(0)))
+    rows = both.join(F.broadcast(cuts)).withColumn(RANGE, number).drop("_cuts")  # one row of quantiles
+    place = [*keys, RANGE]
+    totals = rows.groupBy(*place).agg(F.sum("_n").alias("_total"))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    counts = F.when(F.col(RANGE) >= 0, F.col("_total")).otherwise(0)
+    carried = totals.select(
+        *place, F.coalesce(F.sum(counts).over(earlier), F.lit(0)).alias("_carried"), F.sum(counts).over(whole).alias(known),
+        F.sum(F.col("_total") - counts).over(whole).alias(absent),
+    )
+    within = F.sum("_n").over(Window.partitionBy(*place).orderBy("_v", "_tie").rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.withColumn("_within", within).where(F.col("_row").isNotNull()).join(carried, place).where(F.col(known) + F.col(absent) > 0)
+    return found.select("_row.*", F.when(F.col(RANGE) >= 0, F.col("_within") + F.col("_carried")).alias(under), known, absent)
+
+
+def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The key's different values in order: ``value``, its rows ``n``, the rows up to and with it ``upto``, all the key's rows ``size``; nulls don't count.
+
+    Values are counted where they lie first. The order is cut into ranges by quantiles of the whole table, whose totals, one row a
+    key and range, are carried over.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    cuts = held.agg(F.percentile_approx(value, [i / parts for i in range(1, max(parts, 2))], 40 * parts).alias("_cuts"))
+    rows = held.join(F.broadcast(cuts)).withColumn(RANGE, F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")  # one row of quantiles
+    place = [*keys, RANGE]
+    totals = rows.groupBy(*place).agg(F.sum("n").alias("_total"))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*place, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_carried"), F.sum("_total").over(whole).alias("size"))
+    within = F.sum("n").over(Window.partitionBy(*place).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_within", within).join(carried, place).select(*keys, value, "n", (F.col("_within") + F.col("_carried")).alias("upto"), "size")
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """One row a key: the middle value, or the mean of the two middle ones."""
+    at = lambda place: F.max(F.when((F.col("upto") - F.col("n") < place) & (place <= F.col("upto")), F.col(value)))
+    low, high = F.floor((F.col("size") + 1) / 2), F.floor(F.col("size") / 2) + 1
+    return distribution(df, keys, value).groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))
+
+
+def with_least_half(df: DataFrame, keys: Sequence[str], value: str, tie: str, name: str, width: int) -> DataFrame:
+    """Mark the half of the key's rows (rounded down) with the least ``value``, ties by ``tie``, a number that tells rows apart."""
+    k = F.floor(F.col("size") / 2)
+    cut = distribution(df, keys, value).where((F.col("upto") - F.col("n") < k) & (k <= F.col("upto")))
+    limits = cut.select(*keys, F.col(value).alias("_limit"), (k - F.col("upto") + F.col("n")).alias("_left"))
+    rows = df.join(limits, list(keys), "left")
+    tied = F.coalesce(F.col(value) == F.col("_limit"), F.lit(False))
+    # Only rows that tie with the limit are put in order.
+    edge = with_running_sum(rows.where(tied), keys, (tie,), F.lit(1), "_place", width)
+    inside = edge.withColumn(name, F.col("_place") <= F.col("_left")).drop("_place")
+    outside = rows.where(~tied).withColumn(name, F.coalesce(F.col(value) < F.col("_limit"), F.lit(False)))
+    return outside.unionByName(inside).drop("_limit", "_left")

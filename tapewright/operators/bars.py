@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.columns import labelled, ratio, sum_if
+from tapewright.functions.chains import bursts, with_chains
+from tapewright.functions.columns import is_buy, labelled, ratio, sum_if
 from tapewright.operators.tape import guarded_corr
 
 BAR_MS = 300_000
@@ -259,42 +259,23 @@ def wall_break(rates: DataFrame, minutes: int = 15) -> DataFrame:
     )
 
 
-CLUSTER = "symbol string, venue string, ts_ms long, trade_count long, total_qty double, buy_qty double, sell_qty double, average_price double"
-
-
-def trade_clusters(trades: DataFrame, cutoff_ms: int | None = None, gap_ms: int = 1500, min_qty: float = 30.0, least: int = 3, keep: int = 10) -> DataFrame:
+def trade_clusters(trades: DataFrame, cutoff_ms: int | None = None, gap_ms: int = 1500, min_qty: float = 30.0, least: int = 3, keep: int = 10, range_ms: int = 3_600_000) -> DataFrame:
     """The heaviest bursts of a key: prints of ``min_qty`` within ``gap_ms`` of the burst's first print, which may be smaller.
 
-    A burst ends at the first print that is late or small; which print starts
-    one depends on the bursts before, so a key's trades are read in order. A
-    small print and one after a silence longer than ``gap_ms`` always start
-    one, so a key is cut into hours at these prints: each is read with the
-    large prints that follow it, past the hour's end too.
+    A burst ends at the first print that is late or small. Which print starts one depends on the bursts before, so they are
+    chains over ranges of ``range_ms`` (``functions/chains.py``); no window holds a whole key.
     """
     recent = trades if cutoff_ms is None else trades.where(F.col("ts_ms") >= cutoff_ms)
-    in_order = Window.partitionBy("symbol", "venue").orderBy("ts_ms", "trade_id", "price", "qty")
-    before = F.lag("ts_ms").over(in_order)
-    starts = before.isNull() | (F.col("ts_ms") - before > gap_ms) | (F.col("qty") < min_qty)
-    rows = recent.select("symbol", "venue", "trade_id", "ts_ms", "price", "qty", "is_buyer_maker", F.when(starts, F.floor(F.col("ts_ms") / 3_600_000)).alias("start"))
-    rows = rows.withColumn("hour", F.last("start", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0))).drop("start")
-
-    def bursts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "trade_id", "price", "qty"], kind="stable")
-        ts, qty, price, maker = pdf["ts_ms"].tolist(), pdf["qty"].tolist(), pdf["price"].tolist(), pdf["is_buyer_maker"].tolist()
-        found, i = [], 0
-        while i < len(ts):
-            j = i + 1
-            while j < len(ts) and ts[j] - ts[i] <= gap_ms and qty[j] >= min_qty:
-                j += 1
-            if j - i >= least:
-                total = sum(qty[i:j])
-                bought = sum(q for q, m in zip(qty[i:j], maker[i:j], strict=True) if not m)
-                found.append((key[0], key[1], ts[i], j - i, total, bought, total - bought, sum(p * q for p, q in zip(price[i:j], qty[i:j], strict=True)) / total))
-            i = j
-        return pd.DataFrame(found, columns=[c.split()[0] for c in CLUSTER.split(", ")])
-
+    rows = recent.select("symbol", "venue", "ts_ms", "trade_id", "price", "qty", "is_buyer_maker")
+    chained = with_chains(rows, ("symbol", "venue"), ("ts_ms", "trade_id", "price", "qty"), bursts(gap_ms, min_qty), range_ms, ("ts_ms", "qty"))
+    total, bought = F.sum("qty"), sum_if(is_buy(), F.col("qty"))
+    found = chained.groupBy("symbol", "venue", "chain").agg(
+        F.min("ts_ms").alias("ts_ms"), F.count("*").alias("trade_count"), total.alias("total_qty"), bought.alias("buy_qty"),
+        (total - bought).alias("sell_qty"), (F.sum(F.col("price") * F.col("qty")) / total).alias("average_price"),
+    )
     heavy = Window.partitionBy("symbol", "venue").orderBy(F.col("total_qty").desc(), "ts_ms")
-    return rows.groupBy("symbol", "venue", "hour").applyInPandas(bursts, CLUSTER).withColumn("rank", F.row_number().over(heavy)).where(F.col("rank") <= keep)
+    ranked = found.where(F.col("trade_count") >= least).drop("chain").withColumn("rank", F.row_number().over(heavy))
+    return ranked.where(F.col("rank") <= keep)
 
 
 def liquidation_inputs(taker: DataFrame, bars: int = 12) -> DataFrame:

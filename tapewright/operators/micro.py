@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.functions.chains import spaced, with_chains
 from tapewright.functions.columns import bucket_start, ratio, sum_if
 from tapewright.functions.ranges import RANGE, with_next_known, with_previous, with_reach, with_running_sum
 
@@ -158,26 +159,12 @@ def absorption_candidates(events: DataFrame, window_ms: int = 30_000, refills: i
     )
 
 
-def thinned(rows: DataFrame, spacing_ms: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def thinned(rows: DataFrame, spacing_ms: int, keys: Sequence[str] = KEYS, range_ms: int = RANGE_MS) -> DataFrame:
     """The first row of a key, and each next row at least ``spacing_ms`` after the last one kept.
 
-    Which rows stay depends on all kept before, so a key's candidates are read
-    in order, in batches, by ``mapInPandas`` over partitions sorted by key.
+    Which rows stay depends on all kept before: they are chains over ranges of ``range_ms`` (``functions/chains.py``).
     """
-    schema = rows.schema
-
-    def run(batches):
-        kept: dict[tuple, int] = {}
-        for batch in batches:
-            stay = []
-            for key, ts in zip(zip(*[batch[k] for k in keys], strict=True), batch["ts_ms"], strict=True):
-                fresh = key not in kept or ts - kept[key] >= spacing_ms
-                if fresh:
-                    kept = {key: ts}  # sorted by key: earlier keys are done
-                stay.append(fresh)
-            yield batch[pd.Series(stay, index=batch.index, dtype=bool)]
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "ts_ms", "update_id").mapInPandas(run, schema)
+    return with_chains(rows, keys, ("ts_ms", "update_id"), spaced(spacing_ms), range_ms).where("picked").select(*rows.columns)
 
 
 def detect_absorption(events: DataFrame, window_ms: int = 30_000, refills: int = 2, max_adverse: float = 5.0) -> DataFrame:

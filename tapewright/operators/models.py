@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapewright.functions.columns import count_if, labelled, ratio, reasons, sum_if, total
-from tapewright.functions.ranges import with_running_sum
+from tapewright.functions.ranges import with_counts_under, with_least_half, with_running_sum
 
 KEYS = ("symbol", "venue")
 BLOCK = (*KEYS, "block_ms")
 #: Width of the time ranges into which a key's rows are dealt.
 RANGE_MS = 3_600_000
+#: Rows of a key in a range of their numbers.
+RANGE_ROWS = 100_000
 
 
 @F.pandas_udf(T.DoubleType())
@@ -131,13 +133,15 @@ def evaluate_scenario(fits: DataFrame, intervals: DataFrame, targets: DataFrame,
     )
     need = need.withColumn("lo", F.least("edge_a", "edge_b")).withColumn("hi", F.greatest("edge_a", "edge_b"))
     windows = rolling_flow(intervals, n)
-    # Fits and targets are a few rows a key; the windows aren't paired with each other.
-    met = windows.join(need, list(KEYS))
-    up, flow = F.col("delta_req") > 0, F.col("flow")
-    reached = lambda c: F.col("usable") & F.when(up, flow >= F.col(c)).otherwise(flow <= F.col(c))
-    s = met.groupBy(*BLOCK, "delta_req", "required", "lo", "hi").agg(
-        count_if(F.col("usable")).alias("n_usable"), count_if(~F.col("usable")).alias("n_degraded"), *[count_if(F.coalesce(reached(c), F.lit(False))).alias(f"hits_{c}") for c in ("required", "lo", "hi")]
-    )
+    # Every threshold is counted once against the key's flows in their order; windows and thresholds aren't paired.
+    names = ("required", "lo", "hi")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("which"), F.col(c).alias("at")) for c in names]))
+    asked = need.select(*BLOCK, "delta_req", *names, each.alias("a")).select(*BLOCK, "delta_req", *names, "a.*")
+    flows = windows.select(*KEYS, F.when(F.col("usable"), F.col("flow")).alias("flow"))
+    counted = with_counts_under(asked, "at", F.col("delta_req") < 0, flows, "flow", KEYS, ("under", "n_usable", "n_degraded"))
+    # From the threshold up, or down to it.
+    hits = F.when(F.col("delta_req") > 0, F.col("n_usable") - F.col("under")).otherwise(F.col("under"))
+    s = counted.groupBy(*BLOCK, "delta_req", *names, "n_usable", "n_degraded").agg(*[F.coalesce(F.max(F.when(F.col("which") == c, hits)), F.lit(0)).alias(f"hits_{c}") for c in names])
     enough = F.col("n_usable") >= least_windows
     share = lambda c: F.when(enough & F.col(c).isNotNull(), F.col(f"hits_{c}") / F.col("n_usable"))
     return s.select(
@@ -221,8 +225,8 @@ def fit_forward_ols(rows: DataFrame, features: Sequence[str], least: int = 30) -
     be = y - _dot(F.col("base_beta"), [F.lit(1.0), F.col(features[0]).cast("double")])
     scored = rows.join(solved.select(*HORIZON, "beta", "train_beta", "base_beta", "ybar", "train_ybar"), list(HORIZON))
     sq = lambda c: c * c
-    far = Window.partitionBy(*HORIZON).orderBy(F.round(F.abs(_dot(F.col("beta"), design) - F.col("ybar")), 9), "rn")
-    scored = scored.withColumn("e", e).withColumn("oe", oe).withColumn("be", be).withColumn("near", F.row_number().over(far) <= F.floor(F.col("n") / 2))
+    far = F.round(F.abs(_dot(F.col("beta"), design) - F.col("ybar")), 9)
+    scored = with_least_half(scored.withColumn("e", e).withColumn("oe", oe).withColumn("be", be).withColumn("far", far), HORIZON, "far", "rn", "near", RANGE_ROWS)
     meat = F.array(*[F.sum(sq(F.col("e")) * design[i] * design[j]) for i in range(k) for j in range(i, k)])
     test = ~train
     stats = scored.groupBy(*HORIZON).agg(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.columns import bucket_start, count_if, is_buy, labelled, nearest_bucket, ratio, sum_if
-from tapewright.functions.ranges import with_running_sum
+from tapewright.functions.ranges import exact_median, with_running_sum
 
 #: Width of the time ranges into which a key's rows are dealt.
 RANGE_MS = 3_600_000
@@ -55,17 +55,19 @@ def _buy_sell(prefix: str = "") -> list[Column]:
 def flow_summary(trades: DataFrame, keys: Sequence[str] = KEYS, large_factor: float = 5.0, approx: bool = False) -> DataFrame:
     """Volumes, CVD, buy share, VWAP with deviation, last price, and large trades: those of at least ``large_factor`` medians.
 
-    The exact median sorts a key's quantities; ``approx`` bounds its memory on
-    very large keys. The last price is that of the newest row, ties going to
+    The exact median counts a key's quantities by ranges of value; ``approx``
+    takes a sketch instead. The last price is that of the newest row, ties going to
     the greater trade_id. A key's first ten large trades come oldest first.
     """
-    median = F.percentile_approx("qty", 0.5, 10_000) if approx else F.median("qty")
+    median = F.percentile_approx("qty", 0.5, 10_000) if approx else F.lit(None).cast("double")
     newest = F.struct("ts_ms", "trade_id", "price")
     base = trades.groupBy(*keys).agg(
         F.count("*").alias("trade_count"), *_buy_sell(),
         F.sum(F.col("price") * F.col("qty")).alias("pv"), F.sum(F.col("price") * F.col("price") * F.col("qty")).alias("pv2"),
         median.alias("median_qty"), F.max(newest)["price"].alias("last_price"), F.max("ts_ms").alias("last_ts"),
     )
+    if not approx:
+        base = base.drop("median_qty").join(exact_median(trades, keys, "qty", "median_qty"), list(keys), "left")
     total = F.col("buy_vol") + F.col("sell_vol")
     vwap = ratio("pv", total)
     threshold = base.select(*keys, (F.col("median_qty") * large_factor).alias("threshold")).where("threshold > 0")
@@ -92,7 +94,7 @@ def flow_summary(trades: DataFrame, keys: Sequence[str] = KEYS, large_factor: fl
 
 def large_trades(trades: DataFrame, keys: Sequence[str] = KEYS, large_factor: float = 5.0, keep: int = 10) -> DataFrame:
     """The first ``keep`` trades of a key, oldest first, of at least ``large_factor`` medians."""
-    threshold = trades.groupBy(*keys).agg((F.median("qty") * large_factor).alias("threshold")).where("threshold > 0")
+    threshold = exact_median(trades, keys, "qty").select(*keys, (F.col("median") * large_factor).alias("threshold")).where("threshold > 0")
     order = Window.partitionBy(*keys).orderBy("ts_ms", "trade_id", "price", "qty")
     return (
         with_trade_side(trades.join(threshold, list(keys)).where("qty >= threshold"))

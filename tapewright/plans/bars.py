@@ -218,7 +218,13 @@ def _(m: Market):
     return bars.wall_break(total.join(rates, "symbol"))
 
 
-@query("w24_trade_clusters")
+@query("w24_trade_clusters", """WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY symbol, venue ORDER BY ts_ms, trade_id, price, qty) AS rn FROM {trades}),
+  e AS (SELECT *, max(rn) OVER (PARTITION BY symbol, venue ORDER BY ts_ms RANGE BETWEEN CURRENT ROW AND 15000 FOLLOWING) + 1 AS late, min(CASE WHEN qty < 30 THEN rn END) OVER (PARTITION BY symbol, venue ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS small FROM t),
+  j AS (SELECT symbol, venue, rn, ts_ms, least(late, coalesce(small, late)) AS nxt FROM e),
+  f AS (SELECT * FROM j WHERE rn = 1 UNION ALL SELECT j.* FROM f JOIN j ON f.symbol = j.symbol AND f.venue = j.venue AND f.nxt = j.rn),
+  g AS (SELECT f.symbol, f.venue, f.ts_ms, count(*) AS trade_count, sum(qty) AS total_qty, sum(CASE WHEN is_buyer_maker THEN 0E0 ELSE qty END) AS buy_qty, sum(price * qty) / sum(qty) AS average_price
+    FROM f JOIN t ON f.symbol = t.symbol AND f.venue = t.venue AND t.rn >= f.rn AND t.rn < f.nxt WHERE f.nxt - f.rn >= 3 GROUP BY f.symbol, f.venue, f.rn, f.ts_ms)
+  SELECT *, total_qty - buy_qty AS sell_qty, row_number() OVER (PARTITION BY symbol, venue ORDER BY total_qty DESC, ts_ms) AS rank FROM g QUALIFY rank <= 10""", "total_qty buy_qty sell_qty average_price")
 def _(m: Market):
     return bars.trade_clusters(m.trades, gap_ms=15_000)
 

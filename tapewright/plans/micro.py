@@ -131,7 +131,10 @@ def _(m: Market):
     return micro.absorption_candidates(events(m))
 
 
-@query("w33_detect_absorption")
+@query("w33_detect_absorption", f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY symbol, venue ORDER BY ts_ms, update_id) AS rn FROM {CANDIDATES} x),
+  j AS (SELECT *, min(rn) OVER (PARTITION BY symbol, venue ORDER BY ts_ms RANGE BETWEEN 60000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM c),
+  f AS (SELECT * FROM j WHERE rn = 1 UNION ALL SELECT j.* FROM f JOIN j ON f.symbol = j.symbol AND f.venue = j.venue AND f.nxt = j.rn)
+  SELECT symbol, venue, ts_ms, update_id, bid_ticks, flow, refills, response_ticks FROM f""", "flow response_ticks")
 def _(m: Market):
     return micro.detect_absorption(events(m))
 
