@@ -122,15 +122,14 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
     return distribution(df, keys, value).groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))
 
 
-def with_least_half(df: DataFrame, keys: Sequence[str], value: str, tie: str, name: str, width: int) -> DataFrame:
+def with_least_half(df: DataFrame, keys: Sequence[str], value: str, tie: str, name: str) -> DataFrame:
     """Mark the half of the key's rows (rounded down) with the least ``value``, ties by ``tie``, a number that tells rows apart."""
     k = F.floor(F.col("size") / 2)
-    cut = distribution(df, keys, value).where((F.col("upto") - F.col("n") < k) & (k <= F.col("upto")))
+    cut = distribution(df.select(*keys, value), keys, value).where((F.col("upto") - F.col("n") < k) & (k <= F.col("upto")))
     limits = cut.select(*keys, F.col(value).alias("_limit"), (k - F.col("upto") + F.col("n")).alias("_left"))
-    rows = df.join(limits, list(keys), "left")
-    tied = F.coalesce(F.col(value) == F.col("_limit"), F.lit(False))
-    # Only rows that tie with the limit are put in order.
-    edge = with_running_sum(rows.where(tied), keys, (tie,), F.lit(1), "_place", width)
-    inside = edge.withColumn(name, F.col("_place") <= F.col("_left")).drop("_place")
-    outside = rows.where(~tied).withColumn(name, F.coalesce(F.col(value) < F.col("_limit"), F.lit(False)))
-    return outside.unionByName(inside).drop("_limit", "_left")
+    # Of the rows that tie with the limit, the number of the last one inside.
+    tied = df.select(*keys, value, tie).join(limits, list(keys)).where(F.col(value) == F.col("_limit"))
+    last = distribution(tied, [*keys, "_left"], tie).where(F.col("upto") == F.col("_left")).select(*keys, F.col(tie).alias("_last"))
+    rows = df.join(limits.join(last, list(keys), "left"), list(keys), "left")
+    inside = (F.col(value) < F.col("_limit")) | ((F.col(value) == F.col("_limit")) & (F.col(tie) <= F.col("_last")))
+    return rows.withColumn(name, F.coalesce(inside, F.lit(False))).drop("_limit", "_left", "_last")

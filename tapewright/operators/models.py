@@ -22,8 +22,6 @@ KEYS = ("symbol", "venue")
 BLOCK = (*KEYS, "block_ms")
 #: Width of the time ranges into which a key's rows are dealt.
 RANGE_MS = 3_600_000
-#: Rows of a key in a range of their numbers.
-RANGE_ROWS = 100_000
 
 
 @F.pandas_udf(T.DoubleType())
@@ -154,9 +152,13 @@ HORIZON = (*KEYS, "horizon_ms")
 MODEL_VERSION, SPLIT = "forward-ols-hc0-1", "time-ordered-70/30"
 
 
-def complete_cases(vectors: DataFrame, labels: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Labelled vectors with every feature, numbered by time; ``train`` marks the first seventy percent."""
-    rows = labels.where("y_ticks is not null").join(vectors.select(*KEYS, "ts_ms", "update_id", *features), [*KEYS, "ts_ms", "update_id"]).dropna(subset=list(features))
+def labelled_vectors(vectors: DataFrame, labels: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Labelled vectors with every feature."""
+    return labels.where("y_ticks is not null").join(vectors.select(*KEYS, "ts_ms", "update_id", *features), [*KEYS, "ts_ms", "update_id"]).dropna(subset=list(features))
+
+
+def complete_cases(rows: DataFrame) -> DataFrame:
+    """Labelled vectors, numbered by time; ``train`` marks the first seventy percent. Reads ``rows`` several times."""
     numbered = with_running_sum(rows, HORIZON, ("ts_ms", "update_id"), F.lit(1), "rn", RANGE_MS).join(rows.groupBy(*HORIZON).agg(F.count("*").alias("n")), list(HORIZON))
     return numbered.withColumn("train", F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.7)))
 
@@ -195,13 +197,12 @@ def _dot(beta: Column, design: Sequence[Column]) -> Column:
     return total([F.element_at(beta, i + 1) * d for i, d in enumerate(design)])
 
 
-def fit_forward_ols(rows: DataFrame, features: Sequence[str], least: int = 30) -> DataFrame:
-    """Per horizon: coefficients on all and on the training rows, robust errors, in- and out-of-sample fit, status, and pins of model, features and input.
+def forward_coefficients(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Per horizon: coefficients on all rows, on the training rows and of the first feature alone, and the inverse, from distributed sums.
 
-    ``rows`` come from ``complete_cases``. The sums are distributed; only the
-    k by k systems, one row a group, are solved in Python.
+    ``rows`` come from ``complete_cases``. Only the k by k systems, one row a group, are solved in Python.
     """
-    names, design, k = ["intercept", *features], _design(features), len(features) + 1
+    design, k = _design(features), len(features) + 1
     y, train = F.col("y_ticks"), F.col("train")
     sums = rows.groupBy(*HORIZON).agg(
         F.count("*").alias("n_obs"), count_if(train).alias("n_train"), F.avg(y).alias("ybar"), F.avg(F.when(train, y)).alias("train_ybar"),
@@ -219,14 +220,24 @@ def fit_forward_ols(rows: DataFrame, features: Sequence[str], least: int = 30) -
             out["inverse"] = [s[1].reshape(-1).tolist() for s in alls]
             yield out[[c.split()[0] for c in cols.split(", ")]]
 
-    solved = sums.mapInPandas(solve, cols)
+    return sums.mapInPandas(solve, cols)
+
+
+def fit_forward_ols(rows: DataFrame, features: Sequence[str], least: int = 30, solved: DataFrame | None = None) -> DataFrame:
+    """Per horizon: coefficients on all and on the training rows, robust errors, in- and out-of-sample fit, status, and pins of model, features and input.
+
+    ``solved`` are the rows' ``forward_coefficients``; they are read several times, so give them written where there are many rows.
+    """
+    solved = forward_coefficients(rows, features) if solved is None else solved
+    names, design, k = ["intercept", *features], _design(features), len(features) + 1
+    y, train = F.col("y_ticks"), F.col("train")
     e = y - _dot(F.col("beta"), design)
     oe = y - _dot(F.col("train_beta"), design)
     be = y - _dot(F.col("base_beta"), [F.lit(1.0), F.col(features[0]).cast("double")])
     scored = rows.join(solved.select(*HORIZON, "beta", "train_beta", "base_beta", "ybar", "train_ybar"), list(HORIZON))
     sq = lambda c: c * c
     far = F.round(F.abs(_dot(F.col("beta"), design) - F.col("ybar")), 9)
-    scored = with_least_half(scored.withColumn("e", e).withColumn("oe", oe).withColumn("be", be).withColumn("far", far), HORIZON, "far", "rn", "near", RANGE_ROWS)
+    scored = with_least_half(scored.withColumn("e", e).withColumn("oe", oe).withColumn("be", be).withColumn("far", far), HORIZON, "far", "rn", "near")
     meat = F.array(*[F.sum(sq(F.col("e")) * design[i] * design[j]) for i in range(k) for j in range(i, k)])
     test = ~train
     stats = scored.groupBy(*HORIZON).agg(

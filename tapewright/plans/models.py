@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from tapewright.operators import micro, models
+from tapewright.operators import micro, models, rules
 from tapewright.plans import micro as pm
-from tapewright.plans.registry import folder, query
+from tapewright.plans.registry import query, shared
 from tapewright.sources.views import Market
 
 BLOCK_MS, LEAST = 300_000, 10
@@ -84,24 +82,34 @@ def _(m: Market):
   SELECT symbol, venue, block_ms, delta_req, required, required_lo, required_hi, n_usable, n_degraded, CASE WHEN n_usable >= 5 AND required IS NOT NULL THEN h / n_usable END AS exceedance, CASE WHEN n_usable >= 5 AND required_lo IS NOT NULL THEN hl / n_usable END AS exceedance_lo, CASE WHEN n_usable >= 5 AND required_hi IS NOT NULL THEN hh / n_usable END AS exceedance_hi FROM s""",
        "delta_req required required_lo required_hi exceedance exceedance_lo exceedance_hi")
 def _(m: Market):
-    f = fits(m)
+    f = models.fit_price_impact(micro.price_impact_observations(intervals(m), "ofi"), BLOCK_MS, LEAST)
     targets = f.select("symbol", "venue").distinct().withColumn("delta_req", F.explode(F.array(F.lit(-3.0), F.lit(2.0), F.lit(5.0))))
-    return models.evaluate_scenario(f, pm.intervals(m), targets, 6, 5)
+    return models.evaluate_scenario(f, intervals(m), targets, 6, 5)
+
+
+def events(m: Market):
+    return shared(m, "events", ("events",), lambda: pm.events(m))
 
 
-def written(m: Market, df):
-    """``df``, written to the shared folder once for all that read it."""
-    path = f"{folder(m)}/forward-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return m.spark.read.schema(df.schema).parquet(path)
+def intervals(m: Market):
+    return shared(m, "intervals", ("events",), lambda: micro.ofi_intervals(events(m)))
+
+
+def labels(m: Market):
+    """Labels outside degraded spans."""
+    every = shared(m, "labels", ("events",), lambda: micro.forward_labels(events(m), events(m)))
+    return micro.exclude_degraded(every, rules.status_spans(m.capture_status))
 
 
 def cases(m: Market):
-    return written(m, models.complete_cases(pm.features(m), pm.usable_labels(m), FEATURES))
+    """Labelled vectors, numbered; what they are made of is read several times, so it is written once for all forward queries."""
+    vectors = lambda: models.labelled_vectors(micro.feature_vectors(events(m), intervals(m)), labels(m), FEATURES)
+    return shared(m, "cases", ("events",), lambda: models.complete_cases(shared(m, "vectors", ("events",), vectors)))
 
 
-def forward_fits(m: Market, rows=None):
-    return written(m, models.fit_forward_ols(cases(m) if rows is None else rows, FEATURES))
+def forward_fits(m: Market):
+    solved = lambda: shared(m, "coefficients", ("events",), lambda: models.forward_coefficients(cases(m), FEATURES))
+    return shared(m, "forward-fits", ("events",), lambda: models.fit_forward_ols(cases(m), FEATURES, solved=solved()))
 
 
 def flat(df, *maps: str):
@@ -117,8 +125,7 @@ def _(m: Market):
 
 def calibrated(m: Market):
     """Cases, their fits, and the fits' calibration."""
-    rows = cases(m)
-    f = forward_fits(m, rows)
+    rows, f = cases(m), forward_fits(m)
     return rows, f, models.calibration_report(f, rows, FEATURES)
 
 
@@ -130,13 +137,13 @@ def _(m: Market):
 @query("m6_predict_distribution")
 def _(m: Market):
     _, f, c = calibrated(m)
-    return models.predict_distribution(f, pm.features(m), FEATURES, c)
+    return models.predict_distribution(f, micro.feature_vectors(events(m), intervals(m)), FEATURES, c)
 
 
 @query("m8_forward_scenario")
 def _(m: Market):
     _, f, c = calibrated(m)
-    v = pm.features(m).dropna(subset=FEATURES)
+    v = micro.feature_vectors(events(m), intervals(m)).dropna(subset=FEATURES)
     latest = v.groupBy("symbol", "venue").agg(F.max(F.struct("ts_ms", "update_id", *FEATURES)).alias("v")).select("symbol", "venue", "v.*")
     return models.forward_scenario(f, latest, FEATURES, c, [-5, -2, 2, 5])
 
@@ -154,14 +161,14 @@ def _(m: Market):
 @query("m11_hypothesis_test")
 def _(m: Market):
     rows = cases(m)
-    return models.hypothesis_test(forward_fits(m, rows), rows, FEATURES, tests=4)
+    return models.hypothesis_test(forward_fits(m), rows, FEATURES, tests=4)
 
 
 @query("m12_discipline_audit")
 def _(m: Market):
     rows, f, c = calibrated(m)
     claims = models.hypothesis_test(f, rows, FEATURES, tests=4)
-    audit = models.discipline_audit(f, c, "costs are not modelled", pm.usable_labels(m), True, claims)
+    audit = models.discipline_audit(f, c, "costs are not modelled", labels(m), True, claims)
     return audit.withColumn("open_violations", F.array_join("open_violations", ","))
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,32 @@ def folder(market: Market) -> str:
     return named or tempfile.mkdtemp(prefix="spark-query-")
 
 
+_SHARED: dict[tuple, tuple[str, object]] = {}
+
+
+def shared(market: Market, name: str, tables: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives, written once for all queries of a session that ask for ``name`` over the same files.
+
+    Written when first asked for; anew if the source files change or the written ones are gone.
+    """
+    spark = market.spark
+    newest = F.max("_metadata.file_modification_time").cast("string")
+    files = tuple(tuple(getattr(market, t).select(newest, F.sum("_metadata.file_size"), F.count("*")).first()) for t in tables)
+    key = (spark.sparkContext.applicationId, market.sf_dir, name, files)
+    if key in _SHARED:
+        path, schema = _SHARED[key]
+        try:
+            spark.read.parquet(path)
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:  # the shared folder was cleared
+            del _SHARED[key]
+    df = build()
+    path = f"{folder(market)}/tapewright-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _SHARED[key] = path, df.schema
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six places, without negative zeros: sums may come in any order."""
     return df.select(*[(F.round(c, PLACES) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])

@@ -62,7 +62,7 @@ def test_exact_median_and_half(spark):
     want = {k: float(np.median([v for key, v, _ in rows if key == k and v is not None])) for k in "abcd"}
     assert got == pytest.approx(want)
     known = df.where("v is not null")
-    half = ranges.with_least_half(known, ["k"], "v", "rn", "near", 25).collect()
+    half = ranges.with_least_half(known, ["k"], "v", "rn", "near").collect()
     for k in "abcd":
         own = sorted((v, rn) for key, v, rn in rows if key == k and v is not None)
         assert {r["rn"] for r in half if r["k"] == k and r["near"]} == {rn for _, rn in own[: len(own) // 2]}
