@@ -6,9 +6,10 @@ lane modulo a power of two. The order of paragraphs doesn't matter, and a
 paragraph is inserted or deleted by adding or subtracting its vector.
 
 * 16 lanes modulo 2**32 of the paragraph's BLAKE2b digest tell texts apart;
-* 256 lanes modulo 2**16 count the paragraph's three-word runs with random
+* 256 lanes modulo 2**32 count the paragraph's three-word runs with random
   signs, so that the squared length of a difference of two fingerprints
-  estimates how many runs differ: the likeness of two texts.
+  estimates how many runs differ: the likeness of two texts. No text is long
+  enough to carry a lane past its sign; sums of over 2**31 runs may.
 """
 
 from __future__ import annotations
@@ -48,26 +49,26 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         lane = owner[rows] * LIKE_LANES + (runs % U64(LIKE_LANES)).astype(np.int64)
         sign = 1.0 - 2.0 * ((runs >> U64(40)) & U64(1)).astype(np.float64)
         like = np.rint(np.bincount(lane, sign, len(like))).astype(np.int64)
-    like = like.reshape(-1, LIKE_LANES).astype(np.uint16)  # modulo 2**16
-    return np.concatenate([exact.astype("<u4").view(np.uint8), like.astype("<u2").view(np.uint8)], axis=1)
+    like = like.reshape(-1, LIKE_LANES).astype(np.uint32)  # modulo 2**32
+    return np.concatenate([exact.astype("<u4").view(np.uint8), like.astype("<u4").view(np.uint8)], axis=1)
 
 
 def _lanes(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     prints = np.ascontiguousarray(np.atleast_2d(prints))
-    return np.ascontiguousarray(prints[:, : 4 * EXACT_LANES]).view("<u4"), np.ascontiguousarray(prints[:, 4 * EXACT_LANES :]).view("<u2")
+    return np.ascontiguousarray(prints[:, : 4 * EXACT_LANES]).view("<u4"), np.ascontiguousarray(prints[:, 4 * EXACT_LANES :]).view("<u4")
 
 
 def combined(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
     """Fingerprints of the paragraphs of both; ``sign`` -1: of ``a`` without the paragraphs of ``b``."""
     (ea, la), (eb, lb) = _lanes(a), _lanes(b)
     exact, like = (ea + eb, la + lb) if sign > 0 else (ea - eb, la - lb)
-    return np.concatenate([exact.astype("<u4").view(np.uint8), like.astype("<u2").view(np.uint8)], axis=1)
+    return np.concatenate([exact.astype("<u4").view(np.uint8), like.astype("<u4").view(np.uint8)], axis=1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """0 to 1 row by row: the estimated share of three-word runs in common; 1 for equal fingerprints."""
     (_, la), (_, lb) = _lanes(a), _lanes(b)
-    signed = lambda x: x.astype(np.int16).astype(np.float64)
+    signed = lambda x: x.astype(np.int32).astype(np.float64)
     apart = (signed(la - lb) ** 2).sum(axis=1)
     size = (signed(la) ** 2).sum(axis=1) + (signed(lb) ** 2).sum(axis=1)
     near = np.clip(1 - apart / np.maximum(size, 1), 0, 1)
