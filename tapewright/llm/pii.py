@@ -59,6 +59,38 @@ VOTES = ("valid", "listed", "cue", "against", "shape")
 SHAPES, WORDS, AFTER = 32, 64, 4
 
 
+#: Items that a scan takes before it puts its results aside.
+CHUNK = 256
+
+
+def scanned(items: Column, begin: Column, step, of: str) -> Column:
+    """``step(state, item) -> (state, result)`` along an array: the results, of type ``of``.
+
+    Results are gathered chunk by chunk, as an array that grows by one element is copied each time.
+    """
+    none = F.array().cast(f"array<{of}>")
+
+    def along(part: Column, state: Column) -> Column:
+        def put(acc: Column, item: Column) -> Column:
+            now, result = step(acc["state"], item)
+            return F.struct(now.alias("state"), F.concat(acc["found"], F.array(result)).alias("found"))
+
+        return F.aggregate(part, F.struct(state.alias("state"), none.alias("found")), put)
+
+    def chunk(acc: Column, number: Column) -> Column:
+        part = F.slice(acc["items"], number * CHUNK + 1, F.lit(CHUNK))
+        aside = F.concat(acc["aside"], F.array(acc["last"]["found"]))
+        return F.struct(acc["items"].alias("items"), along(part, acc["last"]["state"]).alias("last"), aside.alias("aside"))
+
+    # The array is handed along, so that it is made once.
+    first = F.struct(items.alias("items"), F.struct(begin.alias("state"), none.alias("found")).alias("last"), F.array().cast(f"array<array<{of}>>").alias("aside"))
+    numbers = F.sequence(F.lit(0), F.floor(F.size(items) / CHUNK).cast("int"))
+    return F.aggregate(numbers, first, chunk, lambda acc: F.flatten(F.concat(acc["aside"], F.array(acc["last"]["found"]))))
+
+
+SPAN = "struct<start:bigint,stop:bigint,value:string,before:string,after:string>"
+
+
 def marked_spans(text: Column, pattern: str, valid=None) -> Column:
     """``array<struct<start, stop, value, before, after>>`` of a pattern's leftmost matches; ``valid``: a test of their text.
 
@@ -67,22 +99,19 @@ def marked_spans(text: Column, pattern: str, valid=None) -> Column:
     """
     clean = F.translate(text, OPEN + CLOSE, "\x03\x03")
     pieces = F.split(F.regexp_replace(clean, pattern, f"{OPEN}$0{CLOSE}"), OPEN, -1)
-    first = F.element_at(pieces, 1)
-    empty = F.array().cast("array<struct<start:bigint,stop:bigint,value:string,before:string,after:string>>")
-
-    def step(acc: Column, piece: Column) -> Column:
-        value = F.substring_index(piece, CLOSE, 1)
-        rest = F.substring(piece, F.length(value) + 2, F.length(piece))
-        start = acc["at"]
-        span = F.struct(start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"), acc["before"].alias("before"), F.left(rest, F.lit(1)).alias("after"))
-        return F.struct(
-            (start + F.length(value) + F.length(rest)).alias("at"), F.right(rest, F.lit(30)).alias("before"), F.concat(acc["found"], F.array(span)).alias("found")
-        )
 
-    begin = F.struct(F.length(first).cast("bigint").alias("at"), F.right(first, F.lit(30)).alias("before"), empty.alias("found"))
-    found = F.aggregate(F.slice(pieces, 2, F.size(pieces)), begin, step, lambda acc: acc["found"])
+    def step(state: Column, piece: Column) -> tuple[Column, Column]:
+        # The first piece lies before all matches; it has no mark at its end.
+        value = F.when(piece.contains(CLOSE), F.substring_index(piece, CLOSE, 1)).otherwise("")
+        rest = F.when(piece.contains(CLOSE), F.substring(piece, F.length(value) + 2, F.length(piece))).otherwise(piece)
+        start, stop = state["at"], state["at"] + F.length(value)
+        span = F.struct(start.alias("start"), stop.alias("stop"), value.alias("value"), state["before"].alias("before"), F.left(rest, F.lit(1)).alias("after"))
+        return F.struct((stop + F.length(rest)).alias("at"), F.right(rest, F.lit(30)).alias("before")), span
+
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("before"))
+    found = F.filter(scanned(pieces, begin, step, SPAN), lambda s: s["value"] != "")
     found = F.filter(found, lambda s: valid(s["value"])) if valid else found
-    return F.when(F.size(pieces) > 1, found).otherwise(empty)
+    return F.when(clean.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _digits(value: Column) -> Column:
@@ -158,16 +187,38 @@ def _none() -> Column:
     return F.array().cast(f"array<struct<{fields}>>")
 
 
+def _free(spans: Column, taken: Column) -> Column:
+    """The spans that overlap none of those taken, by two passes over both in order of their starts."""
+    none, far = F.lit(-1).cast("bigint"), F.lit(1 << 62).cast("bigint")
+    item = lambda s, own: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), own.alias("span"))
+    ordered = F.array_sort(F.concat(F.transform(taken, lambda s: item(s, F.lit(None).cast(_SPAN_TYPE))), F.transform(spans, lambda s: item(s, s))))
+    both = f"struct<start:bigint,stop:bigint,span:{_SPAN_TYPE},clear:boolean>"
+
+    def forth(reach: Column, s: Column) -> tuple[Column, Column]:
+        """Spans that begin at or after the farthest end of what is taken before them."""
+        now = F.when(s["span"].isNull(), F.greatest(reach, s["stop"])).otherwise(reach)
+        return now, F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["span"].alias("span"), (s["start"] >= reach).alias("clear"))
+
+    def back(following: Column, s: Column) -> tuple[Column, Column]:
+        """Spans that end at or before the first start of what is taken after them."""
+        now = F.when(s["span"].isNull(), F.least(following, s["start"])).otherwise(following)
+        return now, F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["span"].alias("span"), (s["clear"] & (s["stop"] <= following)).alias("clear"))
+
+    passed = scanned(F.reverse(scanned(ordered, none, forth, both)), far, back, both)
+    kept = F.filter(F.reverse(passed), lambda s: s["span"].isNotNull() & s["clear"])
+    return F.transform(kept, lambda s: s["span"])
+
+
+_SPAN_TYPE = "struct<kind:int,start:bigint,stop:bigint," + ",".join(f"{v}:int" for v in FEATURES) + ">"
+
+
 def candidate_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, base, more``: arrays of described candidates; ``more`` overlaps no base span."""
     text = F.coalesce("text", F.lit(""))
     base = F.concat(*[_candidates(text, kind, True) for kind in KINDS])
     more = F.concat(*[_candidates(text, kind, False) for kind in LOOSE])
-    return docs.select("doc_id", base.alias("base"), more.alias("more")).select(
-        "doc_id",
-        "base",
-        F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))).alias("more"),
-    )
+    free = F.when((F.size("more") > 0) & (F.size("base") > 0), _free(F.col("more"), F.col("base"))).otherwise(F.col("more"))
+    return docs.select("doc_id", base.alias("base"), more.alias("more")).select("doc_id", "base", free.alias("more"))
 
 
 #: Where each feature's indicators start in the classifier's vector, and its least value.

@@ -126,7 +126,26 @@ def test_fingerprints_add_up():
     assert (fingerprints.combined(whole, second, -1)[0] == first).all()
     assert (fingerprints.fingerprints(["x y\nz"])[0] == fingerprints.fingerprints(["z\nx y"])[0]).all()
     assert fingerprints.likeness(whole, whole)[0] == 1
-    assert len(base64.b64decode(fingerprints.printed(np.atleast_2d(whole))[0])) == 576
+    assert len(base64.b64decode(fingerprints.printed(np.atleast_2d(whole))[0])) == 64 + 1024
+
+
+def test_likeness_counts_runs_that_repeat():
+    """Lanes hold more repeats than 16 bits do, and the likeness is that of the counted runs."""
+    rare = "aa bb cc dd"
+    many, one, double = fingerprints.fingerprints([f"{rare}\n" * 65_536 + rare, rare, f"{rare}\n" * 131_072 + rare])
+    assert fingerprints.likeness(many, one)[0] < 1e-3 and (many != one).any()
+    # Of runs a and 2a the squared difference is a fifth of both squared lengths.
+    assert fingerprints.likeness(many, double)[0] == pytest.approx(0.8, abs=1e-3)
+    draw = np.random.default_rng(8)
+    words = [f"w{i}" for i in draw.integers(0, 4000, 3000)]
+    for share in (0.1, 0.5, 0.9):
+        other = [w if draw.random() < share ** (1 / 3) else f"x{i}" for i, w in enumerate(words)]
+        a, b = ([" ".join(t[i : i + 3]) for i in range(len(t) - 2)] for t in (words, other))
+        counts = Counter(a), Counter(b)
+        apart = sum((counts[0][r] - counts[1][r]) ** 2 for r in counts[0].keys() | counts[1].keys())
+        exact = 1 - apart / sum(n * n for c in counts for n in c.values())
+        one, two = fingerprints.fingerprints([" ".join(words), " ".join(other)])
+        assert fingerprints.likeness(one, two)[0] == pytest.approx(exact, abs=0.25)
 
 
 def test_sharding(documents, rows):
@@ -461,3 +480,34 @@ def test_decontamination_of_short_and_repeated_items(spark, monkeypatch):
     items = spark.createDataFrame([(i, t) for i, t in enumerate(["one two three four five six", "three four", "", None, "absent words are not in any text here", "ZERO one, two three four five"])], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(docs, items).collect()}
     assert got == {(1, 0), (1, 1), (2, 1), (None, 1), (None, 5), (1, 5)}
+
+
+def test_time_follows_the_number_of_spans(spark):
+    """50,000 addresses in one text are found in time that follows their number, with whole positions."""
+    import time
+
+    text = " ".join(f"user{i}@host{i}.example.org" for i in range(50_000))
+    docs = spark.createDataFrame([(1, text), (2, "one@a.b"), (3, None)], "doc_id long, text string")
+    pii.op5_personal_data(docs.where("doc_id > 1")).collect()
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in pii.op5_personal_data(docs).collect()}
+    assert time.perf_counter() - began < 60
+    spans = base_spans(text)
+    assert got[1]["n_email"] == 50_000 and got[1]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_free_spans_are_those_that_overlap_nothing(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    draw = random.Random(6)
+    names = ["kind", "start", "stop", *pii.FEATURES]
+    made = lambda n: [(0, a, a + draw.randrange(1, 12), *[0] * len(pii.FEATURES)) for a in sorted(draw.randrange(3000) for _ in range(n))]
+    kind = pii._SPAN_TYPE
+    rows = [(i, made(draw.randrange(400)), made(draw.randrange(400))) for i in range(6)] + [(9, [], made(3)), (10, made(3), [])]
+    df = spark.createDataFrame(rows, f"id int, more array<{kind}>, base array<{kind}>")
+    for r in df.select("id", "more", "base", pii._free(F.col("more"), F.col("base")).alias("free")).collect():
+        want = [m for m in r["more"] if not any(b["start"] < m["stop"] and m["start"] < b["stop"] for b in r["base"])]
+        assert sorted(map(tuple, r["free"])) == sorted(map(tuple, want))
+    assert names[0] == "kind"
