@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.columns import labelled, ratio, reasons, total
+from tapewright.functions.ranges import with_previous, with_running_sum
 
 
 def points(*rules: tuple[Column, int]) -> Column:
@@ -194,26 +195,35 @@ def ratio_jumps(rows: DataFrame, value: str, factor: float, keys: Sequence[str],
     return rows.withColumn("previous", before).where((F.col("previous") > 0) & ((F.col(value) >= F.col("previous") * factor) | (F.col(value) <= F.col("previous") / factor)))
 
 
+#: Width of the time ranges into which a key's raw rows are dealt.
+RANGE_MS = 3_600_000
+
+
 def discontinuity_spans(events: DataFrame, gap_ms: int = 15_000, keys: Sequence[str] = ("symbol",), ts: str = "ts_ms") -> DataFrame:
     """Gaps of at least ``gap_ms`` between consecutive events."""
-    before = F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts))
-    return events.select(*keys, before.alias("lo"), F.col(ts).alias("hi")).where(F.col("hi") - F.col("lo") >= gap_ms).withColumn("reason", F.lit("discontinuity"))
+    rows = with_previous(events.select(*keys, ts), keys, (ts,), (ts,), RANGE_MS)
+    spans = rows.select(*keys, F.col(f"prev_{ts}").alias("lo"), F.col(ts).alias("hi")).where(F.col("hi") - F.col("lo") >= gap_ms)
+    return spans.withColumn("reason", F.lit("discontinuity"))
 
 
 def status_spans(status: DataFrame, good: str = "running") -> DataFrame:
     """Intervals in which capture wasn't ``good``: from the first bad row to the next good one; open at the end (``hi`` null)."""
-    order = Window.partitionBy("symbol").orderBy("updated_at_ms", "state")
-    bad = F.col("state") != good
-    island = F.sum(F.when(bad & ~F.coalesce(F.lag(bad).over(order), F.lit(False)), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = status.withColumn("island", island).withColumn("next_ts", F.lead("updated_at_ms").over(order)).where(bad)
-    last = F.max_by("next_ts", F.struct("updated_at_ms", "state"))
-    return rows.groupBy("symbol", "island").agg(F.min("updated_at_ms").alias("lo"), last.alias("hi"), F.min_by("state", F.struct("updated_at_ms", "state")).alias("reason")).drop("island")
+    order = ("updated_at_ms", "state")
+    rows = with_previous(status.select("symbol", *order).withColumn("bad", F.col("state") != good), ("symbol",), order, ("bad",), RANGE_MS)
+    was_bad = F.coalesce(F.col("prev_bad"), F.lit(False))
+    opens = F.when(F.col("bad") & ~was_bad, 1).otherwise(0)
+    numbered = with_running_sum(rows, ("symbol",), order, opens, "island", RANGE_MS)
+    # The good row that ends an island has its number still.
+    ended = F.min(F.when(~F.col("bad") & was_bad, F.col("updated_at_ms")))
+    first = F.min(F.when(F.col("bad"), F.struct(*order)))
+    spans = numbered.groupBy("symbol", "island").agg(first.alias("first"), ended.alias("hi")).where("first is not null")
+    return spans.select("symbol", F.col("first.updated_at_ms").alias("lo"), "hi", F.col("first.state").alias("reason"))
 
 
 def rollover_events(rows: DataFrame, bucket: Column, keys: Sequence[str] = ("symbol", "venue"), ts: str = "ts_ms") -> DataFrame:
     """Rows that open a new period against the key's row before."""
-    order = Window.partitionBy(*keys).orderBy(ts, "trade_id")
-    return rows.withColumn("bucket_ms", bucket).withColumn("previous_bucket", F.lag("bucket_ms").over(order)).where("previous_bucket is not null and previous_bucket <> bucket_ms")
+    both = with_previous(rows.withColumn("bucket_ms", bucket), keys, (ts, "trade_id"), ("bucket_ms",), RANGE_MS)
+    return both.withColumnRenamed("prev_bucket_ms", "previous_bucket").where("previous_bucket is not null and previous_bucket <> bucket_ms")
 
 
 def freshness_flag(rows: DataFrame, ts: str, now: Column, fresh_ms: int) -> DataFrame:

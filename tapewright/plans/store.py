@@ -90,7 +90,8 @@ def _(m: Market):
 def _(m: Market):
     q = m.quotes.select("symbol", "venue", "update_id", "ts_ms")
     new = q.where("update_id % 3 = 0")
-    return store.fresh_rows(new.union(new), q.where("update_id % 2 = 0"), ["symbol", "venue", "update_id"])
+    key = ["symbol", "venue", "update_id"]
+    return store.fresh_rows(new.union(new), store.reachable(q.where("update_id % 2 = 0"), new, key), key)
 
 
 @query("s10_t3_latest_per_key", "SELECT symbol, venue, ts_ms, update_id, bid_ticks, ask_ticks FROM (SELECT *, row_number() OVER (PARTITION BY symbol, venue ORDER BY ts_ms DESC, update_id DESC) AS rn FROM {quotes}) x WHERE rn = 1")

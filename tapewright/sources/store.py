@@ -21,13 +21,39 @@ def fresh_rows(new: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFra
     return once.join(stored.select(*key), list(key), "left_anti")
 
 
+def reachable(stored: DataFrame, new: DataFrame, key: Sequence[str], partition: Sequence[str] = ()) -> DataFrame:
+    """The stored rows that can share a key with ``new``: in partitions that it touches, between its least and greatest keys.
+
+    Both limits reach the files: partitions that the batch doesn't touch aren't listed for reading, row groups outside its range
+    of a key column are skipped. So what an append reads follows the batch where keys grow with time. ``partition`` columns must be part of the key.
+    """
+    ordered = [c for c, t in new.dtypes if c in key and t in ("tinyint", "smallint", "int", "bigint", "string", "date", "timestamp", "float", "double")]
+    parts = [c for c in partition if c in key]
+    limits = new.agg(*[f(c).alias(f"{n}_{c}") for c in ordered for n, f in (("lo", F.min), ("hi", F.max))]).first() if ordered else None
+    for c in ordered:
+        if limits[f"lo_{c}"] is not None:
+            # Null keys lie in no range.
+            stored = stored.where(F.col(c).between(limits[f"lo_{c}"], limits[f"hi_{c}"]) | F.col(c).isNull())
+    if parts:
+        touched = new.select(*parts).distinct().limit(MOST_PARTITIONS + 1).collect()
+        if len(touched) <= MOST_PARTITIONS:
+            for c in parts:
+                values = {r[c] for r in touched}
+                stored = stored.where(F.col(c).isin(list(values - {None})) | F.col(c).isNull())
+    return stored
+
+
+#: Partitions of one batch that are named one by one; a batch that touches more is limited by its range of keys alone.
+MOST_PARTITIONS = 1000
+
+
 def append_idempotent(new: DataFrame, path: str, key: Sequence[str], partition: Sequence[str] = ()) -> None:
-    """Append the rows whose key a Parquet table doesn't have yet; running it again changes nothing."""
+    """Append the rows whose key a Parquet table doesn't have yet; running it again changes nothing. One writer at a time."""
     spark = new.sparkSession
     try:
         stored = spark.read.schema(new.schema).parquet(path)
         stored.take(1)
-        new = fresh_rows(new, stored, key)
+        new = fresh_rows(new, reachable(stored, new, key, partition), key)
     except Exception as e:  # the first batch makes the table
         if "PATH_NOT_FOUND" not in str(e):
             raise

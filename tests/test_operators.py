@@ -123,6 +123,21 @@ def test_append_is_idempotent(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "c")]
 
 
+def test_append_reads_what_the_batch_can_meet(spark, tmp_path):
+    """The stored rows that are read follow the batch: its partitions, and its range of keys; nothing is appended twice."""
+    path = f"{tmp_path}/tape"
+    rows = spark.range(20_000).selectExpr("concat('S', id % 4) as symbol", "id", "cast(id * 2 as double) as v")
+    store.append_idempotent(rows, path, ["symbol", "id"], ["symbol"])
+    batch = spark.createDataFrame([("S1", 19_997, 0.0), ("S1", 20_001, 1.0), (None, 5, 2.0)], rows.schema)
+    near = store.reachable(spark.read.schema(rows.schema).parquet(path), batch.where("symbol is not null"), ["symbol", "id"], ["symbol"])
+    assert [tuple(r) for r in near.select("symbol", "id").collect()] == [("S1", 19_997)]
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "symbol" in plan.split("PartitionFilters:")[1].split("]")[0] and "GreaterThanOrEqual(id,19997)" in plan
+    for _ in range(2):
+        store.append_idempotent(batch.where("symbol is not null"), path, ["symbol", "id"], ["symbol"])
+    assert spark.read.parquet(path).count() == 20_001
+
+
 def test_read_snapshots_keeps_broken_lines(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"symbol":"S","observed_at_ms":5,"spot":{"trades_normalized":[{"id":1,"ts":4,"price":2.0,"qty":1.0,"is_buyer_maker":false}]}}\n{"symbol": oops\n')
     rows = records.read_snapshots(spark, str(tmp_path / "s.json")).cache()
