@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tapewright.operators import bars, tape
 from tapewright.plans.book import NEAR
 from tapewright.plans.registry import query
-from tapewright.sources.views import Market
+from tapewright.sources.views import NEWEST_SNAPSHOT, Market
 
 
 def futures(m: Market):
@@ -205,14 +205,14 @@ def _(m: Market):
 
 @query("c8_wall_break", f"""WITH mi AS (SELECT symbol, ts_ms - ts_ms % 60000 AS m, sum(CASE WHEN is_buyer_maker THEN 0E0 ELSE qty END) AS buy FROM {{trades}} WHERE venue = 'futures' GROUP BY ALL),
   r AS (SELECT symbol, arg_max(buy, m) AS current_rate, max(buy) AS peak_rate FROM mi GROUP BY ALL),
-  w AS (SELECT symbol, sum(qty) AS total_wall FROM {NEAR} n WHERE side = 'ask' AND snapshot_id = 19 AND price_ticks - pt BETWEEN 5 AND 100 GROUP BY ALL)
+  w AS (SELECT symbol, sum(qty) AS total_wall FROM {NEAR} n WHERE side = 'ask' AND {NEWEST_SNAPSHOT} AND price_ticks - pt BETWEEN 5 AND 100 GROUP BY ALL)
   SELECT r.symbol, total_wall, current_rate, peak_rate, total_wall / 15 AS required_rate, current_rate / greatest(total_wall / 15, 1e-9) AS current_adequacy, peak_rate / greatest(total_wall / 15, 1e-9) AS peak_adequacy, total_wall / greatest(peak_rate, 1e-9) AS minutes_at_peak,
     CASE WHEN current_rate >= total_wall / 15 THEN 'BUYERS_CAN_BREAK' WHEN peak_rate >= total_wall / 15 THEN 'FIREPOWER_AVAILABLE' ELSE 'CANNOT_BREAK_VIA_BUY_FLOW' END AS verdict FROM r JOIN w ON r.symbol = w.symbol""",
        "total_wall current_rate peak_rate required_rate current_adequacy peak_adequacy minutes_at_peak")
 def _(m: Market):
     from tapewright.operators import book
 
-    near = book.with_price(m.book_levels.where("snapshot_id = 19 and side = 'ask'"), m.book_prices)
+    near = book.with_price(m.newest(m.book_levels.where("side = 'ask'")), m.book_prices)
     total = near.where((F.col("price_ticks") - book.price_ticks()).between(5, 100)).groupBy("symbol").agg(F.sum("qty").alias("total_wall"))
     rates = tape.buy_rates(m.trades.where("venue = 'futures'"), keys=("symbol",))
     return bars.wall_break(total.join(rates, "symbol"))

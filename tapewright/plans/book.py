@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tapewright.operators import book, tape
 from tapewright.plans.registry import query
-from tapewright.sources.views import Market
+from tapewright.sources.views import NEWEST_SNAPSHOT, Market
 
 BID, ASK = "CASE WHEN side = 'bid' THEN {} ELSE 0E0 END", "CASE WHEN side = 'ask' THEN {} ELSE 0E0 END"
 BQ, AQ, BN, AN = BID.format("qty"), ASK.format("qty"), BID.format("price * qty"), ASK.format("price * qty")
@@ -336,11 +336,11 @@ def _(m: Market):
     return book.wall_trap(book.wall_fuel_ratio(m.book_levels, m.book_prices), book.adjacent_wall_counts(m.book_levels))
 
 
-WALLS = "(SELECT symbol, snapshot_id AS cycle, price_ticks, qty FROM {book_levels} WHERE side = 'ask' AND qty >= 60 AND snapshot_id < 19)"
+WALLS = "(SELECT symbol, snapshot_id AS cycle, price_ticks, qty FROM {book_levels} WHERE side = 'ask' AND qty >= 60 AND NOT " + NEWEST_SNAPSHOT + ")"
 
 
 def walls(m: Market):
-    return m.book_levels.where("side = 'ask' and qty >= 60 and snapshot_id < 19").select("symbol", F.col("snapshot_id").alias("cycle"), "price_ticks", "qty")
+    return m.newest(m.book_levels.where("side = 'ask' and qty >= 60"), older=True).select("symbol", F.col("snapshot_id").alias("cycle"), "price_ticks", "qty")
 
 
 PRIOR = f"(SELECT symbol, price_ticks, arg_max(qty, cycle) AS qty, max(cycle) AS last_cycle FROM {WALLS} w GROUP BY ALL)"
@@ -352,11 +352,11 @@ def _(m: Market):
 
 
 @query("j5_wall_delta", f"""WITH n AS (SELECT p.symbol, p.price_ticks AS wall, p.qty AS prior, coalesce(sum(l.qty) FILTER (l.price_ticks = p.price_ticks), 0E0) AS current_exact, coalesce(sum(l.qty), 0E0) AS current_window FROM {PRIOR} p
-    LEFT JOIN (SELECT * FROM {{book_levels}} WHERE side = 'ask' AND snapshot_id = 19) l ON p.symbol = l.symbol AND l.price_ticks BETWEEN p.price_ticks - 5 AND p.price_ticks + 5 GROUP BY p.symbol, p.price_ticks, p.qty)
+    LEFT JOIN (SELECT * FROM {{book_levels}} WHERE side = 'ask' AND {NEWEST_SNAPSHOT}) l ON p.symbol = l.symbol AND l.price_ticks BETWEEN p.price_ticks - 5 AND p.price_ticks + 5 GROUP BY p.symbol, p.price_ticks, p.qty)
   SELECT *, current_window - prior AS delta_window, CASE WHEN current_window > prior * 1.15 THEN 'BUILT UP' WHEN current_window < prior / 1.15 THEN 'ERODED' ELSE 'STABLE' END AS direction FROM n""",
        "prior current_exact current_window delta_window")
 def _(m: Market):
-    return book.wall_delta(book.accumulate_prior_walls(walls(m)), m.book_levels.where("snapshot_id = 19"), window=0.10)
+    return book.wall_delta(book.accumulate_prior_walls(walls(m)), m.newest(m.book_levels), window=0.10)
 
 
 @query("j6_wall_set_diff", """WITH w AS (SELECT symbol, snapshot_id, price_ticks FROM {book_levels} WHERE side = 'ask' AND qty >= 60), c AS (SELECT symbol, snapshot_id, lag(snapshot_id) OVER (PARTITION BY symbol ORDER BY snapshot_id) AS prev_id FROM (SELECT DISTINCT symbol, snapshot_id FROM w) d),
@@ -398,13 +398,13 @@ def _(m: Market):
 _B, _N = "NOT is_buyer_maker", "price * qty"
 
 
-@query("a10_keystone_trade_intensity", f"""WITH n AS (SELECT t.*, k.keystone, abs(price_ticks - round(k.keystone * 100, 4)) AS off FROM {{trades}} t JOIN {KEYSTONE} k ON t.symbol = k.symbol AND k.snapshot_id = 19)
+@query("a10_keystone_trade_intensity", f"""WITH n AS (SELECT t.*, k.keystone, abs(price_ticks - round(k.keystone * 100, 4)) AS off FROM {{trades}} t JOIN (SELECT * FROM {KEYSTONE} x WHERE {NEWEST_SNAPSHOT}) k ON t.symbol = k.symbol)
   SELECT symbol, keystone, count(*) FILTER (off <= 5 AND {_B}) AS tight_buy_count, coalesce(sum(qty) FILTER (off <= 5 AND {_B}), 0E0) AS tight_buy_qty, coalesce(sum({_N}) FILTER (off <= 5 AND {_B}), 0E0) AS tight_buy_notional,
     count(*) FILTER (off <= 5 AND is_buyer_maker) AS tight_sell_count, coalesce(sum(qty) FILTER (off <= 5 AND is_buyer_maker), 0E0) AS tight_sell_qty, coalesce(sum({_N}) FILTER (off <= 5 AND is_buyer_maker), 0E0) AS tight_sell_notional,
     count(*) FILTER ({_B} AND qty >= 5) AS wide_buy_count, coalesce(sum({_N}) FILTER ({_B} AND qty >= 5), 0E0) AS wide_buy_notional FROM n WHERE off <= 10 GROUP BY ALL""",
        "keystone tight_buy_qty tight_buy_notional tight_sell_qty tight_sell_notional wide_buy_notional")
 def _(m: Market):
-    return book.keystone_trade_intensity(m.trades, keystones(m).where("snapshot_id = 19"))
+    return book.keystone_trade_intensity(m.trades, m.newest(keystones(m)))
 
 
 @query("a9_zone_buy_sell", f"""SELECT symbol, venue, CAST(round_even(price / 0.05, 0) AS BIGINT) AS zone, sum(CASE WHEN {_B} THEN qty ELSE 0E0 END) AS buy, sum(CASE WHEN is_buyer_maker THEN qty ELSE 0E0 END) AS sell,

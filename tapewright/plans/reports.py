@@ -10,7 +10,7 @@ from tapewright.plans import book as pbook
 from tapewright.plans import rules as pr
 from tapewright.plans import tape as ptape
 from tapewright.plans.registry import query
-from tapewright.sources.views import Market
+from tapewright.sources.views import NEWEST_SNAPSHOT, Market
 
 KS = ["symbol", "snapshot_id"]
 
@@ -38,14 +38,13 @@ def _(m: Market):
 
 
 @query("r4_oi_report", f"""WITH w AS (SELECT symbol, arg_min(price, rank) AS top_wall_price, max(qty) AS top_wall_qty FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY q DESC, price_ticks) AS rank, price, q AS qty FROM
-    (SELECT *, sum(qty) OVER (PARTITION BY symbol, snapshot_id ORDER BY price_ticks RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS q FROM {pbook.NEAR} n WHERE side = 'ask' AND snapshot_id = 19) c WHERE price_ticks - pt BETWEEN 5 AND 100) x WHERE rank = 1 GROUP BY ALL),
+    (SELECT *, sum(qty) OVER (PARTITION BY symbol, snapshot_id ORDER BY price_ticks RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS q FROM {pbook.NEAR} n WHERE side = 'ask' AND {NEWEST_SNAPSHOT}) c WHERE price_ticks - pt BETWEEN 5 AND 100) x WHERE rank = 1 GROUP BY ALL),
   o AS (SELECT symbol, sum_open_interest AS oi FROM {pb.newest("{oi_history_5m}", 1)} n), c AS (SELECT t.symbol, w.sum_open_interest - t.sum_open_interest AS change_12 FROM {pb.newest("{oi_history_5m}", 13)} t JOIN {pb.newest("{oi_history_5m}", 1)} w ON t.symbol = w.symbol WHERE t.age = 13)
   SELECT o.symbol, oi, change_12, top_wall_price, top_wall_qty FROM o LEFT JOIN c ON o.symbol = c.symbol LEFT JOIN w ON o.symbol = w.symbol""", "oi change_12 top_wall_price top_wall_qty")
 def _(m: Market):
     oi = bars.newest_bars(m.oi_history_5m, 1).select("symbol", F.col("sum_open_interest").alias("oi"))
     change = bars.oi_inflow_outflow(m.oi_history_5m, (12,)).select("symbol", F.col("change").alias("change_12"))
-    at = lambda df: df.where("snapshot_id = 19")
-    walls = book.find_walls(at(m.book_levels), at(m.book_prices), top_n=1).select("symbol", F.col("price").alias("top_wall_price"), F.col("qty").alias("top_wall_qty"))
+    walls = book.find_walls(m.newest(m.book_levels), m.newest(m.book_prices), top_n=1).select("symbol", F.col("price").alias("top_wall_price"), F.col("qty").alias("top_wall_qty"))
     return oi.join(change, "symbol", "left").join(walls, "symbol", "left")
 
 

@@ -10,7 +10,7 @@ from tapewright.plans import bars as pb
 from tapewright.plans import book as pbook
 from tapewright.plans import tape as ptape
 from tapewright.plans.registry import query
-from tapewright.sources.views import Market
+from tapewright.sources.views import NEWEST_SNAPSHOT, Market
 
 TRENDS = """(SELECT symbol, bucket_ms, CASE bucket_ms // 300000 % 3 WHEN 0 THEN 'BUY PRESSURE BUILDING' WHEN 1 THEN 'SELL PRESSURE BUILDING' ELSE 'NEUTRAL' END AS tbr_trend,
   CASE bucket_ms // 300000 % 4 WHEN 0 THEN 'OI RISING' WHEN 1 THEN 'OI FLAT' ELSE 'OI FALLING' END AS oi_trend FROM {taker_bars_5m})"""
@@ -53,13 +53,13 @@ def _(m: Market):
 
 
 AUCTION_ROWS = f"""(SELECT b.symbol, b.micro_price_skew_bps AS spot_skew_bps, i.obi_20 AS spot_obi, s.buy_share AS spot_share, p.trend AS spot_trend, f.buy_share AS futures_share, t.r AS taker_ratio
-  FROM (SELECT * FROM {pbook.SUMMARY} x WHERE snapshot_id = 19) b JOIN (SELECT symbol, snapshot_id, (sum({pbook.BQ}) - sum({pbook.AQ})) / nullif(sum(qty), 0) AS obi_20 FROM {pbook.RANKED} r WHERE level_rank <= 20 GROUP BY ALL) i ON b.symbol = i.symbol AND b.snapshot_id = i.snapshot_id
+  FROM (SELECT * FROM {pbook.SUMMARY} x WHERE {NEWEST_SNAPSHOT}) b JOIN (SELECT symbol, snapshot_id, (sum({pbook.BQ}) - sum({pbook.AQ})) / nullif(sum(qty), 0) AS obi_20 FROM {pbook.RANKED} r WHERE level_rank <= 20 GROUP BY ALL) i ON b.symbol = i.symbol AND b.snapshot_id = i.snapshot_id
   JOIN (SELECT symbol, venue, sum({ptape.BUY_USD}) / sum(price * qty) AS buy_share FROM {{trades}} GROUP BY ALL) s ON b.symbol = s.symbol AND s.venue = 'spot' JOIN (SELECT symbol, venue, sum({ptape.BUY_USD}) / sum(price * qty) AS buy_share FROM {{trades}} GROUP BY ALL) f ON b.symbol = f.symbol AND f.venue = 'futures'
   JOIN {ptape.PERSISTENCE} p ON b.symbol = p.symbol AND p.venue = 'spot' JOIN (SELECT symbol, arg_max(buy_vol, bucket_ms) / nullif(arg_max(sell_vol, bucket_ms), 0) AS r FROM {{taker_bars_5m}} GROUP BY ALL) t ON b.symbol = t.symbol)"""
 
 
 def auction_rows(m: Market):
-    at = lambda df: df.where("snapshot_id = 19")
+    at = m.newest
     b = at(book.book_summary(m.book_levels)).select("symbol", F.col("micro_price_skew_bps").alias("spot_skew_bps"))
     i = at(book.depth_imbalance_slices(m.book_levels)).select("symbol", F.col("obi_20").alias("spot_obi"))
     flow = tape.initiated_flow(m.trades)
@@ -131,7 +131,7 @@ def _(m: Market):
 
 REGIME_ROWS = f"""(SELECT t.symbol, t.last_price, t.vwap, t.cvd, b.obi, d.funding, 1 + d.long_pct AS ls_ratio, 1 + d.long_pct * 1.5E0 AS top_ls_ratio, t.lb AS large_buy_usd, t.ls AS large_sell_usd FROM
   (SELECT symbol, arg_max(price, (ts_ms - 1704067200000) * 10000000 + trade_id) AS last_price, sum(price * qty) / sum(qty) AS vwap, sum({ptape.BUY}) - sum({ptape.SELL}) AS cvd, sum(CASE WHEN qty >= 45 THEN {ptape.BUY_USD} ELSE 0E0 END) AS lb, sum(CASE WHEN qty >= 45 THEN {ptape.SELL_USD} ELSE 0E0 END) AS ls
-   FROM {{trades}} WHERE venue = 'futures' GROUP BY ALL) t JOIN (SELECT symbol, obi FROM {pbook.SUMMARY} s WHERE snapshot_id = 19) b ON t.symbol = b.symbol JOIN {pb.newest(pb.DERIVED, 1)} d ON t.symbol = d.symbol)"""
+   FROM {{trades}} WHERE venue = 'futures' GROUP BY ALL) t JOIN (SELECT symbol, obi FROM {pbook.SUMMARY} s WHERE {NEWEST_SNAPSHOT}) b ON t.symbol = b.symbol JOIN {pb.newest(pb.DERIVED, 1)} d ON t.symbol = d.symbol)"""
 
 
 def regime_rows(m: Market):
@@ -141,7 +141,7 @@ def regime_rows(m: Market):
         F.max_by("price", F.struct("ts_ms", "trade_id")).alias("last_price"), (F.sum(n) / F.sum("qty")).alias("vwap"), F.sum(F.when(buy, F.col("qty")).otherwise(-F.col("qty"))).alias("cvd"),
         F.sum(F.when(big & buy, n).otherwise(0.0)).alias("large_buy_usd"), F.sum(F.when(big & ~buy, n).otherwise(0.0)).alias("large_sell_usd"),
     )
-    b = book.book_summary(m.book_levels).where("snapshot_id = 19").select("symbol", "obi")
+    b = m.newest(book.book_summary(m.book_levels)).select("symbol", "obi")
     d = bars.newest_bars(pb.derived(m), 1).select("symbol", "funding", (F.col("long_pct") + 1).alias("ls_ratio"), (F.col("long_pct") * 1.5 + 1).alias("top_ls_ratio"))
     return t.join(b, "symbol").join(d, "symbol")
 
@@ -265,12 +265,12 @@ def _(m: Market):
 
 
 @query("p9_live_price", """WITH q AS (SELECT symbol, arg_max((bid_ticks + ask_ticks) / 200E0, update_id) AS mid FROM {quotes} GROUP BY ALL), k AS (SELECT symbol, arg_max(close, bucket_ms) AS price FROM """ + pb.FUT + """ f WHERE symbol IN ('S0', 'S1') GROUP BY ALL),
-  e AS (SELECT symbol, price FROM {book_prices} WHERE snapshot_id = 19 AND symbol IN ('S1', 'S2'))
+  e AS (SELECT symbol, price FROM {book_prices} WHERE """ + NEWEST_SNAPSHOT + """ AND symbol IN ('S1', 'S2'))
   SELECT q.symbol, coalesce(k.price, e.price, mid) AS price, CASE WHEN k.price IS NOT NULL THEN 'mark' WHEN e.price IS NOT NULL THEN 'evidence' ELSE 'book_mid' END AS price_source FROM q LEFT JOIN k ON q.symbol = k.symbol LEFT JOIN e ON q.symbol = e.symbol""", "price")
 def _(m: Market):
     quotes = m.quotes.groupBy("symbol").agg(F.max_by((F.col("bid_ticks") + F.col("ask_ticks")) / 200, "update_id").alias("price"))
     mark = pb.futures(m).where("symbol in ('S0', 'S1')").groupBy("symbol").agg(F.max_by("close", "bucket_ms").alias("price"))
-    evidence = m.book_prices.where("snapshot_id = 19 and symbol in ('S1', 'S2')").select("symbol", "price")
+    evidence = m.newest(m.book_prices).where("symbol in ('S1', 'S2')").select("symbol", "price")
     return rules.live_price(quotes.select("symbol"), mark, evidence, quotes)
 
 

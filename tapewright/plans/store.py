@@ -12,7 +12,7 @@ from tapewright.plans import tape as ptape
 from tapewright.plans.book import RANKED
 from tapewright.plans.registry import folder, query
 from tapewright.sources import records, store
-from tapewright.sources.views import Market
+from tapewright.sources.views import NEWEST_SNAPSHOT, Market
 
 
 def raw_trades(m: Market):
@@ -86,10 +86,10 @@ def _(m: Market):
     return store.read_tape_range(m.quotes, "S1", "spot", 1704067210000, 1704067300000, 50)
 
 
-@query("s9_append_idempotent", """SELECT symbol, venue, update_id, ts_ms FROM {quotes} WHERE update_id % 3 = 0 AND update_id % 2 <> 0""")
+@query("s9_append_idempotent", "SELECT symbol, venue, update_id, ts_ms FROM {quotes} WHERE update_id % 2 <> 0")
 def _(m: Market):
     q = m.quotes.select("symbol", "venue", "update_id", "ts_ms")
-    new = q.where("update_id % 3 = 0")
+    new = q.where("update_id % 3 = 0 or update_id % 2 <> 0")  # a third of the stored rows come again
     key = ["symbol", "venue", "update_id"]
     return store.fresh_rows(new.union(new), store.reachable(q.where("update_id % 2 = 0"), new, key), key)
 
@@ -145,10 +145,10 @@ def _(m: Market):
     return store.watermark_max(m.quotes, ["symbol", "venue"], "ts_ms")
 
 
-@query("u2_merge_tapes", "SELECT symbol, venue, update_id, ts_ms, CASE WHEN update_id % 3 <> 0 THEN bid_qty ELSE bid_qty + 1 END AS bid_qty, CASE WHEN update_id % 3 <> 0 THEN 'durable' ELSE 'live' END AS source FROM {quotes} WHERE update_id % 3 <> 0 OR update_id % 2 = 0", "bid_qty")
+@query("u2_merge_tapes", "SELECT symbol, venue, update_id, ts_ms, CASE WHEN update_id % 3 <> 0 THEN bid_qty ELSE bid_qty + 1 END AS bid_qty, CASE WHEN update_id % 3 <> 0 THEN 'durable' ELSE 'live' END AS source FROM {quotes}", "bid_qty")
 def _(m: Market):
     q = m.quotes.select("symbol", "venue", "update_id", "ts_ms", "bid_qty")
-    return store.merge_tapes(q.where("update_id % 3 <> 0"), q.where("update_id % 2 = 0").withColumn("bid_qty", F.col("bid_qty") + 1), ["symbol", "venue", "update_id", "ts_ms"])
+    return store.merge_tapes(q.where("update_id % 3 <> 0"), q.where("update_id % 3 = 0 or update_id % 2 = 0").withColumn("bid_qty", F.col("bid_qty") + 1), ["symbol", "venue", "update_id", "ts_ms"])
 
 
 @query("u5_tombstone_filter", "SELECT id, max(created_seq) AS created_seq, arg_max(kind, created_seq) AS kind FROM (SELECT note_id % 700 AS id, * FROM {notes}) n GROUP BY id HAVING NOT arg_max(forgotten, created_seq)")
@@ -181,11 +181,11 @@ def _(m: Market):
     return out.select("symbol", "ts_ms", F.size("bids").cast("long").alias("bids"), F.size("asks").cast("long").alias("asks"), "book_source")
 
 
-@query("j15_merge_derivatives", """WITH o AS (SELECT symbol, count(*) AS n FROM {oi_history_5m} GROUP BY ALL), t AS (SELECT symbol, count(*) AS n FROM {taker_bars_5m} WHERE symbol <> 'S1' GROUP BY ALL)
+@query("j15_merge_derivatives", """WITH o AS (SELECT symbol, count(*) AS n FROM {oi_history_5m} GROUP BY ALL), t AS (SELECT symbol, count(*) AS n FROM {taker_bars_5m} GROUP BY ALL)
   SELECT s.symbol, coalesce(o.n, 0) AS oi_bars, coalesce(t.n, 0) AS taker_bars FROM (SELECT DISTINCT symbol FROM {quotes}) s LEFT JOIN o ON s.symbol = o.symbol LEFT JOIN t ON s.symbol = t.symbol""")
 def _(m: Market):
     evidence = m.quotes.select("symbol").distinct()
-    out = store.merge_derivatives(evidence, oi=m.oi_history_5m, taker=m.taker_bars_5m.where("symbol <> 'S1'"))
+    out = store.merge_derivatives(evidence, oi=m.oi_history_5m, taker=m.taker_bars_5m)
     return out.select("symbol", F.col("oi_bars").cast("long").alias("oi_bars"), F.col("taker_bars").cast("long").alias("taker_bars"))
 
 
@@ -240,13 +240,13 @@ def _(m: Market):
     return cvd.unionByName(oi)
 
 
-@query("f1_f2_pluggable_flow_and_tiers", """SELECT b.symbol, t.share, b.total_qty, b.mega_count FROM (SELECT symbol, snapshot_id, sum(qty) AS total_qty, count(*) FILTER (price * qty >= 9000) AS mega_count FROM {book_levels} WHERE side = 'bid' AND snapshot_id = 19 GROUP BY ALL) b
+@query("f1_f2_pluggable_flow_and_tiers", """SELECT b.symbol, t.share, b.total_qty, b.mega_count FROM (SELECT symbol, snapshot_id, sum(qty) AS total_qty, count(*) FILTER (price * qty >= 9000) AS mega_count FROM {book_levels} WHERE side = 'bid' AND """ + NEWEST_SNAPSHOT + """ GROUP BY ALL) b
   JOIN (SELECT symbol, sum(CASE WHEN is_buyer_maker THEN 0E0 ELSE price * qty END) / sum(price * qty) AS share FROM {trades} GROUP BY ALL) t ON b.symbol = t.symbol""", "share total_qty")
 def _(m: Market):
     """A report with the caller's own flow function and tier limits."""
     from tapewright.operators import tape
 
     def report(flow, tiers):
-        return book.bid_tiers(m.book_levels.where("snapshot_id = 19"), tiers).select("symbol", "total_qty", "mega_count").join(flow(m.trades), "symbol")
+        return book.bid_tiers(m.newest(m.book_levels), tiers).select("symbol", "total_qty", "mega_count").join(flow(m.trades), "symbol")
 
     return report(lambda t: tape.initiated_flow(t, ("symbol",)).select("symbol", F.col("buy_share").alias("share")), book.Tiers(9_000.0, 5_000.0, 1_000.0))

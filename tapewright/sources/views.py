@@ -7,6 +7,7 @@ casts. Prices carry integer ticks of 0.01, so bucketing is exact.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 START_MS = 1704067200000
@@ -78,6 +79,10 @@ VIEWS: dict[str, str] = {
 }
 
 
+#: SQL twin of ``Market.newest``.
+NEWEST_SNAPSHOT = "(symbol, snapshot_id) IN (SELECT symbol, max(snapshot_id) FROM {book_levels} GROUP BY symbol)"
+
+
 def parents(view: str) -> list[str]:
     return [name for name in (*TABLES, *VIEWS) if f"{{{name}}}" in VIEWS[view]]
 
@@ -88,6 +93,11 @@ class Market:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
+    def newest(self, rows: DataFrame, older: bool = False) -> DataFrame:
+        """The rows of each symbol's newest book snapshot, or those of all before it."""
+        last = self.book_levels.groupBy("symbol").agg(F.max("snapshot_id").alias("snapshot_id"))
+        return rows.join(last, ["symbol", "snapshot_id"], "left_anti" if older else "left_semi")
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS and name not in TABLES:
             raise AttributeError(name)
