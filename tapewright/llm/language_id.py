@@ -201,11 +201,17 @@ def predict(docs: DataFrame, model: LanguageModel, keep: Sequence[str] = ("doc_i
     return docs.select(*keep, detected(model, docs.sparkSession)(F.col(text_col)).alias(found)).select(*keep, f"{found}.lang_pred", f"{found}.score")
 
 
-def in_known_language(docs: DataFrame, model: LanguageModel, least_score: float) -> DataFrame:
-    """The rows of ``docs`` whose language is known with at least this score, with their own columns only."""
+def in_known_language(docs: DataFrame, model: LanguageModel, least_score: float, few_words: int = 0, few_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose language is known with at least this score, with their own columns only.
+
+    A text of less than ``few_words`` words can't make its language sure: it needs ``few_score`` only.
+    """
     found = unused(docs, "verdict")
     judged = docs.withColumn(found, detected(model, docs.sparkSession)(F.col("text")))
-    return judged.where((F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") >= least_score)).drop(found)
+    # The split ends after as many parts.
+    few = F.size(F.split(F.trim("text"), r"\s+", few_words)) < few_words if few_words > 0 else F.lit(False)
+    least = F.when(few, few_score).otherwise(least_score)
+    return judged.where((F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") >= least)).drop(found)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -511,3 +511,15 @@ def test_free_spans_are_those_that_overlap_nothing(spark):
         want = [m for m in r["more"] if not any(b["start"] < m["stop"] and m["start"] < b["stop"] for b in r["base"])]
         assert sorted(map(tuple, r["free"])) == sorted(map(tuple, want))
     assert names[0] == "kind"
+
+
+def test_unsure_languages_are_rejected(spark, documents):
+    """Long texts need the limit, texts of few words one of their own; what has no letter goes."""
+    model = language_id.trained_on_rest(documents)
+    parts = {r["lang"]: " ".join(r["text"].split()[:400]) for r in documents.where("n_chars > 3000").select("lang", "text").collect()}
+    assert len(parts) > 2
+    rows = [(i, t, lang, "s", len(t)) for i, (lang, t) in enumerate(parts.items())] + [(20, next(iter(parts["en"].split())), "en", "s", 5), (21, "12 34", None, "s", 5), (22, None, None, None, None), (23, "", None, None, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = {r["doc_id"] for r in language_id.in_known_language(docs, model, 0.5, 5, 0.3).collect()}
+    assert kept == {*range(len(parts)), 20}
+    assert {r["doc_id"] for r in language_id.in_known_language(docs, model, 1.01, 5, 0.3).collect()} == {20}
