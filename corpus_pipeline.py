@@ -16,12 +16,14 @@ from tapewright.llm.queries import tokenizer_path
 from tapewright.llm.storage import materialize
 
 #: Documents whose language is less sure than this are rejected, as are those without a letter.
-LEAST_LANGUAGE_SCORE = 0.3
+LEAST_LANGUAGE_SCORE = 0.5
+#: Of less than so many words, the language is likely at best: these are rejected under a score of their own.
+FEW_WORDS, FEW_WORDS_SCORE = 5, 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a known language; ``lang`` stays as given."""
-    return language_id.in_known_language(docs, language_id.trained_on_rest(docs), LEAST_LANGUAGE_SCORE)
+    return language_id.in_known_language(docs, language_id.trained_on_rest(docs), LEAST_LANGUAGE_SCORE, FEW_WORDS, FEW_WORDS_SCORE)
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
