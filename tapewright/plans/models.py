@@ -188,19 +188,28 @@ def _(m: Market):
     return models.assemble_evidence(f, fits(m, "queue_ofi"), models.fit_depth_scaling(f))
 
 
+#: Of each hypothesis its first and last content by order, and whether the ledger holds it: SQL twin of ``hypotheses``.
+LEDGER = """(SELECT 'h' || (o_orderkey % 500) AS hypothesis_id, o_orderkey % 500 % 3 <> 0 AS is_stored, arg_min(o_orderstatus, o_orderkey) AS a0, arg_min(o_orderpriority, o_orderkey) AS a1,
+  arg_max(o_orderstatus, o_orderkey) AS b0, arg_max(o_orderpriority, o_orderkey) AS b1 FROM {orders} GROUP BY ALL)"""
+
+
+def json_hash_sql(h0: str, h1: str) -> str:
+    return f"""sha256('{{"h0":"' || {h0} || '","h1":"' || {h1} || '"}}')"""
+
+
 def hypotheses(m: Market):
     rows = m.orders.select(F.concat(F.lit("h"), (F.col("o_orderkey") % 500).cast("string")).alias("hypothesis_id"), F.col("o_orderstatus").alias("h0"), F.col("o_orderpriority").alias("h1"), "o_orderkey")
     first = rows.groupBy("hypothesis_id").agg(F.min_by(F.struct("h0", "h1"), "o_orderkey").alias("a"), F.max_by(F.struct("h0", "h1"), "o_orderkey").alias("b"))
-    stored = first.where("crc32(cast(hypothesis_id as binary)) % 3 <> 0").select("hypothesis_id", "a.*")
+    stored = first.where("cast(substring(hypothesis_id, 2) as int) % 3 <> 0").select("hypothesis_id", "a.*")
     return stored, first.select("hypothesis_id", "b.*")
 
 
-@query("m14_append_hypotheses")
+@query("m14_append_hypotheses", f"SELECT hypothesis_id, CASE WHEN is_stored THEN a0 ELSE b0 END AS h0, CASE WHEN is_stored THEN a1 ELSE b1 END AS h1 FROM {LEDGER} l")
 def _(m: Market):
     return models.append_hypotheses(*hypotheses(m), ["h0", "h1"])[0]
 
 
-@query("m14_hypothesis_conflicts")
+@query("m14_hypothesis_conflicts", f"SELECT hypothesis_id, {json_hash_sql('a0', 'a1')} AS stored_hash, {json_hash_sql('b0', 'b1')} AS new_hash FROM {LEDGER} l WHERE is_stored AND (a0 <> b0 OR a1 <> b1)")
 def _(m: Market):
     return models.append_hypotheses(*hypotheses(m), ["h0", "h1"])[1]
 
@@ -215,6 +224,8 @@ def _(m: Market):
     return fits(m).select("symbol", "venue", "block_ms", models.required_flow(F.lit(4.0), F.col("alpha"), F.col("beta")).alias("required"))
 
 
-@query("c18_norm_cdf")
+# The error function as a series of positive terms, exp(-x²) Σ x^(2n+1) / Γ(n + 3/2); 80 terms suffice for |x| under 4.
+@query("c18_norm_cdf", """SELECT symbol, venue, trade_id, ts_ms, 0.5E0 * (1 + exp(-x * x) * list_sum(list_transform(range(0, 80), lambda n: pow(x, 2 * n + 1) / gamma(n + 1.5E0)))) AS p
+  FROM (SELECT *, (qty - 25.5E0) / 14.4E0 / sqrt(2E0) AS x FROM {trades}) t""", "p")
 def _(m: Market):
     return m.trades.select("symbol", "venue", "trade_id", "ts_ms", models.norm_cdf((F.col("qty") - 25.5) / 14.4).alias("p"))

@@ -50,10 +50,21 @@ def _(m: Market):
     return records.normalize_identity(messy).groupBy("symbol", "venue").agg(F.count("*").alias("n"))
 
 
-def snapshots(m: Market):
-    """Nested raw snapshots of five minutes; a trade is also in the snapshot after its own."""
-    t = m.trades.select("symbol", "venue", F.explode(F.array(F.floor(F.col("ts_ms") / 300_000), F.floor(F.col("ts_ms") / 300_000) + 1)).alias("s"), F.struct(F.col("trade_id").alias("id"), F.col("ts_ms").alias("ts"), "price", "qty", "is_buyer_maker").alias("t"))
-    sides = t.groupBy("symbol", "s").pivot("venue", ["spot", "futures"]).agg(F.collect_list("t"))
+#: Trades of a row of a raw snapshot, about; a larger snapshot comes in several rows.
+SNAPSHOT_TRADES = 5_000
+
+
+def snapshots(m: Market, most: int = SNAPSHOT_TRADES):
+    """Nested raw snapshots of five minutes; a trade is also in the snapshot after its own.
+
+    A snapshot of more than ``most`` trades is dealt by trade to rows of the same
+    symbol and time, so no row holds all trades of a busy symbol.
+    """
+    own = F.floor(F.col("ts_ms") / 300_000)
+    t = m.trades.select("symbol", "venue", F.explode(F.array(own, own + 1)).alias("s"), F.struct(F.col("trade_id").alias("id"), F.col("ts_ms").alias("ts"), "price", "qty", "is_buyer_maker").alias("t"))
+    sizes = t.groupBy("symbol", "s").agg(F.ceil(F.count("*") / most).alias("parts"))
+    dealt = t.join(sizes, ["symbol", "s"]).withColumn("part", F.pmod(F.xxhash64("t.id"), F.col("parts")))
+    sides = dealt.groupBy("symbol", "s", "part").pivot("venue", ["spot", "futures"]).agg(F.collect_list("t"))
     return sides.select("symbol", (F.col("s") * 300_000).alias("observed_at_ms"), F.struct(F.col("spot").alias("trades_normalized")).alias("spot"), F.struct(F.col("futures").alias("trades_normalized")).alias("futures"))
 
 
@@ -67,7 +78,7 @@ def _(m: Market):
 @query("s6_slim_snapshots", f"SELECT symbol, (ts_ms // 300000 + k) * 300000 AS observed_at_ms, count(*) FILTER (venue = 'spot') AS spot_trades, count(*) FILTER (venue = 'futures') AS futures_trades FROM {{trades}} t, (SELECT unnest([0, 1]) AS k) x GROUP BY ALL")
 def _(m: Market):
     slim = records.slim_snapshots(snapshots(m))
-    return slim.select("symbol", "observed_at_ms", *[F.size(f"{v}.trades_normalized").cast("long").alias(f"{v}_trades") for v in ("spot", "futures")])
+    return slim.groupBy("symbol", "observed_at_ms").agg(*[F.sum(F.size(f"{v}.trades_normalized")).alias(f"{v}_trades") for v in ("spot", "futures")])
 
 
 @query("s7_read_quote_tape", "SELECT ts_ms, bid_ticks / 100E0 AS bid, bid_qty, ask_ticks / 100E0 AS ask, ask_qty FROM {quotes}", "bid bid_qty ask ask_qty")
