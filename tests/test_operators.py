@@ -1,5 +1,7 @@
 """Operators on hand-made tables: cases that the generated tables don't hold."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +100,17 @@ def test_absorption_keeps_the_first_of_each_span(spark):
     assert sorted(r["ts_ms"] for r in micro.thinned(rows, 60_000).collect()) == [0, 60_000, 130_000]
 
 
+def test_norm_cdf_on_a_grid(spark):
+    """Near, middle and far parts against the error function, and what has no value."""
+    zs = [i / 500 for i in range(-6_000, 6_001)] + [-50.0, 50.0, float("-inf"), float("inf")]
+    got = spark.createDataFrame([(z,) for z in [*zs, None, float("nan")]], "z double").select("z", models.norm_cdf(F.col("z")).alias("p")).collect()
+    assert [r["p"] for r in got if r["z"] is None or r["z"] != r["z"]] == [None, None]
+    for r in got[: len(zs)]:
+        assert abs(r["p"] - 0.5 * math.erfc(-r["z"] / math.sqrt(2))) <= 1e-15, r
+        if -11 < r["z"] < 0:
+            assert math.isclose(r["p"], 0.5 * math.erfc(-r["z"] / math.sqrt(2)), rel_tol=1e-12), r
+
+
 def test_norm_cdf(spark):
     got = spark.createDataFrame([(0.0,), (1.96,), (None,)], "z double").select(models.norm_cdf("z").alias("p")).collect()
     assert got[0]["p"] == 0.5 and got[1]["p"] == pytest.approx(0.9750021) and got[2]["p"] is None
