@@ -39,10 +39,8 @@ BANDS, ROWS = 24, 5
 DOUBT = 0.12
 #: Parts into which the copies of a text are dealt where they are joined.
 SALTS = 8
-#: Documents of an open bucket that are compared with as many others at once.
+#: Texts that share a token and are joined with each other in one part.
 BLOCK = 1024
-#: Shingles of such a block, 8 bytes each.
-BLOCK_SHINGLES = 1 << 20
 TURN, PLACE = U64(0xA24BAED4963EE407), U64(0x5851F42D4C957F2D)
 
 
@@ -171,85 +169,92 @@ def star_pairs(buckets: DataFrame, key: str, seed: int, ends: tuple[str, ...] =
     return met.select("node", other.alias("other")).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def likely(one: np.ndarray, many: np.ndarray, among: np.ndarray, least: float, first: int = 24, doubt: float = 0.35) -> np.ndarray:
-    """Of the columns ``among`` of ``many``, those that agree with ``one`` in ``least`` of their coordinates.
+def set_tokens(shingles: DataFrame, open_nodes: DataFrame) -> DataFrame:
+    """``node, component, token, again, distinct, whole``: every shingle, and every further turn of one, with both sizes of its text."""
 
-    Columns that after the ``first`` coordinates are ``doubt`` below that aren't
-    looked at further: one that would end above it is dropped in fewer than one
-    of a million cases.
+    def marked(column: str, again: bool) -> Column:
+        return F.transform(column, lambda h: F.struct(h.alias("token"), F.lit(again).alias("again")))
+
+    sized = shingles.join(open_nodes, "node").select(
+        "node", "component", F.size("first").alias("distinct"), (F.size("first") + F.size("again")).alias("whole"), F.concat(marked("first", False), marked("again", True)).alias("tokens")
+    )
+    return sized.select("node", "component", "distinct", "whole", F.inline("tokens"))
+
+
+def prefix_marks(tokens: DataFrame, threshold: float) -> DataFrame:
+    """``kind, token, at, size, node, component, repeats``: the tokens by which a text can meet one of another class.
+
+    Kind 0 are the shingles, kind 1 these and their further turns. Tokens that
+    one class alone holds can't be shared across classes: they come first in the
+    order and give no rows. The others go from rare to common. Of ``size`` tokens
+    in that order, the first ``size - ceil(threshold * size) + 1`` hold one that
+    is shared with any set of the wanted likeness.
+    """
+    shared = tokens.groupBy("token").agg(F.count("*").alias("held"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token", "held")
+    lists = tokens.join(shared, "token").groupBy("node", "component", "distinct", "whole").agg(F.sort_array(F.collect_list(F.struct("held", "token", "again"))).alias("live"))
+
+    def rows(kind: int, live: Column, size: str) -> Column:
+        own = F.col(size) - F.size(live)  # tokens of its class alone
+        most = F.col(size) - F.ceil(threshold * F.col(size) - 1e-9) + 1 - own
+        chosen = F.slice(live, F.lit(1), F.greatest(most, F.lit(0)).cast("int"))
+        return F.transform(chosen, lambda t, i: F.struct(F.lit(kind).alias("kind"), t["token"].alias("token"), (own + i).alias("at"), F.col(size).alias("size")))
+
+    both = F.concat(rows(0, F.filter("live", lambda t: ~t["again"]), "distinct"), rows(1, F.col("live"), "whole"))
+    return lists.select("node", "component", (F.col("distinct") < F.col("whole")).alias("repeats"), F.inline(both))
+
+
+def prefix_pairs(open_nodes: DataFrame, shingles: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """``a, b, class_a, class_b, met``: pairs of different classes that may reach the threshold, and in how many tokens they met.
+
+    ``open_nodes``: node, component, without repeats; ``shingles``: as of
+    ``counted_shingles``. An exact set-similarity join with prefix, length and
+    positional filters, once for plain and once for weighted likeness; no pair
+    that reaches the threshold is missed. A token that many texts hold is dealt
+    to parts of about ``block`` of them; only numbers are copied.
     """
-    agreed = (many[:first, among] == one[:first, None]).sum(axis=0)
-    stay = agreed >= (least - doubt) * min(first, len(one))
-    among, agreed = among[stay], agreed[stay]
-    return among[agreed + (many[first:, among] == one[first:, None]).sum(axis=0) >= least * len(one)] if len(among) else among
-
-
-def list_parts(column: pa.ChunkedArray) -> list[np.ndarray]:
-    """The numbers of each row of a column of lists, sorted."""
-    lists = column.combine_chunks()
-    values, ends = lists.values.to_numpy().view(U64), lists.offsets.to_numpy()
-    return [np.sort(values[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
-
-
-def shared_counts(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
-    """How many of each of ``many`` sets' members ``one`` (sorted) holds."""
-    sizes = [len(m) for m in many]
-    flat = np.concatenate(many)
-    if not len(one) or not len(flat):
-        return np.zeros(len(many))
-    held = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
-    return np.bincount(np.repeat(np.arange(len(many)), sizes), held, len(many))
-
-
-def block_links(open_nodes: DataFrame, signatures: DataFrame, shingles: DataFrame, threshold: float, rows: int = ROWS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """``a, b``: the pairs of a bucket that differ in class and whose likeness reaches the threshold, by their shingles.
-
-    ``open_nodes``: node, bucket, band, component; ``shingles``: as of
-    ``counted_shingles``. A bucket's nodes are dealt by hash to blocks of about
-    ``block`` nodes and ``block_shingles`` shingles, and every two blocks meet in
-    a group of their own, so no task holds a large bucket. Pairs whose
-    signatures leave no hope, and those that meet in an earlier band too,
-    aren't looked at.
+    marks = materialize(prefix_marks(set_tokens(shingles, open_nodes), threshold))
+    crowd = marks.groupBy("kind", "token").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"), F.max("repeats").alias("any"))
+    # Without repeats on either side both likenesses are the same.
+    useful = crowd.where("x <> y AND (kind = 0 OR any)").select("kind", "token", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    dealt = marks.join(useful, ["kind", "token"])
+
+    def side(name: str, part: Column) -> DataFrame:
+        return dealt.select("kind", "token", part.alias("part"), *[F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "at", "size", "repeats")])
+
+    left = side("a", F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("parts")).cast("int"))
+    right = side("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # From the first shared token on, what is left of both lists must reach the least overlap.
+    least = threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9
+    left_over = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    near_size = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9
+    met = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & ((F.col("kind") == 0) | F.col("repeats_a") | F.col("repeats_b"))
+    pairs = left.join(right, ["kind", "token", "part"]).where(met & near_size & (left_over >= least))
+    return pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("component_a").alias("class_a"), F.col("component_b").alias("class_b")).agg(F.count("*").alias("met"))
+
+
+def settled(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``a, b`` whose likeness, plain or weighted, reaches the threshold by their shingles."""
+    known_a, known_b = (shingles.select(F.col("node").alias(s), F.col("first").alias(f"first_{s}"), F.col("again").alias(f"again_{s}")) for s in "ab")
+    return pairs.select("a", "b").join(known_a, "a").join(known_b, "b").where(F.greatest(*shared_sizes()) >= threshold).select("a", "b")
+
+
+def links_across(open_nodes: DataFrame, shingles: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """``a, b``: links that join all open texts of a likeness of at least ``threshold`` into the same classes.
+
+    Of every two classes the pair that met most often is settled first. What
+    that joins needs no other link, so only the pairs of classes that are still
+    apart are settled after it, all of them.
     """
-    size = F.size("first") + F.size("again")
-    known = open_nodes.select("node", "bucket", "band", "component").distinct().join(shingles, "node")
-    sizes = known.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(size) / block_shingles)).cast("int").alias("blocks"))
-    dealt = known.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = met.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "blocks")
-
-    def run(table: pa.Table) -> pa.Table:
-        node, own = table.column("node").to_numpy(), table.column("own").to_numpy()
-        component = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
-        plain, counted = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<u4").reshape(len(node), -1) for c in ("plain", "counted"))
-        first, again = list_parts(table.column("first")), list_parts(table.column("again"))
-        x, y, band = (table.column(c)[0].as_py() for c in ("x", "y", "band"))
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        repeats = (plain != counted).any(axis=1)
-        columns, counts = np.ascontiguousarray(plain[right].T), np.ascontiguousarray(counted[right].T)
-        everyone = np.arange(len(right))
-        for i in left:
-            among = everyone[component[right] != component[i]]
-            among = among[right[among] > i] if x == y else among
-            earlier = (columns[: band * rows, among] == plain[i][: band * rows, None]).reshape(band, rows, len(among)).all(axis=1).any(axis=0)
-            among = among[~earlier]
-            again_too = among if repeats[i] else among[repeats[right[among]]]
-            alike = np.union1d(likely(plain[i], columns, among, threshold - DOUBT), likely(counted[i], counts, again_too, threshold - DOUBT))
-            if not len(alike):
-                continue
-            hit = right[alike]
-            both = shared_counts(first[i], [first[j] for j in hit])
-            more = shared_counts(again[i], [again[j] for j in hit])
-            distinct = np.array([len(first[j]) for j in hit]) + len(first[i])
-            total = distinct + np.array([len(again[j]) for j in hit]) + len(again[i])
-            hit = hit[np.maximum(both / (distinct - both), (both + more) / (total - both - more)) >= threshold]
-            a.append(np.minimum(node[i], node[hit]))
-            b.append(np.maximum(node[i], node[hit]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    signed = signatures.select("node", "plain", F.coalesce("counted", "plain").alias("counted"))
-    return grouped.join(signed, "node").groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    pairs = materialize(prefix_pairs(open_nodes, shingles, threshold, block))
+    best = pairs.groupBy(F.least("class_a", "class_b").alias("x"), F.greatest("class_a", "class_b").alias("y")).agg(F.max(F.struct("met", "a", "b", "class_a", "class_b")).alias("p")).select("p.*")
+    tried = materialize(best)
+    found = materialize(settled(tried, shingles, threshold))
+    joined = components(tried.join(found, ["a", "b"]).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    now = materialize(joined)
+    of_a, of_b = (now.select(F.col("node").alias(f"class_{s}"), F.col("component").alias(f"now_{s}")) for s in "ab")
+    rest = pairs.join(of_a, "class_a", "left").join(of_b, "class_b", "left").where(F.coalesce("now_a", "class_a") != F.coalesce("now_b", "class_b"))
+    untried = rest.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    return found.unionByName(materialize(settled(untried, shingles, threshold)))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -315,9 +320,7 @@ def verified_links(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, thr
     sure = estimated.where(F.col("near") >= threshold + DOUBT).select("a", "b")
     doubtful = estimated.where(F.col("near") < threshold + DOUBT).select("a", "b")
     nodes = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    known_a, known_b = sides(materialize(node_shingles(nodes, signatures, docs, n)), "first", "again")
-    settled = doubtful.join(known_a, "a").join(known_b, "b").where(F.greatest(*shared_sizes()) >= threshold).select("a", "b")
-    return materialize(sure.unionByName(settled))
+    return materialize(sure.unionByName(settled(doubtful, materialize(node_shingles(nodes, signatures, docs, n)), threshold)))
 
 
 def still_open(buckets: DataFrame, classes: DataFrame, compared: int) -> DataFrame:
@@ -338,7 +341,10 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int
     class. Null texts are alone in their class; empty texts are equal texts,
     and texts without words link to none but their equals. Rows that repeat an
     id are classed by their own texts. After the rounds of firsts and lasts, two
-    at least, all pairs of different classes that share a bucket are compared.
+    at least, the texts of buckets that still hold several classes are joined
+    exactly, whichever buckets they share. Very long texts are read whole; an
+    empty table has no rows; columns other than ``doc_id`` and ``text`` are
+    ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(signed_texts(docs, n, bands * rows))
@@ -353,8 +359,8 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int
     links: DataFrame | None = None
     classes: DataFrame | None = None
     for turn in range(rounds + 1):
-        open_buckets = buckets if classes is None else materialize(still_open(buckets, classes, 3 if turn == rounds else 0))
         if turn < rounds:
+            open_buckets = buckets if classes is None else materialize(still_open(buckets, classes, 0))
             # Close copies first, each with one other a band, so that large groups of them are one class before looser buckets are looked at.
             pairs = star_pairs(open_buckets, "finer", turn, ("low",)) if turn == 0 else star_pairs(open_buckets, "bucket", turn)
             if classes is not None:
@@ -363,8 +369,9 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int
                 pairs = joined.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
             found = verified_links(pairs, signatures, docs, threshold, n)
         else:
-            shingles = materialize(node_shingles(open_buckets.select("node").distinct(), signatures, docs, n))
-            found = materialize(block_links(open_buckets, signatures, shingles, threshold, rows))
+            open_nodes = materialize(still_open(buckets, classes, 3).select("node", "component").distinct())
+            shingles = materialize(node_shingles(open_nodes.select("node"), signatures, docs, n))
+            found = links_across(open_nodes, shingles, threshold)
         links = found if links is None else links.unionByName(found)
         classes = materialize(components(links).withColumnRenamed("node", "of"))
     # Texts with neither copies nor links are their own class and need no join.

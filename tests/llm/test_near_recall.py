@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from tapewright.llm import minhash
 
@@ -30,25 +31,62 @@ def test_near_pairs_inside_a_template(spark):
     assert {c for c in classes_of(spark, texts) if len(c) > 1} == pairs
 
 
-def test_blocks_find_what_one_block_finds(spark):
-    rng = np.random.default_rng(4)
+def sets_of_variants(rng, repeats=False):
+    """40 sets near one base, some members of which come again, as lists of (first, again)."""
     base = rng.integers(0, 2**62, 200)
     sets = []
-    for _ in range(40):
-        kept = base.copy()
+    for i in range(40):
+        first = base.copy()
         at = rng.choice(200, 24, replace=False)
-        kept[at] = rng.integers(0, 2**62, 24)
-        sets.append(kept)
-    owner, element = np.repeat(np.arange(40), 200), np.concatenate(sets).astype(np.uint64)
-    signed = minhash.dart_signatures(owner, element, np.ones(len(owner)), 40, 120).astype("<u4")
-    signatures = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(signed)], "node long, plain binary").selectExpr("*", "CAST(NULL AS BINARY) AS counted")
-    shingles = spark.createDataFrame([(i, [int(v) for v in x], []) for i, x in enumerate(sets)], "node long, first array<bigint>, again array<bigint>")
-    nodes = signatures.selectExpr("node", "7L as bucket", "0 as band", "node div 2 as component")
-    alike = lambda a, b: len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]})
-    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if a // 2 != b // 2 and alike(a, b) >= 0.64}
+        first[at] = rng.integers(0, 2**62, 24)
+        more = first[: 10 * (i % 4)] if repeats else first[:0]
+        sets.append(([int(v) for v in first], [int(v) ^ 1 << 62 for v in more]))
+    return sets
+
+
+def likeness(x, y):
+    (a, more_a), (b, more_b) = x, y
+    plain = len({*a} & {*b}) / len({*a} | {*b})
+    return max(plain, len({*a, *more_a} & {*b, *more_b}) / len({*a, *more_a} | {*b, *more_b}))
+
+
+def open_tables(spark, sets):
+    shingles = spark.createDataFrame([(i, a, more) for i, (a, more) in enumerate(sets)], "node long, first array<bigint>, again array<bigint>")
+    return shingles.selectExpr("node", "node div 2 as component"), shingles
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_prefix_join_loses_no_pair(spark, repeats):
+    sets = sets_of_variants(np.random.default_rng(4), repeats)
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if a // 2 != b // 2 and likeness(sets[a], sets[b]) >= 0.64}
     assert 20 < len(want) < 700
-    for block, most in ((6, 1 << 20), (1024, 1 << 20), (1024, 1500)):
-        assert {tuple(r) for r in minhash.block_links(nodes, signatures, shingles, 0.64, 5, block, most).collect()} == want
+    nodes, shingles = open_tables(spark, sets)
+    for block in (6, 1024):
+        pairs = minhash.prefix_pairs(nodes, shingles, 0.64, block)
+        assert {tuple(r) for r in minhash.settled(pairs, shingles, 0.64).collect()} == want
+
+
+def test_links_across_join_the_classes_that_all_pairs_join(spark):
+    rng = np.random.default_rng(6)
+    sets = sets_of_variants(rng, True) + sets_of_variants(rng) + [([int(v) for v in rng.integers(0, 2**62, 5)], []) for _ in range(4)]
+    nodes, shingles = open_tables(spark, sets)
+    found = [tuple(r) for r in minhash.links_across(nodes, shingles, 0.66, 6).collect()]
+    assert all(a // 2 != b // 2 and likeness(sets[a], sets[b]) >= 0.66 for a, b in found)
+
+    def classes(links):
+        own = [i // 2 for i in range(len(sets))]
+        for a, b in links:
+            own = [own[b] if c == own[a] else c for c in own]
+        return {frozenset(i for i, c in enumerate(own) if c == one) for one in own}
+
+    every = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if likeness(sets[a], sets[b]) >= 0.66]
+    assert classes(found) == classes(every)
+
+
+def test_open_texts_of_none(spark):
+    nodes, shingles = open_tables(spark, [([1, 2, 3], [])])
+    for some in (nodes, nodes.limit(0)):
+        assert minhash.links_across(some, shingles, 0.8).count() == 0
 
 
 def test_a_repeated_line_hides_no_copy(spark):
