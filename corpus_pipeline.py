@@ -7,13 +7,14 @@ of ``documents``. Between stages the rows are written as Parquet and read back.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm import decontaminate, language_id, line_dedup, minhash, packing
 from tapewright.llm.queries import tokenizer_path
-from tapewright.llm.storage import materialize
+from tapewright.llm.storage import drop, settle
 
 #: Documents whose language is less sure than this are rejected, as are those without a letter.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -61,9 +62,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. A stage's input and what it wrote on its way go once its result is committed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = materialize(docs) if i < len(STAGES) - 1 else docs
-    return docs
+    *before, (_, last) = STAGES
+    inputs: list[str] = []
+    for _, stage in before:
+        docs, path = settle(spark, partial(stage, spark, docs, sf_dir))
+        drop(spark, *inputs)
+        inputs = [path]
+    return last(spark, docs, sf_dir)
