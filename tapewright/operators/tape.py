@@ -410,9 +410,9 @@ def fold_venue_totals(trades: DataFrame, horizon_ms: Sequence[int] = (15 * MINUT
     )
 
 
-def fold_candles(trades: DataFrame, segment_ms: int = 15 * MINUTE, offset_ms: int = 19_800_000) -> DataFrame:
-    """OHLC, volume and notional a segment, aligned to UTC+05:30, over deduplicated trades."""
-    order = F.struct("ts_ms", "trade_id")
+def fold_candles(trades: DataFrame, segment_ms: int = 15 * MINUTE, offset_ms: int = 19_800_000, order: Column | None = None) -> DataFrame:
+    """OHLC, volume and notional a segment, aligned to UTC+05:30, over deduplicated trades; ``order``: by what the first and the last trade are told (else time, then id)."""
+    order = F.struct("ts_ms", "trade_id") if order is None else order
     return dedupe_trades(trades).groupBy("symbol", "venue", bucket_start("ts_ms", segment_ms, offset_ms).alias("bucket_ms")).agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"),
         F.sum("qty").alias("volume"), F.sum(F.col("price") * F.col("qty")).alias("notional"), F.count("*").alias("trades"),
