@@ -14,9 +14,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tapewright.functions.columns import bucket_start, is_buy, sum_if
+from tapewright.functions.ranges import with_highest_before
 from tapewright.streaming.replay import drain  # noqa: F401  the runs' reader, used with the twins
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -61,8 +63,9 @@ FOLD = "symbol string, horizon_ms long, segment_ms long, venue string, trades lo
 class HorizonFold(StatefulProcessor):
     """Trailing segments of a symbol: ids at or under the venue's greatest are duplicates, rows before the newest segment are late.
 
-    Both are counted and left out. A trigger's rows are taken in order of arrival; a task holds one trigger's rows of a symbol,
-    so the source bounds its triggers (``replay.arriving``), and the state holds a row a segment.
+    Both are counted and left out. A trigger's rows are taken in order of arrival; a task holds one trigger's ``contenders`` of a
+    symbol, so the source bounds its triggers (``replay.arriving``), and the state holds a row a segment. The first state
+    comes as ``folded`` rows, in any order and number of pieces.
     """
 
     def __init__(self, horizon_ms: int, segment_ms: int):
@@ -74,7 +77,18 @@ class HorizonFold(StatefulProcessor):
         self.counts = handle.getValueState("counts", "newest long, duplicates long, late long")
 
     def handleInitialState(self, key, initial: pd.DataFrame, timer_values) -> None:  # noqa: N802
-        self.fold(key, initial)
+        newest, duplicates, late = self.counts.get() if self.counts.exists() else (-1, 0, 0)
+        high = {k[0]: v[0] for k, v in self.high.iterator()}
+        for r in initial.itertuples(index=False):
+            if r.venue is None:
+                newest, duplicates, late = max(newest, int(r.newest)), duplicates + int(r.duplicates), late + int(r.late)
+            elif pd.isna(r.segment):
+                high[r.venue] = max(high.get(r.venue, -1), int(r.high))
+            else:
+                self.segments.updateValue((int(r.segment), r.venue), (int(r.trades), float(r.buy), float(r.sell)))
+        self.counts.update((int(newest), duplicates, late))
+        for venue, tid in high.items():
+            self.high.updateValue((venue,), (int(tid),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         yield self.fold(key, pd.concat(list(rows)))
@@ -89,7 +103,7 @@ class HorizonFold(StatefulProcessor):
             at = np.flatnonzero(venues == venue)
             so_far = np.maximum.accumulate(np.r_[high.get(venue, -1), ids[at]])
             fresh[at], high[venue] = ids[at] > so_far[:-1], so_far[-1]
-        duplicates += int((~fresh).sum())
+        duplicates += int((~fresh).sum()) + int(batch["shed"].sum())
         batch = batch[fresh]
         segments = batch["ts_ms"].to_numpy(np.int64) // self.segment_ms * self.segment_ms
         front = np.maximum.accumulate(np.r_[newest, segments])
@@ -117,29 +131,65 @@ class HorizonFold(StatefulProcessor):
         pass
 
 
+SPAN = ("symbol", "venue", "trade_id", "ts_ms", "price", "qty", "is_buyer_maker", "arrival")
+
+
+def contenders(trades: DataFrame) -> DataFrame:
+    """The trades without those that an earlier one of the same batch of rows shows to be duplicates; ``shed`` counts these beside a trade of their symbol."""
+    own = [*SPAN, "shed"]
+
+    def shed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.sort_values(["arrival", "trade_id", "ts_ms"], kind="stable")
+            high = b.groupby(["symbol", "venue"], sort=False)["trade_id"].cummax()
+            before = high.groupby([b["symbol"], b["venue"]], sort=False).shift()
+            fresh = (before.isna() | (b["trade_id"] > before)).to_numpy()
+            kept = b[fresh]
+            left_out = b["symbol"].value_counts() - kept["symbol"].value_counts()
+            first = ~kept["symbol"].duplicated()
+            yield kept.assign(shed=kept["symbol"].map(left_out).where(first, 0).astype("int64"))[own]
+
+    names = {f.name: f for f in trades.schema.fields}
+    return trades.select(*SPAN).mapInPandas(shed, T.StructType([*[names[c] for c in SPAN], T.StructField("shed", T.LongType())]))
+
+
 def horizon_fold(trades: DataFrame, horizon_ms: int, segment_ms: int, warm_start: DataFrame | None = None) -> DataFrame:
     """The ring of each symbol after every batch; ``arrival`` orders the trades. ``warm_start`` rows (a table) make the
     first state; the fold's own dedupe absorbs what the stream repeats of them."""
-    first = None if warm_start is None else warm_start.groupBy("symbol")
-    return trades.groupBy("symbol").transformWithStateInPandas(HorizonFold(horizon_ms, segment_ms), FOLD, "Update", "None", first)
+    first = None if warm_start is None else folded(warm_start, horizon_ms, segment_ms).groupBy("symbol")
+    return contenders(trades).groupBy("symbol").transformWithStateInPandas(HorizonFold(horizon_ms, segment_ms), FOLD, "Update", "None", first)
+
+
+ARRIVED = ("arrival", "trade_id", "ts_ms")
+
+
+def fresh_trades(trades: DataFrame, segment_ms: int) -> DataFrame:
+    """Trades with an id over all earlier ones of the venue; ``front``: the newest segment before each."""
+    fresh = with_highest_before(trades, ("symbol", "venue"), ARRIVED, "trade_id", "high", segment_ms).where("high is null or trade_id > high")
+    return with_highest_before(fresh.withColumn("segment_ms", bucket_start("ts_ms", segment_ms)), ("symbol",), ARRIVED, "segment_ms", "front", segment_ms)
 
 
 def horizon_fold_batch(trades: DataFrame, horizon_ms: int, segment_ms: int) -> DataFrame:
     """The fold of a whole table at once: ids over all earlier ones of the venue, no earlier segment than the newest so far, trailing the last."""
-    from pyspark.sql import Window
-
-    arrived = ["arrival", "trade_id", "ts_ms"]
-    before = Window.partitionBy("symbol", "venue").orderBy(*arrived).rowsBetween(Window.unboundedPreceding, -1)
-    fresh = trades.withColumn("high", F.max("trade_id").over(before)).where("high is null or trade_id > high").withColumn("segment_ms", bucket_start("ts_ms", segment_ms))
-    so_far = Window.partitionBy("symbol").orderBy(*arrived).rowsBetween(Window.unboundedPreceding, -1)
-    kept = fresh.withColumn("front", F.max("segment_ms").over(so_far)).where("front is null or segment_ms >= front")
-    last = kept.groupBy("symbol").agg(F.max_by("ts_ms", F.struct(*arrived)).alias("last_ts"))
+    kept = fresh_trades(trades, segment_ms).where("front is null or segment_ms >= front")
+    last = kept.groupBy("symbol").agg(F.max_by("ts_ms", F.struct(*ARRIVED)).alias("last_ts"))
     n = F.col("price") * F.col("qty")
     return kept.join(last, "symbol").where(F.col("segment_ms") >= F.col("last_ts") - horizon_ms).groupBy("symbol", "segment_ms", "venue").agg(
         F.count("*").alias("trades"), sum_if(is_buy(), n).alias("buy_notional"), sum_if(~is_buy(), n).alias("sell_notional")
     )
 
 
+def folded(trades: DataFrame, horizon_ms: int, segment_ms: int) -> DataFrame:
+    """What the fold holds after a table, as rows: one a segment and venue, one a venue with its greatest id, one a symbol with its counts."""
+    ring = horizon_fold_batch(trades, horizon_ms, segment_ms)
+    high = trades.groupBy("symbol", "venue").agg(F.max("trade_id").alias("high"))
+    fresh = fresh_trades(trades, segment_ms).groupBy("symbol").agg(F.max("segment_ms").alias("newest"), F.count("*").alias("fresh"), F.count_if(F.col("segment_ms") < F.col("front")).alias("late"))
+    counts = trades.groupBy("symbol").agg(F.count("*").alias("n")).join(fresh, "symbol").select("symbol", "newest", (F.col("n") - F.col("fresh")).alias("duplicates"), "late")
+    ring = ring.withColumnsRenamed({"segment_ms": "segment", "buy_notional": "buy", "sell_notional": "sell"})
+    rows = ring.unionByName(high, allowMissingColumns=True).unionByName(counts, allowMissingColumns=True)
+    return rows.select("symbol", "venue", "segment", "trades", "buy", "sell", "high", "newest", "duplicates", "late")
+
+
 BOOK = "symbol string, venue string, final_update_id long, ts_ms long, session long, bid_ticks long, bid_qty double, ask_ticks long, ask_qty double"
 
 
