@@ -21,8 +21,10 @@ def stream(m: Market, view: str, table: str) -> DataFrame:
     return m.spark.sql(VIEWS[view], **{table: rows})
 
 
-#: Rows that a trigger of a replay takes, about; no tape comes in fewer triggers than this.
-TRIGGER_ROWS, LEAST_TRIGGERS = 500_000, 3
+#: Rows of one file of a replay, and rows of one key that a trigger takes, about; no tape comes in fewer triggers than this.
+FILE_ROWS, KEY_ROWS, LEAST_TRIGGERS = 500_000, 500_000, 3
+#: Triggers of a tape whose operator sums rows where they lie, so that no task holds a key's rows.
+MOST_TRIGGERS = 12
 
 
 def heartbeat(m: Market, rows):
@@ -30,18 +32,28 @@ def heartbeat(m: Market, rows):
     return m.spark.range(1).select(*[F.lit(START_MS + 10 * 86_400_000 if c == "ts_ms" else None).cast(t).alias(c) for c, t in rows.dtypes])
 
 
-def in_order(m: Market, view: str, closing: bool = False):
-    """A market view as it arrives, in triggers of equal spans of time."""
+def files_of(rows: int, triggers: int) -> int:
+    """Files of a trigger: as many tasks read it."""
+    return max(1, -(-rows // (triggers * FILE_ROWS)))
+
+
+def in_order(m: Market, view: str, closing: bool = False, key_rows: int | None = KEY_ROWS, keys: tuple[str, ...] = ("symbol", "venue")):
+    """A market view as it arrives, in triggers of equal spans of time.
+
+    ``key_rows``: rows of the busiest of the ``keys`` that a trigger holds, about; None where no task holds a key's rows.
+    """
     rows = getattr(m, view)
-    lo, hi, n = rows.agg(F.min("ts_ms"), F.max("ts_ms"), F.count("*")).first()
-    step = max(1, -(-((hi or 0) - (lo or 0) + 1) // max(LEAST_TRIGGERS, -(-n // TRIGGER_ROWS))))
-    return replay.arriving(rows, F.expr(f"(ts_ms - {lo or 0}) div {step}"), folder(m), heartbeat(m, rows) if closing else None)
+    counts = rows.groupBy(*keys).agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi"), F.count("*").alias("n"))
+    lo, hi, n, busiest = (v or 0 for v in counts.agg(F.min("lo"), F.max("hi"), F.sum("n"), F.max("n")).first())
+    triggers = max(LEAST_TRIGGERS, min(MOST_TRIGGERS, -(-n // FILE_ROWS)) if key_rows is None else -(-busiest // key_rows))
+    step = max(1, -(-(hi - lo + 1) // triggers))
+    return replay.arriving(rows, F.expr(f"(ts_ms - {lo}) div {step}"), folder(m), heartbeat(m, rows) if closing else None, files_of(n, triggers))
 
 
 @query("x1_stream_bucketed_flow", f"SELECT symbol, venue, t * 1000 AS start_ms, buy, sell, delta, trades FROM {ptape.CVD} c", "buy sell delta")
 def _(m: Market):
     """Each window once, as the watermark closes it; the heartbeat closes the last ones."""
-    return twins.drain(twins.bucketed_flow(in_order(m, "trades", closing=True)), folder(m), "append")
+    return twins.drain(twins.bucketed_flow(in_order(m, "trades", closing=True, key_rows=None)), folder(m), "append")
 
 
 #: Every tenth trade is reported two hours late.
@@ -53,7 +65,8 @@ REPORTED = "ts_ms + CASE WHEN trade_id % 10 = 0 THEN 7200000 ELSE 0 END"
   SELECT symbol, venue, count(*) FILTER (NOT late) AS in_time, sum(CASE WHEN late THEN 0E0 ELSE qty END) AS qty_in_time, count(*) FILTER (late) AS late, sum(CASE WHEN late THEN qty ELSE 0E0 END) AS qty_late FROM l GROUP BY ALL""", "qty_in_time qty_late")
 def _(m: Market):
     """What the windows of a tape with late reports take in, and what they leave out, counted in a side output of its own."""
-    arriving = replay.arriving(m.trades, F.expr(f"({REPORTED} - {START_MS}) div 10800000"), folder(m), heartbeat(m, m.trades))
+    hours = 26  # of a day's tape and its late reports, three in a trigger
+    arriving = replay.arriving(m.trades, F.expr(f"({REPORTED} - {START_MS}) div 10800000"), folder(m), heartbeat(m, m.trades), files_of(m.trades.count(), -(-hours // 3)))
     kept = twins.drain(twins.bucketed_flow(arriving), folder(m), "append").groupBy("symbol", "venue")
     late = replay.late_rows(arriving, folder(m), 60_000, 600_000).groupBy("symbol", "venue")
     kept = kept.agg(F.sum("trades").alias("in_time"), F.sum(F.col("buy") + F.col("sell")).alias("qty_in_time"))
@@ -89,10 +102,14 @@ FOLD = """WITH a AS (SELECT *, max(trade_id) OVER (PARTITION BY symbol, venue OR
   FROM f JOIN l ON f.symbol = l.symbol JOIN d ON f.symbol = d.symbol WHERE (front IS NULL OR segment_ms >= front) AND segment_ms >= last_ts - 14400000 GROUP BY f.symbol, segment_ms, venue"""
 
 
+#: Trades of a symbol in a trigger of the fold, which sheds the repeats of each file before the state sees them.
+FOLD_ROWS = 2_000_000
+
+
 @query("x2_stream_horizon_fold", FOLD, "buy_notional sell_notional")
 def _(m: Market):
     twins.use_rocksdb(m.spark)
-    trades = in_order(m, "trades").withColumn("arrival", F.col("ts_ms"))
+    trades = in_order(m, "trades", key_rows=FOLD_ROWS, keys=("symbol",)).withColumn("arrival", F.col("ts_ms"))
     return twins.drain(twins.horizon_fold(trades, 14_400_000, 900_000), folder(m), "update", ["symbol"])
 
 
@@ -100,7 +117,7 @@ def _(m: Market):
 def _(m: Market):
     """The fold seeded from the tape up to a time, then streamed over the whole tape again: the overlap changes nothing."""
     twins.use_rocksdb(m.spark)
-    trades = in_order(m, "trades").withColumn("arrival", F.col("ts_ms"))
+    trades = in_order(m, "trades", key_rows=FOLD_ROWS, keys=("symbol",)).withColumn("arrival", F.col("ts_ms"))
     history = m.trades.where("ts_ms < 1704110000000").withColumn("arrival", F.col("ts_ms"))
     return twins.drain(twins.horizon_fold(trades, 14_400_000, 900_000, history), folder(m), "update", ["symbol"]).drop("horizon_ms", "duplicates", "late")
 
@@ -165,7 +182,7 @@ def _(m: Market):
 def _(m: Market):
     """The latest view that a sink keeps batch by batch, beside the history; one batch runs again at the end and changes nothing."""
     names = ["symbol", "venue", "ts_ms", "update_id", "bid_ticks", "ask_ticks"]
-    quotes = in_order(m, "quotes").select(*names)
+    quotes = in_order(m, "quotes", key_rows=None).select(*names)
     sink = replay.LatestAndHistory(f"{folder(m)}/tapewright-latest-{uuid.uuid4().hex}", ["symbol", "venue"], ["ts_ms", "update_id"], quotes.schema)
     sink.drained(quotes)
     first = m.spark.read.schema(quotes.schema).parquet(f"{sink.path}/history/{replay.BATCH}=0")

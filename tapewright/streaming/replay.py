@@ -18,21 +18,26 @@ BATCH = "tapewright_batch"
 ARRIVAL = "tapewright_arrival"
 
 
-def arriving(rows: DataFrame, arrival: Column, folder: str, closing: DataFrame | None = None) -> DataFrame:
+def arriving(rows: DataFrame, arrival: Column, folder: str, closing: DataFrame | None = None, files: int = 1) -> DataFrame:
     """A stream with one trigger for each number of ``arrival``, in order.
 
-    Each range becomes one file, written by one task after those of earlier
-    ranges; so ranges must be narrow enough for a task. ``closing`` rows come
-    last, in a file of their own: a heartbeat that moves the watermark on.
+    Each range becomes ``files`` files, written side by side after those of
+    earlier ranges; so ranges must be narrow enough for as many tasks.
+    ``closing`` rows come last, in files of their own: a heartbeat that moves
+    the watermark on.
     """
     spark, run = rows.sparkSession, f"{folder}/tapewright-{uuid.uuid4().hex}"
-    rows.withColumn(ARRIVAL, arrival).repartition(ARRIVAL).write.partitionBy(ARRIVAL).parquet(f"{run}/staged")
+    rows.withColumn(ARRIVAL, arrival).write.partitionBy(ARRIVAL).parquet(f"{run}/staged")
     staged = spark.read.schema(rows.withColumn(ARRIVAL, F.lit(0).cast("long")).schema).parquet(f"{run}/staged")
-    for (number,) in sorted(staged.select(ARRIVAL).distinct().collect()):
-        staged.where(F.col(ARRIVAL) == number).drop(ARRIVAL).coalesce(1).write.mode("append").parquet(f"{run}/stream")
+    parts = [staged.where(F.col(ARRIVAL) == number).drop(ARRIVAL) for (number,) in sorted(staged.select(ARRIVAL).distinct().collect())]
     if closing is not None:
-        closing.select(*rows.columns).coalesce(1).write.mode("append").parquet(f"{run}/stream")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{run}/stream")
+        parts.append(closing.select(*rows.columns))
+    for done, part in enumerate(parts, 1):
+        part.coalesce(files).write.mode("append").parquet(f"{run}/stream")
+        # A trigger is a number of files: what a range has too few of is made up by files without rows.
+        for _ in range(done * files - len(spark.read.schema(rows.schema).parquet(f"{run}/stream").inputFiles()) if files > 1 else 0):
+            part.limit(0).coalesce(1).write.mode("append").parquet(f"{run}/stream")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{run}/stream")
 
 
 def run_to_end(stream: DataFrame, run: str, mode: str) -> list[dict]:
