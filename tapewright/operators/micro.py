@@ -7,7 +7,7 @@ ask_qty``. Keys are symbol and venue.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -233,11 +233,12 @@ def replay_book(deltas: DataFrame, chunk_ms: int = 3_600_000) -> DataFrame:
     seeds = opening.select(*session, "chunk", F.lit(None).cast("long").alias("final_update_id"), F.lit(None).cast("long").alias("ts_ms"), "side", "price_ticks", "qty")
     everything = rows.select(*session, "chunk", "final_update_id", "ts_ms", "side", "price_ticks", "qty").unionByName(seeds)
 
-    def replay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    place = [*session, "chunk"]
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Chunks come one after the other, in order; a batch may begin or end within one.
         # Quantities by price, and a heap of the prices of each side that may still have one, best first.
-        book: dict[str, dict[int, float]] = {"bid": {}, "ask": {}}
-        heaps: dict[str, list[int]] = {"bid": [], "ask": []}
-        out = []
+        at, book, heaps = None, {}, {}
 
         def best(side: str, sign: int) -> tuple[int | None, float | None]:
             heap, levels = heaps[side], book[side]
@@ -245,19 +246,24 @@ def replay_book(deltas: DataFrame, chunk_ms: int = 3_600_000) -> DataFrame:
                 heapq.heappop(heap)
             return (sign * heap[0], levels[sign * heap[0]]) if heap else (None, None)
 
-        pdf = pdf.sort_values(["final_update_id", "price_ticks"], na_position="first", kind="stable")
-        columns = [pdf[c].to_numpy() for c in ("final_update_id", "ts_ms", "side", "price_ticks", "qty")]
-        for fid, ts, side, price, qty in zip(*[c.tolist() for c in columns], strict=True):
-            levels = book[side]
-            if qty > 0:
-                if price not in levels:
-                    heapq.heappush(heaps[side], -price if side == "bid" else price)
-                levels[price] = qty
-            else:
-                levels.pop(price, None)
-            if fid == fid and fid is not None:
-                out.append((*key[:3], int(fid), int(ts), *best("bid", -1), *best("ask", 1)))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in REPLAYED.split(", ")])
-        return frame.astype({"bid_ticks": "Int64", "ask_ticks": "Int64", "bid_qty": "float64", "ask_qty": "float64"})
-
-    return everything.groupBy(*session, "chunk").applyInPandas(replay, REPLAYED)
+        for batch in batches:
+            out = []
+            columns = [batch[c].tolist() for c in (*place, "final_update_id", "ts_ms", "side", "price_ticks", "qty")]
+            for symbol, venue, number, chunk, fid, ts, side, price, qty in zip(*columns, strict=True):
+                if at != (symbol, venue, number, chunk):
+                    at, book, heaps = (symbol, venue, number, chunk), {"bid": {}, "ask": {}}, {"bid": [], "ask": []}
+                levels = book[side]
+                if qty > 0:
+                    if price not in levels:
+                        heapq.heappush(heaps[side], -price if side == "bid" else price)
+                    levels[price] = qty
+                else:
+                    levels.pop(price, None)
+                if fid == fid and fid is not None:
+                    out.append((symbol, venue, number, int(fid), int(ts), *best("bid", -1), *best("ask", 1)))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in REPLAYED.split(", ")])
+            yield frame.astype({"bid_ticks": "Int64", "ask_ticks": "Int64", "bid_qty": "float64", "ask_qty": "float64"})
+
+    # Sessions are many and short, so a partition's chunks go through one call; a task holds a batch of rows and one book.
+    ordered = everything.repartition(*place).sortWithinPartitions(*place, F.col("final_update_id").asc_nulls_first(), "price_ticks")
+    return ordered.mapInPandas(replay, REPLAYED)
