@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.chains import spaced, with_chains
 from tapewright.functions.columns import bucket_start, ratio, sum_if
-from tapewright.functions.ranges import RANGE, with_next_known, with_previous, with_reach, with_running_sum
+from tapewright.functions.ranges import RANGE, with_highest_before, with_next_known, with_previous, with_reach, with_running_sum
 
 KEYS = ("symbol", "venue")
 #: Width of the time ranges into which a key's rows are dealt.
@@ -125,20 +125,22 @@ def forward_labels(vectors: DataFrame, events: DataFrame, horizons_ms: Sequence[
     )
 
 
-def exclude_degraded(labels: DataFrame, spans: DataFrame, block_ms: int = 60_000) -> DataFrame:
+def exclude_degraded(labels: DataFrame, spans: DataFrame, range_ms: int = RANGE_MS) -> DataFrame:
     """Labels whose stretch from vector to target overlaps a degraded span (``symbol, lo, hi, reason``) lose their value.
 
-    Spans and labels meet by blocks of time that both touch; an open span (hi
-    null) reaches to the symbol's last label.
+    Of spans in order, a label meets the first that ends after its vector, if that begins before its target. Only a span that
+    ends later than all before it can be this one, so the next end is read by a window and no label is paired with spans.
+    An open span (hi null) reaches to the symbol's last label.
     """
     last = labels.groupBy("symbol").agg(F.max(F.col("ts_ms") + F.col("horizon_ms")).alias("end"))
     closed = spans.join(last, "symbol").select("symbol", "lo", F.coalesce("hi", F.col("end") + 1).alias("hi"), "reason").where("hi > lo")
-    block = lambda c: F.floor(F.col(c) / block_ms)
-    cut = closed.withColumn("b", F.explode(F.sequence(block("lo"), block("hi"))))
-    reach = labels.withColumn("target", F.col("ts_ms") + F.col("horizon_ms")).withColumn("b", F.explode(F.sequence(block("ts_ms"), block("target"))))
-    hits = reach.join(cut, ["symbol", "b"]).where((F.col("lo") < F.col("target")) & (F.col("hi") > F.col("ts_ms")))
-    first = hits.groupBy(*KEYS, "update_id", "ts_ms", "horizon_ms").agg(F.min_by("reason", F.struct("lo", "hi", "reason")).alias("reason"))
-    return labels.join(first, [*KEYS, "update_id", "ts_ms", "horizon_ms"], "left").select(
+    ends = with_highest_before(closed, ("symbol",), ("lo", "hi", "reason"), "hi", "high", range_ms).where("high is null or hi > high")
+    probes = labels.select("symbol", F.col("ts_ms").alias("t"), F.lit(0).alias("kind"), F.struct(*labels.columns).alias("label"))
+    both = probes.unionByName(ends.select("symbol", F.col("hi").alias("t"), F.lit(1).alias("kind"), F.struct("lo", "reason").alias("span")), allowMissingColumns=True)
+    # Backwards, and a span that ends as the vector stands comes after it.
+    found = with_next_known(both, ("symbol",), (F.col("t").desc(), F.col("kind")), "t", "span", "next", range_ms).where("kind = 0").select("label.*", "next")
+    reason = F.when(F.col("next.lo") < F.col("ts_ms") + F.col("horizon_ms"), F.col("next.reason"))
+    return found.withColumn("reason", reason).select(
         *KEYS, "ts_ms", "update_id", "horizon_ms", F.when(F.col("reason").isNull(), F.col("y_ticks")).alias("y_ticks"), F.coalesce("reason", "excluded").alias("excluded")
     )
 
