@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.chains import spaced, with_chains
 from tapewright.functions.columns import bucket_start, ratio, sum_if
-from tapewright.functions.ranges import RANGE, with_highest_before, with_next_known, with_previous, with_reach, with_running_sum
+from tapewright.functions.ranges import RANGE, joined_by_key, with_highest_before, with_next_known, with_previous, with_reach, with_running_sum
 
 KEYS = ("symbol", "venue")
 #: Width of the time ranges into which a key's rows are dealt.
@@ -36,7 +36,7 @@ def split_valid_quotes(quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def with_tick(rows: DataFrame, ticks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with the tick size of their instrument, and the instruments that the tick table doesn't know."""
-    return rows.join(ticks, list(KEYS)), rows.select(*KEYS).distinct().join(ticks, list(KEYS), "left_anti")
+    return joined_by_key(rows, ticks, KEYS), rows.select(*KEYS).distinct().join(ticks, list(KEYS), "left_anti")
 
 
 def book_events(quotes: DataFrame, range_ms: int = RANGE_MS) -> DataFrame:
@@ -180,13 +180,13 @@ def detect_walls(events: DataFrame, min_qty: float = 40.0, max_bps: float = 50.0
     dist = F.abs(F.col("bid_ticks") - mid) / mid * 10_000
     last = events.groupBy(*KEYS).agg(F.max("ts_ms").alias("last_ms"))
     # Watched for three persistence times, as far as there are events.
-    near = events.where((F.col("bid_qty") >= min_qty) & (dist <= max_bps)).join(last, list(KEYS)).where(F.col("last_ms") - F.col("ts_ms") >= persist_ms)
+    near = joined_by_key(events.where((F.col("bid_qty") >= min_qty) & (dist <= max_bps)), last, KEYS).where(F.col("last_ms") - F.col("ts_ms") >= persist_ms)
     order = F.struct("ts_ms", "update_id", "bid_ticks", "bid_qty", dist.alias("distance_bps"), mid_ticks("prev_").alias("base_mid"))
     walls = near.groupBy(*KEYS).agg(F.min(order).alias("w")).select(
         *KEYS, F.col("w.ts_ms").alias("t0"), F.col("w.update_id").alias("id0"), F.col("w.bid_ticks").alias("wall_ticks"), F.col("w.bid_qty").alias("size"), F.col("w.distance_bps").alias("distance_bps"), F.col("w.base_mid").alias("base_mid")
     )
     # One wall a key.
-    seen = events.join(walls, list(KEYS)).where((F.struct("ts_ms", "update_id") >= F.struct("t0", "id0")) & (F.col("ts_ms") - F.col("t0") <= persist_ms * 3))
+    seen = joined_by_key(events, walls, KEYS).where((F.struct("ts_ms", "update_id") >= F.struct("t0", "id0")) & (F.col("ts_ms") - F.col("t0") <= persist_ms * 3))
     dq, at = F.col("bid_qty") - F.col("prev_bid_qty"), F.col("bid_ticks") == F.col("wall_ticks")
     life = seen.groupBy(*KEYS, "t0", "wall_ticks", "size", "distance_bps", "base_mid").agg(
         (F.max("ts_ms") - F.col("t0")).alias("persistence_ms"), sum_if(at & (dq > 0), dq).alias("adds"), sum_if(at & (dq < 0), -dq).alias("cancels"),

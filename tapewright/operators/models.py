@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapewright.functions.columns import count_if, labelled, ratio, reasons, sum_if, total
-from tapewright.functions.ranges import with_counts_under, with_least_half, with_running_sum
+from tapewright.functions.ranges import joined_by_key, with_counts_under, with_least_half, with_running_sum
 
 KEYS = ("symbol", "venue")
 BLOCK = (*KEYS, "block_ms")
@@ -192,7 +192,8 @@ def labelled_vectors(vectors: DataFrame, labels: DataFrame, features: Sequence[s
 
 def complete_cases(rows: DataFrame) -> DataFrame:
     """Labelled vectors, numbered by time; ``train`` marks the first seventy percent. Reads ``rows`` several times."""
-    numbered = with_running_sum(rows, HORIZON, ("ts_ms", "update_id"), F.lit(1), "rn", RANGE_MS).join(rows.groupBy(*HORIZON).agg(F.count("*").alias("n")), list(HORIZON))
+    numbered = with_running_sum(rows, HORIZON, ("ts_ms", "update_id"), F.lit(1), "rn", RANGE_MS)
+    numbered = joined_by_key(numbered, rows.groupBy(*HORIZON).agg(F.count("*").alias("n")), HORIZON)
     return numbered.withColumn("train", F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.7)))
 
 
@@ -267,7 +268,7 @@ def fit_forward_ols(rows: DataFrame, features: Sequence[str], least: int = 30, s
     e = y - _dot(F.col("beta"), design)
     oe = y - _dot(F.col("train_beta"), design)
     be = y - _dot(F.col("base_beta"), [F.lit(1.0), F.col(features[0]).cast("double")])
-    scored = rows.join(solved.select(*HORIZON, "beta", "train_beta", "base_beta", "ybar", "train_ybar"), list(HORIZON))
+    scored = joined_by_key(rows, solved.select(*HORIZON, "beta", "train_beta", "base_beta", "ybar", "train_ybar"), HORIZON)
     sq = lambda c: c * c
     far = F.round(F.abs(_dot(F.col("beta"), design) - F.col("ybar")), 9)
     scored = with_least_half(scored.withColumn("e", e).withColumn("oe", oe).withColumn("be", be).withColumn("far", far), HORIZON, "far", "rn", "near")
@@ -326,7 +327,7 @@ def predict_distribution(fits: DataFrame, vectors: DataFrame, features: Sequence
 
 def calibration_report(fits: DataFrame, rows: DataFrame, features: Sequence[str], bins: int = 10, theta: float = 0.0, least: int = 30, least_bin: int = 5, most_error: float = 0.1) -> DataFrame:
     """Out-of-sample reliability: bins of predicted chances against what happened, and whether the gate is passed."""
-    test = rows.where("not train").join(fits.select(*HORIZON, "oos_betas", "oos_resid_std"), list(HORIZON)).where("oos_resid_std > 0")
+    test = joined_by_key(rows.where("not train"), fits.select(*HORIZON, "oos_betas", "oos_resid_std"), HORIZON).where("oos_resid_std > 0")
     p = test.select(*HORIZON, norm_cdf((expected_ticks(F.col("oos_betas"), features) - theta) / F.col("oos_resid_std")).alias("p"), (F.col("y_ticks") > theta).cast("double").alias("hit"))
     binned = p.groupBy(*HORIZON, F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("predicted"), F.avg("hit").alias("realized"))
     error = F.abs(F.col("predicted") - F.col("realized"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.columns import bucket_start, count_if, is_buy, labelled, nearest_bucket, ratio, sum_if
-from tapewright.functions.ranges import exact_median, with_running_sum
+from tapewright.functions.ranges import exact_median, joined_by_key, with_running_sum
 
 #: Width of the time ranges into which a key's rows are dealt.
 RANGE_MS = 3_600_000
@@ -71,9 +71,8 @@ def flow_summary(trades: DataFrame, keys: Sequence[str] = KEYS, large_factor: fl
     total = F.col("buy_vol") + F.col("sell_vol")
     vwap = ratio("pv", total)
     threshold = base.select(*keys, (F.col("median_qty") * large_factor).alias("threshold")).where("threshold > 0")
-    # The thresholds are one row a key: Spark picks the join by their size.
     large = (
-        trades.join(threshold, list(keys))
+        joined_by_key(trades, threshold, keys)
         .where("qty >= threshold")
         .groupBy(*keys)
         .agg(
@@ -97,7 +96,7 @@ def large_trades(trades: DataFrame, keys: Sequence[str] = KEYS, large_factor: fl
     threshold = exact_median(trades, keys, "qty").select(*keys, (F.col("median") * large_factor).alias("threshold")).where("threshold > 0")
     order = Window.partitionBy(*keys).orderBy("ts_ms", "trade_id", "price", "qty")
     return (
-        with_trade_side(trades.join(threshold, list(keys)).where("qty >= threshold"))
+        with_trade_side(joined_by_key(trades, threshold, keys).where("qty >= threshold"))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= keep)
         .select(*keys, "rank", "trade_id", "ts_ms", "price", "qty", "notional", "side")
@@ -149,7 +148,7 @@ def turnover_share(trades: DataFrame) -> DataFrame:
 def with_now(trades: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Add ``now_ms``: the newest trade of the key."""
     newest = trades.groupBy(*keys).agg(F.max("ts_ms").alias("now_ms"))
-    return trades.join(newest, list(keys))
+    return joined_by_key(trades, newest, keys)
 
 
 def price_bucketed_flow(trades: DataFrame, bucket_size: float = 0.05, window_s: int = 300, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -284,7 +283,7 @@ def flow_persistence(trades: DataFrame, keys: Sequence[str] = KEYS, moved_by: fl
     order = ("ts_ms", "trade_id", F.col("price").desc(), F.col("qty").desc(), F.col("is_buyer_maker").desc())
     numbered = with_running_sum(trades.select(*keys, "ts_ms", "trade_id", "price", "qty", "is_buyer_maker"), keys, order, F.lit(1), "rn", RANGE_MS)
     sizes = trades.groupBy(*keys).agg(F.count("*").alias("n"))
-    halves = numbered.join(sizes, list(keys)).withColumn("v", F.col("price") * F.col("qty"))
+    halves = joined_by_key(numbered, sizes, keys).withColumn("v", F.col("price") * F.col("qty"))
     recent = F.col("rn") > F.col("n") - F.floor(F.col("n") / 2)
 
     def share(half: Column) -> Column:

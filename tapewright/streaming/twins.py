@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tapewright.functions.columns import bucket_start, is_buy, sum_if
-from tapewright.functions.ranges import with_highest_before
+from tapewright.functions.ranges import joined_by_key, with_highest_before
 from tapewright.streaming.replay import drain  # noqa: F401  the runs' reader, used with the twins
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -174,7 +174,7 @@ def horizon_fold_batch(trades: DataFrame, horizon_ms: int, segment_ms: int) -> D
     kept = fresh_trades(trades, segment_ms).where("front is null or segment_ms >= front")
     last = kept.groupBy("symbol").agg(F.max_by("ts_ms", F.struct(*ARRIVED)).alias("last_ts"))
     n = F.col("price") * F.col("qty")
-    return kept.join(last, "symbol").where(F.col("segment_ms") >= F.col("last_ts") - horizon_ms).groupBy("symbol", "segment_ms", "venue").agg(
+    return joined_by_key(kept, last, ["symbol"]).where(F.col("segment_ms") >= F.col("last_ts") - horizon_ms).groupBy("symbol", "segment_ms", "venue").agg(
         F.count("*").alias("trades"), sum_if(is_buy(), n).alias("buy_notional"), sum_if(~is_buy(), n).alias("sell_notional")
     )
 
