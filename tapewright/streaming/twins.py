@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,8 +194,35 @@ def folded(trades: DataFrame, horizon_ms: int, segment_ms: int) -> DataFrame:
 BOOK = "symbol string, venue string, final_update_id long, ts_ms long, session long, bid_ticks long, bid_qty double, ask_ticks long, ask_qty double"
 
 
+def packed(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The rows of a key in an Arrow batch as one row with ``columns`` as arrays, formed where the rows lie.
+
+    Spark makes a Python object of each row that it hands to a stateful operator, so few rows of arrays cost less. They carry no
+    event time: for operators without timers and watermarks.
+    """
+    own, names = list(keys), [f"{c}_list" for c in columns]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = pa.Table.from_batches([b]).group_by(own, use_threads=False).aggregate([(c, "list") for c in columns])
+            yield from lists.select([*own, *names]).rename_columns([*own, *columns]).to_batches()
+
+    fields = {f.name: f for f in rows.schema.fields}
+    schema = T.StructType([*[fields[k] for k in own], *[T.StructField(c, T.ArrayType(fields[c].dataType)) for c in columns]])
+    return rows.select(*own, *columns).mapInArrow(pack, schema)
+
+
+def unpacked(rows: Iterator[pd.DataFrame], columns: Sequence[str]) -> pd.DataFrame:
+    """A key's rows from its ``packed`` ones."""
+    parts = list(rows)
+    return pd.DataFrame({c: np.concatenate([cell for part in parts for cell in part[c]]) for c in columns})
+
+
+DELTA = ("first_update_id", "final_update_id", "ts_ms", "side", "price_ticks", "qty")
+
+
 class BookReplay(StatefulProcessor):
-    """A local book of a symbol and venue from depth deltas; stale frames are dropped, a gap clears it and opens a session."""
+    """A local book of a symbol and venue from ``packed`` depth deltas; stale frames are dropped, a gap clears it and opens a session."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.levels = handle.getMapState("levels", "side string, price long", "qty double")
@@ -202,36 +230,22 @@ class BookReplay(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         last, session = self.place.get() if self.place.exists() else (None, 0)
-        book: dict[str, dict[int, float]] = {"bid": {}, "ask": {}}
+        batch = unpacked(rows, DELTA).sort_values(["final_update_id", "side", "price_ticks"], kind="stable")
+        final = batch["final_update_id"].to_numpy(np.int64)
+        fresh = np.r_[True, final[1:] > final[:-1]] & (True if last is None else final > last)
+        batch, final = batch[fresh], final[fresh]
+        first = batch["first_update_id"].to_numpy(np.int64)
+        before = np.r_[final[:1] if last is None else last, final[:-1]][: len(final)]
+        gap = first < before if key[1] == "futures" else first > before + 1
+        if last is None:
+            gap[:1] = False
+        sessions = session + np.cumsum(gap)
+        was: dict[str, dict[int, float]] = {"bid": {}, "ask": {}}
         for (side, price), (qty,) in self.levels.iterator():
-            book[side][price] = qty
-        was = {side: dict(prices) for side, prices in book.items()}
-        # Prices of each side that may still have a quantity, best first.
-        heaps = {"bid": sorted(-p for p in book["bid"]), "ask": sorted(book["ask"])}
-
-        def best(side: str, sign: int) -> tuple[int | None, float | None]:
-            heap, levels = heaps[side], book[side]
-            while heap and sign * heap[0] not in levels:
-                heapq.heappop(heap)
-            return (sign * heap[0], levels[sign * heap[0]]) if heap else (None, None)
-
-        out = []
-        batch = pd.concat(list(rows)).sort_values(["final_update_id", "side", "price_ticks"], kind="stable")
-        for first, final, ts, side, price, qty in batch[["first_update_id", "final_update_id", "ts_ms", "side", "price_ticks", "qty"]].itertuples(index=False):
-            if last is not None and final <= last:
-                continue
-            gap = last is not None and (first < last if key[1] == "futures" else first > last + 1)
-            if gap:
-                book, heaps, session = {"bid": {}, "ask": {}}, {"bid": [], "ask": []}, session + 1
-            last = int(final)
-            if qty > 0:
-                if int(price) not in book[side]:
-                    heapq.heappush(heaps[side], -int(price) if side == "bid" else int(price))
-                book[side][int(price)] = float(qty)
-            else:
-                book[side].pop(int(price), None)
-            out.append((key[0], key[1], last, int(ts), int(session), *best("bid", -1), *best("ask", 1)))
-        self.place.update((int(last), int(session)))
+            was[side][price] = qty
+        book, best = self._walk(was, gap, batch)
+        if len(final):
+            self.place.update((int(final[-1]), int(sessions[-1])))
         # Only what has changed is written.
         for side, prices in book.items():
             for price, qty in prices.items():
@@ -239,8 +253,38 @@ class BookReplay(StatefulProcessor):
                     self.levels.updateValue((side, price), (qty,))
             for price in was[side].keys() - prices.keys():
                 self.levels.removeKey((side, price))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in BOOK.split(", ")])
-        yield frame.astype({"bid_ticks": "Int64", "ask_ticks": "Int64", "bid_qty": "float64", "ask_qty": "float64"})
+        quotes = {"bid_ticks": pd.array(best[0], "Int64"), "bid_qty": np.array(best[1], float), "ask_ticks": pd.array(best[2], "Int64"), "ask_qty": np.array(best[3], float)}
+        yield pd.DataFrame({"symbol": key[0], "venue": key[1], "final_update_id": final, "ts_ms": batch["ts_ms"].to_numpy(np.int64), "session": sessions, **quotes})
+
+    @staticmethod
+    def _walk(was: dict[str, dict[int, float]], gap: np.ndarray, batch: pd.DataFrame) -> tuple[dict[str, dict[int, float]], tuple[list, ...]]:
+        """The book after all deltas, and the best prices and quantities of both sides after each."""
+        book = {side: dict(prices) for side, prices in was.items()}
+        # Prices of each side, best first and negative for bids, that may still have a quantity.
+        heaps = {"bid": sorted(-p for p in book["bid"]), "ask": sorted(book["ask"])}
+        best: tuple[list, ...] = ([], [], [], [])
+        top = {"bid": max(book["bid"], default=None), "ask": min(book["ask"], default=None)}
+        columns = (gap, batch["side"], batch["price_ticks"].to_numpy(np.int64), batch["qty"].to_numpy(float))
+        for cleared, side, price, qty in zip(*[c.tolist() for c in columns]):
+            if cleared:
+                book, heaps, top = {"bid": {}, "ask": {}}, {"bid": [], "ask": []}, {"bid": None, "ask": None}
+            levels, heap, sign = book[side], heaps[side], -1 if side == "bid" else 1
+            if qty > 0:
+                if price not in levels:
+                    heapq.heappush(heap, sign * price)
+                    if top[side] is None or sign * price < sign * top[side]:
+                        top[side] = price
+                levels[price] = qty
+            elif levels.pop(price, None) is not None and price == top[side]:
+                while heap and sign * heap[0] not in levels:
+                    heapq.heappop(heap)
+                top[side] = sign * heap[0] if heap else None
+            bid, ask = top["bid"], top["ask"]
+            best[0].append(bid)
+            best[1].append(book["bid"].get(bid))
+            best[2].append(ask)
+            best[3].append(book["ask"].get(ask))
+        return book, best
 
     def close(self) -> None:
         pass
@@ -248,7 +292,7 @@ class BookReplay(StatefulProcessor):
 
 def book_reconstruct(deltas: DataFrame) -> DataFrame:
     """Best quotes after every accepted delta of one level each; a trigger's deltas follow those of the triggers before it."""
-    return deltas.groupBy("symbol", "venue").transformWithStateInPandas(BookReplay(), BOOK, "Append", "None")
+    return packed(deltas, ("symbol", "venue"), DELTA).groupBy("symbol", "venue").transformWithStateInPandas(BookReplay(), BOOK, "Append", "None")
 
 
 INTERVAL = (
@@ -256,10 +300,11 @@ INTERVAL = (
     "mid_start double, mid_end double, first_update_id long, last_update_id long"
 )
 QUOTE = ("bid_ticks", "bid_qty", "ask_ticks", "ask_qty")
+EVENT = ("session", "final_update_id", "ts_ms", *QUOTE)
 
 
 class OfiIntervals(StatefulProcessor):
-    """Order-flow imbalance of half-open intervals over the best quotes of a replayed book.
+    """Order-flow imbalance of half-open intervals over the ``packed`` best quotes of a replayed book.
 
     An interval is complete when an event of a later one comes. A gap opens a new session: the interval it cut is
     dropped and no event joins quotes of two sessions. The state is one quote and one open interval.
@@ -273,8 +318,8 @@ class OfiIntervals(StatefulProcessor):
         self.open = handle.getValueState("open", "session long, start_ms long, event_count long, ofi double, depth double, mid_start double, mid_end double, first_update_id long, last_update_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        names = ["session", "final_update_id", "ts_ms", *QUOTE]
-        batch = pd.concat(list(rows))[names].sort_values(["session", "final_update_id"], kind="stable")
+        names = list(EVENT)
+        batch = unpacked(rows, EVENT).sort_values(["session", "final_update_id"], kind="stable")
         # A frame's last row holds all its levels.
         batch = batch.drop_duplicates(["session", "final_update_id"], keep="last").astype({c: "float64" for c in QUOTE})
         carried = pd.DataFrame([tuple(self.quote.get())], columns=names) if self.quote.exists() else batch.iloc[:0]
@@ -332,7 +377,7 @@ class OfiIntervals(StatefulProcessor):
 
 def ofi_from_depth(deltas: DataFrame, interval_ms: int = 10_000) -> DataFrame:
     """Depth deltas in, complete order-flow intervals out, in one streaming plan: the replayed book feeds the intervals."""
-    return book_reconstruct(deltas).groupBy("symbol", "venue").transformWithStateInPandas(OfiIntervals(interval_ms), INTERVAL, "Append", "None")
+    return packed(book_reconstruct(deltas), ("symbol", "venue"), EVENT).groupBy("symbol", "venue").transformWithStateInPandas(OfiIntervals(interval_ms), INTERVAL, "Append", "None")
 
 
 ALERT = "symbol string, venue string, ts_ms long, trigger string, state string, previous_state string"
